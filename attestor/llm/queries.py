@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from attestor.llm import bpe, chat_format
+from attestor.llm import bpe, chat_format, near_dup
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op8_near_dup": near_dup.op8_near_dup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 
 #: DuckDB SQL, where SQL can express the query over whole tables.
 ORACLE_SQL = {
+    "op8_near_dup": near_dup.OP8_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
 }
