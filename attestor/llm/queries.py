@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from attestor.llm import bpe, chat_format, near_dup
+from attestor.llm import bpe, chat_format, decontaminate, near_dup
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_near_dup": near_dup.op8_near_dup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 
 #: DuckDB SQL, where SQL can express the query over whole tables.
 ORACLE_SQL = {
+    "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_near_dup": near_dup.OP8_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
 }
