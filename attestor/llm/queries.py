@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from attestor.llm import bpe, chat_format, decontaminate, near_dup
+from attestor.llm import bpe, chat_format, decontaminate, media, near_dup
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_near_dup": near_dup.op8_near_dup,
+    "op9_media": media.op9_media,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 
