@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from attestor.llm.common import table, tuned
 
 #: Words that the lexicon holds, and bytes of the longest.
-LEXICON_WORDS, LEXICON_BYTES = 100_000, 40
+LEXICON_WORDS, LEXICON_BYTES = 400_000, 40
 #: Words whose results a worker keeps at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 
 # ---- text to words ----------------------------------------------------------------------------------------------
@@ -98,9 +98,11 @@ class Merger:
 
     def words(self, text: str) -> list[str]:
         """The text's words in order; a special token is a word by itself."""
-        find = _word_pattern().findall
         if not text:
             return []
+        if text.isalpha() and (low := normalized(text)).isalpha():  # letters only, which are one word
+            return [low]
+        find = _word_pattern().findall
         if self.split is None or "<|" not in text:
             return find(normalized(text))
         out = []
@@ -278,15 +280,28 @@ class Encoder:
         self.decoded: dict[str, str] = {}  # its tokens, joined by spaces
 
     def learn(self, new: list[str]) -> None:
-        split = [self.merger.words(p) for p in new]
-        words = list(set().union(*split))
+        """Words first, which pieces then share: a word is a piece itself."""
+        known, decoded, split = self.known, self.decoded, {}
+        for p in new:
+            words = self.merger.words(p)
+            if len(words) != 1 or words[0] != p:
+                split[p] = words
+        words = list({w for ws in split.values() for w in ws if w not in known}.union(p for p in new if p not in split))
         special, tokens = self.merger.special, self.merger.tokens
-        rows = self.lexicon.rows([b"" if w in special else w.encode() for w in words]).tolist() if self.lexicon else [-1] * len(words)
-        ids = {w: self.merger.ids(w) if r < 0 else self.lexicon.ids[self.lexicon.begin[r] : self.lexicon.begin[r + 1]].tolist() for w, r in zip(words, rows)}
-        for p, ws in zip(new, split):
-            told = [i for w in ws for i in ids[w]]
-            self.known[p] = " ".join(map(str, told))
-            self.decoded[p] = " ".join([tokens[i] for i in told])
+        if self.lexicon:
+            rows = self.lexicon.rows([b"" if w in special else w.encode() for w in words])
+            at = np.where(rows < 0, 0, rows)
+            begin, end = self.lexicon.begin[at].tolist(), self.lexicon.begin[at + 1].tolist()
+            ids, rows = self.lexicon.ids, rows.tolist()
+        else:
+            rows = [-1] * len(words)
+        for i, w in enumerate(words):
+            told = self.merger.ids(w) if rows[i] < 0 else ids[begin[i] : end[i]].tolist()
+            known[w] = str(told[0]) if len(told) == 1 else " ".join(map(str, told))
+            decoded[w] = " ".join([tokens[t] for t in told])
+        for p, ws in split.items():
+            known[p] = " ".join([known[w] for w in ws])
+            decoded[p] = " ".join([decoded[w] for w in ws])
 
     def batch(self, texts: list[str | None]) -> list[list[str]]:
         if len(self.known) > CACHE_WORDS:
