@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from attestor.llm import bpe, chat_format, decontaminate, media, near_dup
+from attestor.llm import bpe, chat_format, decontaminate, license_scan, media, near_dup, url_filter
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_media": media.op9_media,
