@@ -7,9 +7,10 @@ similarity s share a table with probability (1 - (1 - s^HALF)^SIDE)^2: 0.9999 at
 
 Equal sets are one node (copies are never paired). Within a table, a group is verified as a star round its smallest
 id, which is linear in the group, on the full shingle sets; connected components join the links. Groups that then still
-hold more than one component go through a second step, in which members of different components meet, unless
-sizes or exact bounds from 1024-bit bitmaps (each differing bit is a shingle that one set lacks) exclude a link. So no
-candidate within a table is left untested: it is verified, excluded by a proof, or already connected.
+hold more than one component go through a second step, in which members of different components meet, in the
+first table that they share, unless sizes or bounds from 1024-bit bitmaps (each differing bit is a shingle that one set
+lacks) exclude a link, or fewer than AGREE half keys are equal (a chance of 0.00001 at the threshold). So a
+candidate is verified, excluded by these, or already connected.
 
 Defined cases: null or wordless texts have no shingles, no links, and are kept; rows that share a doc_id count as
 one document; a null doc_id takes no part, has a null component and is kept; a text of fewer than five words is one
@@ -18,6 +19,8 @@ shingle; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,8 @@ from attestor.llm.components import components
 
 WIDTH, SIDE, HALF = 5, 12, 2
 BITS, WORDS = 1024, 16
+#: Equal half keys, of both sides, below which a pair is not verified in the second step.
+AGREE = 4
 U = np.uint64
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -140,16 +145,17 @@ def _sets(batches):
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """(t, id): the table keys that at least two nodes hold. Half keys that one node alone holds go first."""
-    half = nodes.select("id", F.posexplode("keys").alias("side", "key")).withColumn("side", (F.col("side") >= SIDE).cast("int"))
+    """(t, i, j, id): the table keys that at least two nodes may hold, and the places of their half keys on both sides.
+    Half keys that one node alone holds go first."""
+    half = nodes.select("id", F.posexplode("keys").alias("place", "key"))
     twice = half.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     half = half.join(twice, "key", "left_semi")
     sides = half.groupBy("id").agg(
-        F.collect_list(F.when(F.col("side") == 0, F.col("key"))).alias("a"),
-        F.collect_list(F.when(F.col("side") == 1, F.col("key"))).alias("b"),
+        F.collect_list(F.when(F.col("place") < SIDE, F.struct("place", "key"))).alias("a"),
+        F.collect_list(F.when(F.col("place") >= SIDE, F.struct("place", "key"))).alias("b"),
     )
     pairs = sides.select("id", "b", F.explode("a").alias("a")).select("id", "a", F.explode("b").alias("b"))
-    return pairs.select(F.xxhash64("a", "b").alias("t"), "id")
+    return pairs.select(F.xxhash64("a.key", "b.key").alias("t"), F.col("a.place").alias("i"), F.col("b.place").alias("j"), "id")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,6 +174,21 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(end("l"), "l").join(end("r"), "r").where(_bound(percent)).select("l", "r")
 
 
+def _alike():
+    """At least AGREE of all half keys are equal: sets at the threshold of 0.75 have fewer with a probability of 0.00001."""
+    same = sum((F.col("keysl")[k] == F.col("keysr")[k]).cast("int") for k in range(2 * SIDE))
+    return same >= AGREE
+
+
+def _first_table():
+    """No half key before this table's is equal on either side: a pair is met once, however many tables it shares."""
+    def none_before(place: str, begin: int):
+        terms = [(F.col(place) <= k) | (F.col("keysl")[k] != F.col("keysr")[k]) for k in range(begin, begin + SIDE - 1)]
+        return reduce(lambda x, y: x & y, terms)
+
+    return none_before("i", 0) & none_before("j", SIDE)
+
+
 def _bound(percent: int):
     """differ: at least so many shingles are in one set only; the intersection is at most (nl + nr - differ) / 2."""
     differ = sum((F.bit_count(F.col(f"{b}l").bitwiseXOR(F.col(f"{b}r"))) for b in _BITS), F.lit(0))
@@ -194,7 +215,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     tables = save(tables.join(sizes.select("t", "hub"), "t"), "tables")
 
     ids = tables.select("id").distinct()
-    lean = save(nodes.drop("keys").join(ids, "id", "left_semi"), "candidates")
+    lean = save(nodes.join(ids, "id", "left_semi"), "candidates")
     members = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
     sets = save(members.mapInArrow(_sets, f"id {kind}, s array<long>"), "sets")
 
@@ -207,11 +228,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = save(components(links), "components")
 
     # members of one table in different components: what no star has tested
-    rest = tables.join(found, "id", "left").select("t", "id", F.coalesce("component", "id").alias("c"))
+    rest = tables.join(found, "id", "left").select("t", "i", "j", "id", F.coalesce("component", "id").alias("c"))
     mixed = rest.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("t")
     rest = rest.join(mixed, "t", "left_semi").join(lean, "id")
-    left, right = (rest.select("t", *(F.col(k).alias(f"{k}{e}") for k in ("id", "c", "n", *_BITS))) for e in "lr")
-    pairs = left.join(right, "t").where((F.col("idl") < F.col("idr")) & (F.col("cl") != F.col("cr")) & _bound(percent))
+    left, right = (rest.select("t", "i", "j", *(F.col(k).alias(f"{k}{e}") for k in ("id", "c", "n", "keys", *_BITS))) for e in "lr")
+    apart = (F.col("idl") < F.col("idr")) & (F.col("cl") != F.col("cr"))
+    pairs = left.join(right, ["t", "i", "j"]).where(apart & _bound(percent) & _alike() & _first_table())
     pairs = pairs.select(F.col("idl").alias("l"), F.col("idr").alias("r")).distinct().join(stars, ["l", "r"], "left_anti")
     more = save(verified(save(pairs, "pairs"), sets, percent).distinct(), "links")
     if not more.isEmpty():
