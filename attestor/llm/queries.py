@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from attestor.llm import bpe, chat_format, decontaminate, license_scan, media, near_dup, pii, quality, url_filter
+from attestor.llm import bpe, chat_format, decontaminate, license_scan, media, near_dup, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_bpe": bpe.op2_bpe,
     "op3_pii": pii.op3_pii,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_near_dup": near_dup.op8_near_dup,

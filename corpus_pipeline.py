@@ -1,20 +1,64 @@
-"""The corpus pipeline: documents in, encoded documents out, each stage written and read again."""
+"""The corpus pipeline: documents in, encoded documents out, each stage written and read again.
+
+Stages in order: quality (what the classifier rejects goes), near-duplicates (one document of each group stays),
+decontamination (a document that holds any window of a benchmark item goes), PII (entities become surrogates), encoding.
+
+Every stage but the last returns the columns of its input. Rows with a null doc_id are judged by their own text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attestor.llm import bpe
+from attestor.llm import bpe, decontaminate, near_dup, pii, quality
 from attestor.llm.common import save, table
 
 
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids; null counts as an id."""
+    picked = ids.select(F.col("doc_id").alias("_picked")).distinct()
+    return docs.join(picked, docs["doc_id"].eqNullSafe(picked["_picked"]), "left_semi")
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that the classifier does not reject."""
+    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
+    return _chosen(docs, scores.where("score >= 0.5"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: the document with the smallest id of each group; repeated rows of one id stay once."""
+    kept = _chosen(docs, near_dup.near_duplicates(docs).where("kept"))
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents in which no window of a benchmark item occurs."""
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
+    leaks = found.where(F.size("items") >= 1).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: the documents with surrogates; n_chars, where there is one, is that of the new text."""
+    rows = pii.replace(docs).drop("_kinds")
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*docs.columns)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2 over what is left: the documents' ids, hashed and decoded."""
+    """Operator 2: the ids of what is left, hashed, and the hash of what they decode to."""
     return bpe.encode(docs, bpe.vocabulary_path(), digests=True)
 
 
 STAGES = [
-    ("encode", encoded),
+    ("quality", good),
+    ("near_dup", distinct),
+    ("decontaminate", clean),
+    ("pii", private),
+    ("bpe", encoded),
 ]
 
 #: No SQL expresses the classifier, so the tests hold the stages against brute-force versions.
