@@ -19,10 +19,9 @@ shingle; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +32,8 @@ WIDTH, SIDE, HALF = 5, 12, 2
 BITS, WORDS = 1024, 16
 #: Equal half keys, of both sides, below which a pair is not verified in the second step.
 AGREE = 4
+#: Members of a table that one task compares with one another at most, and pairs that it holds at once.
+BLOCK, PAIRS_AT_ONCE = 4096, 1 << 17
 U = np.uint64
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -174,21 +175,6 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(end("l"), "l").join(end("r"), "r").where(_bound(percent)).select("l", "r")
 
 
-def _alike():
-    """At least AGREE of all half keys are equal: sets at the threshold of 0.75 have fewer with a probability of 0.00001."""
-    same = sum((F.col("keysl")[k] == F.col("keysr")[k]).cast("int") for k in range(2 * SIDE))
-    return same >= AGREE
-
-
-def _first_table():
-    """No half key before this table's is equal on either side: a pair is met once, however many tables it shares."""
-    def none_before(place: str, begin: int):
-        terms = [(F.col(place) <= k) | (F.col("keysl")[k] != F.col("keysr")[k]) for k in range(begin, begin + SIDE - 1)]
-        return reduce(lambda x, y: x & y, terms)
-
-    return none_before("i", 0) & none_before("j", SIDE)
-
-
 def _bound(percent: int):
     """differ: at least so many shingles are in one set only; the intersection is at most (nl + nr - differ) / 2."""
     differ = sum((F.bit_count(F.col(f"{b}l").bitwiseXOR(F.col(f"{b}r"))) for b in _BITS), F.lit(0))
@@ -197,6 +183,86 @@ def _bound(percent: int):
     return sizes & (100 * common >= percent * total)
 
 
+def _pairs_in(table: pa.Table, percent: int):
+    """Index pairs (i, j) of rows in one group (t, x, y) that may be linked: in different components, in their first
+    common table, in sizes and bitmaps not excluded, and alike. Rows come sorted by group."""
+    col = {k: table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("t", "x", "y", "block", "c", "n", "i", "j")}
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(table), 2 * SIDE)
+    bits = np.column_stack([table.column(b).combine_chunks().to_numpy() for b in _BITS]).view(np.uint64)
+    new = np.ones(len(table), bool)
+    new[1:] = (col["t"][1:] != col["t"][:-1]) | (col["x"][1:] != col["x"][:-1]) | (col["y"][1:] != col["y"][:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(table)))
+    places = np.arange(SIDE)
+
+    def chosen(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, m = col["n"][i], col["n"][j]
+        ok = (col["c"][i] != col["c"][j]) & ((col["x"][i] == col["y"][i]) | (col["block"][i] != col["block"][j]))
+        ok &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        i, j, n, m = i[ok], j[ok], n[ok], m[ok]
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64)
+        ok = 100 * (n + m - differ) >= percent * (n + m + differ)
+        i, j = i[ok], j[ok]
+        same = keys[i] == keys[j]
+        ok = same.sum(1) >= AGREE
+        ok &= ~(same[:, :SIDE] & (places < col["i"][i][:, None])).any(1) & ~(same[:, SIDE:] & (places + SIDE < col["j"][i][:, None])).any(1)
+        return i[ok], j[ok]
+
+    for m in np.unique(size):  # groups of one size together, a bounded number of pairs at a time
+        left, right = np.triu_indices(m, 1) if m <= 64 else (None, None)
+        starts = begin[size == m]
+        if left is not None:
+            step = max(1, PAIRS_AT_ONCE // max(1, len(left)))
+            for k in range(0, len(starts), step):
+                yield chosen((starts[k : k + step, None] + left).ravel(), (starts[k : k + step, None] + right).ravel())
+        else:
+            for s in starts:
+                for k in range(0, m, step := max(1, PAIRS_AT_ONCE // m)):
+                    i, j = np.meshgrid(np.arange(k, min(k + step, m)), np.arange(m), indexing="ij")
+                    upper = i < j
+                    yield chosen(s + i[upper], s + j[upper])
+
+
+def _unsettled(percent: int):
+    """Rows sorted by group to pairs (l, r); a group that goes on in the next batch waits for it."""
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not len(rows):
+                continue
+            last = tuple(rows.column(k)[-1].as_py() for k in ("t", "x", "y"))
+            same = np.logical_and.reduce([rows.column(k).to_numpy() == v for k, v in zip(("t", "x", "y"), last)])
+            cut = int(np.flatnonzero(same)[0])
+            rest = rows.slice(cut)
+            yield from emit(rows.slice(0, cut))
+        if rest is not None:
+            yield from emit(rest)
+
+    def emit(rows: pa.Table):
+        if len(rows):
+            ids = rows.column("id").combine_chunks()
+            for i, j in _pairs_in(rows, percent):
+                if len(i):
+                    a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+                    yield pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b)], ["l", "r"])
+
+    return run
+
+
+def unsettled_pairs(rest: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """rest: t, i, j, id, c, n, keys, bitmap. Pairs of members of one table in different components that may be linked.
+    A table with more than `block` members is split into blocks, and each pair of blocks is a group of its own: no task
+    holds more than two blocks, however large the table."""
+    count = rest.groupBy("t").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = rest.join(count, "t").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("blocks", "other")
+    kind = rest.schema["id"].dataType.simpleString()
+    sorted_rows = rows.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y")
+    return sorted_rows.mapInArrow(_unsettled(percent), f"l {kind}, r {kind}")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles, component_id, kept."""
     tuned(docs.sparkSession)
@@ -231,13 +297,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rest = tables.join(found, "id", "left").select("t", "i", "j", "id", F.coalesce("component", "id").alias("c"))
     mixed = rest.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("t")
     rest = rest.join(mixed, "t", "left_semi").join(lean, "id")
-    left, right = (rest.select("t", "i", "j", *(F.col(k).alias(f"{k}{e}") for k in ("id", "c", "n", "keys", *_BITS))) for e in "lr")
-    apart = (F.col("idl") < F.col("idr")) & (F.col("cl") != F.col("cr"))
-    pairs = left.join(right, ["t", "i", "j"]).where(apart & _bound(percent) & _alike() & _first_table())
-    pairs = pairs.select(F.col("idl").alias("l"), F.col("idr").alias("r")).distinct().join(stars, ["l", "r"], "left_anti")
+    pairs = unsettled_pairs(rest, percent).distinct().join(stars, ["l", "r"], "left_anti")
     more = save(verified(save(pairs, "pairs"), sets, percent).distinct(), "links")
     if not more.isEmpty():
-        found = save(components(links.unionByName(more)), "components")
+        # the links so far enter as what they have led to
+        stars = found.select(F.col("id").alias("l"), F.col("component").alias("r"))
+        found = save(components(stars.unionByName(more)), "components")
 
     root = group.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or component is not null")
     root = root.select("f1", "f2", F.coalesce("component", "rep").alias("component"))
