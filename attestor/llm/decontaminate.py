@@ -84,7 +84,8 @@ def search(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     near = near.join(maybe_broadcast(windows, n_windows, BROADCAST_ROWS // 10), "w")
     # a document has at most as many starts as words, and each is verified against its words
     near = save(near.groupBy("k").agg(F.collect_list(F.struct("start", "terms", "item_ids")).alias("near")), "starts")
-    rows = docs.join(near.hint("shuffle_hash"), "k", "left").withColumn("words", words_of(F.col("text")))
+    # the explode of one value keeps the optimizer from splitting the text again for every start
+    rows = docs.join(near.hint("shuffle_hash"), "k", "left").select("doc_id", "near", F.explode(F.array(words_of(F.col("text")))).alias("words"))
     exact = F.filter("near", lambda x: F.slice(F.col("words"), x.start + 1, F.size(x.terms)) == x.terms)
     rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(exact, F.array()).alias("hits"))
     # words that hits cover: sorted by start, each adds what lies beyond the furthest end so far
