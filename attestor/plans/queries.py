@@ -398,7 +398,7 @@ def unmapped_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- graph ------------------------------------------------------------------------------------------------------
 
-_CO = f"co as (select entity, dsid, count(*) as n from {duck('v_mention')} group by entity, dsid), part as (select entity, channel, count(*) as n from (select distinct entity, channel, dsid from {duck('v_mention')}) group by entity, channel)"
+_CO = f"co as (select entity, dsid, count(*) as n from {duck('v_mention')} group by entity, dsid), joined as (select entity, channel, count(*) as n from (select distinct entity, channel, dsid from {duck('v_mention')}) group by entity, channel)"
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -413,7 +413,7 @@ def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d)[1]
 
 
-@query(f"with {_CO} select entity, channel, n from part")
+@query(f"with {_CO} select entity, channel, n from joined")
 def participation(spark: SparkSession, d: str) -> DataFrame:
     """Participations of each entity in each channel."""
     return _graph(spark, d)[2]
@@ -421,7 +421,7 @@ def participation(spark: SparkSession, d: str) -> DataFrame:
 
 #: Ambiguous mentions: their candidates are the entity itself and the two with the next numbers.
 _CANDIDATES = f"candidates as (select mention_id, dsid, channel, unnest([entity, entity + 1, entity + 2]) as entity from {duck('v_mention')} where dsid % 5 = 0)"
-_SCORES = f"with {_CO}, {_CANDIDATES}, scores as (select c.mention_id, c.entity, 3 * coalesce(co.n, 0) + coalesce(part.n, 0) as score from candidates c left join co on co.entity = c.entity and co.dsid = c.dsid left join part on part.entity = c.entity and part.channel = c.channel)"
+_SCORES = f"with {_CO}, {_CANDIDATES}, scores as (select c.mention_id, c.entity, 3 * coalesce(co.n, 0) + coalesce(joined.n, 0) as score from candidates c left join co on co.entity = c.entity and co.dsid = c.dsid left join joined on joined.entity = c.entity and joined.channel = c.channel)"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -451,7 +451,7 @@ _PROPOSE_NAMES = "select s_suppkey as entity, p_name as name from supplier join
 _ASKING = f"asking as (select mention_id, dsid, channel, substr(p_name, 1, 1) || substr(p_name, 3, 2) as token from {duck('v_mention')} join part on p_partkey = channel where dsid % 7 = 0)"
 
 
-@query(f"""with {_CO}, {_ASKING}, near as (select mention_id, token, co.entity from asking a join co on co.dsid = a.dsid union select mention_id, token, part.entity from asking a join part on part.channel = a.channel),
+@query(f"""with {_CO}, {_ASKING}, near as (select mention_id, token, co.entity from asking a join co on co.dsid = a.dsid union select mention_id, token, joined.entity from asking a join joined on joined.channel = a.channel),
 fits as (select mention_id, n.entity from near n join ({_PROPOSE_NAMES}) e on e.entity = n.entity where length(token) >= 3 and starts_with({tx.sql_casefold('name')}, substr({tx.sql_casefold('token')}, 1, 1))
   and {tx.sql_is_short_form('token', 'name')} and not list_contains({tx.sql_name_tokens('name')}, {tx.sql_casefold('token')}))
 select mention_id, min(entity) as entity, 'graph_proposed' as method, 7000 as confidence_e4 from fits group by mention_id having count(*) = 1""")
@@ -560,7 +560,7 @@ def superseded_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return tables.live(s, s.where("id % 6 = 0").select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst")))
 
 
-@query("select l_orderkey * 8 + l_linenumber as mention_id, case when l_suppkey % 6 = 0 then l_suppkey - 1 else l_suppkey end as entity from lineitem")
+@query(f"select mention_id, case when entity % 6 = 0 then entity - 1 else entity end as entity from {duck('v_mention')}")
 def repointed_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Resolutions after merges."""
     moved = table(spark, d, "supplier").where("s_suppkey % 6 = 0").select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") - 1).alias("dst"))
@@ -693,11 +693,11 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_EDGES}, both_ways as (select src as claim_id, dst as other from edges union all select dst, src from edges),
 used as (select qid, claim_id, dsid, object, subject, predicate from (select *, claim_id % 100 as qid, row_number() over (partition by claim_id % 100 order by claim_id) as n from {duck('v_claim')} where claim_id % 13 = 0) where n <= 3),
 fought as (select distinct u.qid from used u join both_ways b on b.claim_id = u.claim_id),
-told as (select qid, count(*) as n_used, count(distinct dsid) as cited from used group by qid)
+spoken as (select qid, count(*) as n_used, count(distinct dsid) as cited from used group by qid)
 select q.qid, case when n_used is null then 'insufficient' when f.qid is not null then 'conflicting' else 'supported' end as answerability,
   case when n_used is null then 0 when f.qid is not null then {scoring.sql_ten_thousandths('least(0.6::double, least(0.95::double, 0.4::double + 0.1::double * cited + 0.05::double * least(n_used, 6)))')}
   else {scoring.sql_ten_thousandths('least(0.95::double, 0.4::double + 0.1::double * cited + 0.05::double * least(n_used, 6))')} end as confidence_e4
-from (select distinct claim_id % 110 as qid from {duck('v_claim')}) q left join told t using (qid) left join fought f using (qid)""")
+from (select distinct claim_id % 110 as qid from {duck('v_claim')}) q left join spoken t using (qid) left join fought f using (qid)""")
 def answer_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Supported, conflicting or insufficient, and how sure."""
     return _answers(spark, d).select("qid", "answerability", scoring.ten_thousandths(F.col("confidence")).alias("confidence_e4"))

@@ -27,7 +27,7 @@ VIEWS = {
       cast(0.9 as double) as confidence, concat(case when o_orderkey % 7 = 0 then 'They said ' else '' end, c_name, ' is ', o_orderstatus, ' ', cast(o_orderkey % 5 as string)) as quote,
       case when o_orderkey % 4 = 0 then null else cast(floor(epoch_of) as bigint) end as timestamp
       from (select o_orderkey, o_custkey, o_orderstatus, {{epoch}} as epoch_of from {{orders}}) o join {{customer}} c on o.o_custkey = c.c_custkey where o_orderkey % 3 = 0""",
-    "v_mention": "select l_orderkey * 8 + l_linenumber as mention_id, l_orderkey as dsid, l_suppkey as entity, l_partkey as channel from {lineitem}",
+    "v_mention": "select l_orderkey * 8 + l_linenumber as mention_id, l_orderkey as dsid, min(l_suppkey) as entity, min(l_partkey) as channel from {lineitem} group by l_orderkey, l_linenumber",
     "v_reference": "select distinct l_orderkey as dsid, l_partkey as ticket from {lineitem}",
     "v_person": f"""select p_partkey as person_id, p_name as name, concat(replace(p_name, ' ', '.'), '@', {_pick('p_partkey', _DOMAINS)}) as email from {{part}}""",
     "v_question": "select item_id as qid, text from {benchmark}",
