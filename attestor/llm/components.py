@@ -28,7 +28,6 @@ def components(links: DataFrame) -> DataFrame:
     Aggregates combine before they shuffle, and a hub's edges shrink to one per neighbour with every step; each
     step is written to the shared folder, which cuts the lineage. Steps grow with the logarithm of the longest path."""
     edges = links.where("l <> r").select(F.greatest("l", "r").alias("u"), F.least("l", "r").alias("v")).distinct()
-    edges = save(edges, "edges")
     mark = None
     while True:
         edges = save(_small_star(_large_star(edges).distinct()).distinct(), "edges")

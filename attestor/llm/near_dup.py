@@ -273,7 +273,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     real = signed.where("n > 0 and doc_id is not null")
     # one node for each set; rows of one doc_id with different texts are linked through that id
     group = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    group = save(group, "groups")
     nodes = real.join(group.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
     nodes = nodes.select(F.col("doc_id").alias("id"), "n", "keys", *_BITS)
     tables = shared_keys(nodes)
@@ -287,22 +286,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     stars = tables.where("id <> hub").select(F.col("hub").alias("l"), F.col("id").alias("r")).distinct()
     stars = save(possible(stars, lean, percent), "stars")
-    links = save(verified(stars, sets, percent).distinct(), "links")
     same_id = real.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").join(real, "doc_id").join(group, ["f1", "f2"])
     same_id = same_id.where("doc_id <> rep").select(F.col("rep").alias("l"), F.col("doc_id").alias("r")).distinct()
-    links = save(links.unionByName(same_id), "links")
-    found = save(components(links), "components")
+    found = components(save(verified(stars, sets, percent).unionByName(same_id).distinct(), "links"))
 
     # members of one table in different components: what no star has tested
     rest = tables.join(found, "id", "left").select("t", "i", "j", "id", F.coalesce("component", "id").alias("c"))
     mixed = rest.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("t")
     rest = rest.join(mixed, "t", "left_semi").join(lean, "id")
     pairs = unsettled_pairs(rest, percent).distinct().join(stars, ["l", "r"], "left_anti")
-    more = save(verified(save(pairs, "pairs"), sets, percent).distinct(), "links")
+    more = save(verified(pairs, sets, percent).distinct(), "links")
     if not more.isEmpty():
         # the links so far enter as what they have led to
-        stars = found.select(F.col("id").alias("l"), F.col("component").alias("r"))
-        found = save(components(stars.unionByName(more)), "components")
+        known = found.select(F.col("id").alias("l"), F.col("component").alias("r"))
+        found = components(known.unionByName(more))
 
     root = group.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or component is not null")
     root = root.select("f1", "f2", F.coalesce("component", "rep").alias("component"))
