@@ -27,7 +27,7 @@ from attestor.llm.common import fold_of, save, table, tuned, utf8
 FEATURES, RIDGE, BINS, SEED = 256, 1e-3, 512, 11
 #: Kernel width, in units of the square root of the number of statistics.
 WIDTH = 0.7
-#: Partial sums that meet in one task while they are added up.
+#: Tasks that add up the partial sums; as many vectors reach the driver.
 FAN_IN = 16
 
 _PUNCTUATION = ".,;:!?\"'()-"
@@ -95,7 +95,7 @@ class Fourier:
 
 
 def _added(parts: DataFrame) -> np.ndarray:
-    """The sum of the vectors in column `s`, FAN_IN at a time, until one is left."""
+    """The sum of the vectors in column `s`: FAN_IN tasks add up what reaches them one by one, the driver adds theirs."""
     def add(batches):
         total = None
         for b in batches:
@@ -105,10 +105,7 @@ def _added(parts: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_pydict({"s": [total.tobytes()]})
 
-    parts = save(parts, "sums")
-    while (n := parts.count()) > FAN_IN:
-        parts = save(parts.repartition(math.ceil(n / FAN_IN)).mapInArrow(add, "s binary"), "sums")
-    rows = [np.frombuffer(r.s) for r in parts.collect()]
+    rows = [np.frombuffer(r.s) for r in parts.repartition(FAN_IN).mapInArrow(add, "s binary").collect()]
     return np.sum(rows, axis=0) if rows else np.zeros(0)
 
 
