@@ -30,10 +30,11 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import fresh_path, save, table, tuned
+from attestor.llm.common import fresh_path, table, tuned
 
 SIDE = 64
 #: Bytes of an archive that one task reads, and of payload in one Arrow batch.
@@ -106,7 +107,7 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_archives(docs: DataFrame, folder: str) -> DataFrame:
-    """Stores each row's payload; returns the manifest: archive, members, bytes, one row an archive."""
+    """Stores each row's payload when it runs; the manifest has a row an archive: archive, members, bytes."""
     def run(batches):
         fs, root = store(folder)
         fs.create_dir(root, recursive=True)
@@ -130,7 +131,7 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
             size = fs.get_file_info(f"{root}/{name}").size
             yield pa.RecordBatch.from_pydict({"archive": [name], "members": [members], "bytes": [size]})
 
-    return save(docs.select("doc_id", "text").mapInArrow(run, "archive string, members long, bytes long"), "manifest")
+    return docs.select("doc_id", "text").mapInArrow(run, "archive string, members long, bytes long")
 
 
 class _Counted(io.RawIOBase):
@@ -257,5 +258,6 @@ _STRINGS = {"doc_id", "payload_sha256", "media_sha256", "feature"}
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents")
     folder = fresh_path(spark, "archives")
-    write_archives(docs, folder)
-    return features(read_media(spark, folder), docs.schema["doc_id"].dataType.simpleString())
+    stored = write_archives(docs, folder).agg(F.sum("members")).first()[0]
+    rows = features(read_media(spark, folder), docs.schema["doc_id"].dataType.simpleString())
+    return rows if stored else rows.limit(0)
