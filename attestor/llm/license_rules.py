@@ -35,12 +35,12 @@ zlib | origin of this software | the origin of this software must not be misrepr
 bsl-1.0 | boost software license | distributed under the boost software license version 1 0
 unlicense | free and unencumbered | this is free and unencumbered software released into the public domain
 wtfpl | what the fuck | you just do what the fuck you want to
-cc0-1.0 | dedicated | to the extent possible under law .{1,160}? has (?:waived|dedicated) all copyright and related
+cc0-1.0 | copyright | to the extent possible under law .{1,160}? has (?:waived|dedicated) all copyright and related
 cc0-1.0 | affirmer | affirmer hereby overtly fully permanently irrevocably and unconditionally waives
 cc-by | creative commons | (?:you are free to|this work is) .{0,80}? creative commons attribution (?:\d 0 )?(?:international|unported|generic)
 ofl-1.1 | font software | this font software is licensed under the sil open font license
 artistic-2.0 | artistic license | this (?:library|program|package) is free software you (?:can|may) redistribute it .{0,80}? artistic license 2 0
-python-2.0 | python software foundation | psf is making python available to licensee on an as is basis
+python-2.0 | licensee | psf is making python available to licensee on an as is basis
 openssl | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
 php-3.01 | php software | this product includes php software freely available from
 ms-pl | microsoft public license | this license governs use of the accompanying software .{0,300}? microsoft public license
@@ -52,7 +52,7 @@ unicode | unicode inc | unicode inc license agreement data files and software
 w3c | w3c | w3c software (?:notice and )?license
 afl-3.0 | academic free license | licensed under the academic free license version 3 0
 osl-3.0 | open software license | licensed under the open software license version 3 0
-eupl-1.2 | european union public | licensed under the (?:eupl version 1 2|european union public licen[cs]e 1 2)
+eupl-1.2 | licensed | licensed under the (?:eupl version 1 2|european union public licen[cs]e 1 2)
 cecill-2.1 | cecill | governed by the cecill license .{0,80}? 2 1
 qpl-1.0 | q public license | may be distributed under the terms of the q public license
 sleepycat | sleepycat | redistributions in any form must be accompanied by information on how to obtain complete source code .{0,200}? sleepycat
@@ -301,7 +301,7 @@ npl | netscape public license | netscape public license
 bittorrent | bittorrent open source license | bittorrent open source license
 intel | intel open source license | intel open source license
 nasa | nasa open source agreement | nasa open source agreement
-openrail | openrail | (?:creativeml |bigscience )?open ?rail(?:-m)?
+openrail | openrail | (?:creativeml |bigscience )?openrail(?:-m)?
 llama | llama | llama (?:\d (?:\d )?)?community license
 hippocratic | hippocratic license | hippocratic license
 blueoak | blue oak model license | blue oak model license
