@@ -13,9 +13,11 @@ from attestor.operators import answer as an
 from attestor.operators import conflicts as cf
 from attestor.operators import evaluate as ev
 from attestor.operators import graph, lexical, neardup, parsing, resolve, spans
+from attestor.operators import identity as idn
 from attestor.operators import ontology as on
+from attestor.operators import recording as rec
 from attestor.plans.views import duck, table, view
-from attestor.sources import corpus, tables
+from attestor.sources import corpus, reports, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -774,3 +776,115 @@ def incremental_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     both = a.join(b, ["eid", "decided"], "full_outer")
     none = lambda c: F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).cast("int")
     return both.agg(F.count("b").alias("edges"), none("a").alias("missing"), none("b").alias("surplus"))
+
+
+# ---- identities in evaluation, recorded decisions, reports ------------------------------------------------------
+
+_WORDS = lambda x: f"list_sort(list_distinct(list_filter(regexp_split_to_array(translate({tx.sql_casefold(x)}, '{idn.MARKED}', '{idn.PLAIN}'), '[^a-z]+'), lambda t: length(t) > 1 and t not in ({tx.quoted(idn.HONORIFICS)}))))"
+_LETTERS = lambda x: f"regexp_replace(translate({tx.sql_casefold(x)}, '{idn.MARKED}', '{idn.PLAIN}'), '[^a-z]', '', 'g')"
+
+
+def _name_keys(key: str, name: str, source: str, where: str = "true") -> str:
+    return f"select {key}, 'words:' || array_to_string({_WORDS(name)}, ' ') as k from {source} where len({_WORDS(name)}) >= 2 and {where} union select {key}, 'letters:' || {_LETTERS(name)} from {source} where len({_WORDS(name)}) >= 2 and {where}"
+
+
+_MATCH = f"""with people as (select distinct lower(email) as email, name from {duck('v_person')} where person_id % 5 = 0),
+entities as (select person_id as entity, name, email from {duck('v_person')} where person_id % 3 = 0),
+pk as (select email as person, 'email:' || email as k from people union {_name_keys('email as person', 'name', 'people')} union {_name_keys('email as person', "split_part(email, '@', 1)", 'people')}),
+own as (select k, min(person) as person from pk group by k having count(distinct person) = 1),
+ek as (select entity, 'email:' || lower(email) as k from entities union {_name_keys('entity', 'name', 'entities', "email like '%@redwood%'")} union {_name_keys('entity', "split_part(email, '@', 1)", 'entities', "email like '%@redwood%'")}),
+hits as (select entity, count(distinct person) as hits, min(person) as person from ek join own using (k) group by entity)"""
+
+
+@query(f"{_MATCH} select entity, case when hits = 1 then person end as person, coalesce(hits, 0) as hits from (select entity from entities) left join hits using (entity)")
+def identity_match(spark: SparkSession, d: str) -> DataFrame:
+    """The person of a directory that each observed entity is, or none."""
+    p = view(spark, d, "v_person")
+    directory = p.where("person_id % 5 = 0").select(F.lower("email").alias("email"), "name").distinct()
+    entities = p.where("person_id % 3 = 0").select(F.col("person_id").alias("entity"), "name", F.array("email").alias("emails"))
+    return idn.matched(entities, directory)
+
+
+@query(f"""with e as (select p_brand as entity, {_WORDS("replace(p_name, ' ', '.')")} as w from part),
+apart as (select distinct a.entity from e a join e b on a.entity = b.entity and len(a.w) >= 2 and len(b.w) >= 2 and not list_has_all(a.w, b.w) and not list_has_all(b.w, a.w))
+select entity, count(distinct w) filter (len(w) >= 2) as spellings from e where entity in (select entity from apart) group by entity""")
+def disagreement_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters whose addresses spell different names."""
+    emails = F.array_sort(F.collect_set(F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("@x.com")))).alias("emails")
+    rows = table(spark, d, "part").groupBy(F.col("p_brand").alias("entity")).agg(emails)
+    return idn.disagreements(rows).select("entity", F.col("spellings").cast("long").alias("spellings"))
+
+
+def _supplier_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("name"))
+
+
+@query(f"""{_SCORES}, named as (select s.*, s_name as name from scores s join supplier on s_suppkey = entity)
+select {ids.sql_edge_id('CANDIDATE_FOR', 'mention_id', 'entity')} as eid, mention_id, entity, score, row_number() over (partition by mention_id order by score desc, name, entity) as place from named""")
+def candidate_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates that the graph weighed, as edges."""
+    rows = rec.candidate_edges(_scored(spark, d), _supplier_names(spark, d))
+    return rows.select("eid", "mention_id", "entity", "score", F.col("place").cast("long").alias("place"))
+
+
+def _recorded(spark: SparkSession, d: str) -> DataFrame:
+    scored, names = _scored(spark, d), _supplier_names(spark, d)
+    n = F.count("*").alias("candidates")
+    none = F.lit(None).cast("long").alias("entity")
+    tiers = scored.groupBy("mention_id").agg(n).select("mention_id", none, F.lit("unresolved").alias("method"), F.lit(0.0).alias("confidence"), "candidates")
+    proposed = scored.limit(0).select("mention_id", "entity", F.lit("graph_proposed").alias("method"), F.lit(0.7).alias("confidence"))
+    return rec.record(tiers, graph.graph_tier(scored, names), proposed)
+
+
+@query(f"""{_SCORES}, named as (select s.*, s_name as name from scores s join supplier on s_suppkey = entity),
+ranked as (select *, row_number() over w as place, lead(score) over w as next from named window w as (partition by mention_id order by score desc, name, entity)),
+won as (select mention_id, entity from ranked where place = 1 and score > 0 and score > coalesce(next, 0))
+select case when w.entity is null then 'unresolved' else 'resolved' end as status, case when w.entity is null then 'unresolved' else 'graph_evidence' end as method, count(*) as n
+from (select distinct mention_id from scores) m left join won w using (mention_id) group by 1, 2""")
+def resolution_report(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded decisions by status and method."""
+    return reports.resolution(_recorded(spark, d)).select("status", "method", "n")
+
+
+@query("select * from (values ('resolution_explained', 0), ('nothing_pending', 0), ('entity_is_edge_target', 0), ('one_identity_per_organisation', 0), ('no_edge_missing', 0), ('no_edge_surplus', 0)) as v(\"check\", n)")
+def gate_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that the store must keep: each is broken nowhere."""
+    recorded = _recorded(spark, d)
+    persons = resolve.people(_mentions(spark, d))
+    merged = resolve.merged(persons, resolve.same_person(persons))
+    entities = merged.select(F.col("key").alias("entity"), "name", "emails")
+    found = cf.edges(view(spark, d, "v_claim")).select("eid")
+    return rec.violations(recorded, rec.resolves_to(recorded), entities, found, found)
+
+
+@query("select event_type as model, count(*) as calls, sum(user_id)::bigint as input_tokens, sum(event_id)::bigint as output_tokens from events group by event_type")
+def token_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Calls and tokens of each model."""
+    calls = table(spark, d, "events").select(F.col("event_type").alias("model"), F.col("user_id").alias("input_tokens"), F.col("event_id").alias("output_tokens"))
+    return reports.usage(calls)
+
+
+@query("select event_id, row_number() over (partition by user_id order by event_id) as place from events qualify place <= 400")
+def mention_cap(spark: SparkSession, d: str) -> DataFrame:
+    """The first mentions of each document, up to the cap."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("dsid"), F.col("event_id").alias("start"), F.col("event_id").alias("end"), F.lit("s").alias("surface"), "event_id")
+    kept = resolve.capped(rows)
+    w = Window.partitionBy("dsid").orderBy("start")
+    return kept.select("event_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("""with v as (select o_custkey, count(*) filter (o_orderstatus = 'F') as f, count(*) as n from orders group by o_custkey)
+select o_custkey as question, f::double / n >= 0.5 as passed from v""")
+def verdict_tally(spark: SparkSession, d: str) -> DataFrame:
+    """Whether enough runs of each question ended in an allowed verdict."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("question"), F.col("o_orderstatus").alias("verdict"), F.array(F.lit("F")).alias("allowed"))
+    return ev.verdict_shares(rows, 0.5).select("question", "passed")
+
+
+@query("""with m as (select p_type as method, concat(substr(p_brand, 1, 7), p_size % 2) as system, p_brand as gold from part),
+cells as (select system, gold, count(*) as n from m group by system, gold), main as (select system, gold as main from cells qualify row_number() over (partition by system order by n desc, gold desc) = 1)
+select method, count(*) as n, count(*) filter (gold = main) as "right" from m join main using (system) group by method""")
+def precision_by_method(spark: SparkSession, d: str) -> DataFrame:
+    """How often each method is with its cluster's main person."""
+    rows = table(spark, d, "part").select(F.col("p_type").alias("method"), F.concat(F.substring("p_brand", 1, 7), (F.col("p_size") % 2).cast("string")).alias("system"), F.col("p_brand").alias("gold"))
+    return ev.precision_by_method(rows).select("method", "n", F.col("right").cast("long").alias("right"))
