@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 #: A table is broadcast only if a count has shown that it has at most so many rows.
 BROADCAST_ROWS = 200_000
+#: Rows for which a written table gets another file.
+ROWS_PER_FILE = 4_000
 #: Bytes of text that one vectorised step takes at once (one longer text is taken alone).
 CHUNK_BYTES = 1 << 19
 
@@ -44,12 +46,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/attestor/{uuid.uuid4().hex}/{name}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and returns it as read from there: later steps neither
-    repeat the work nor depend on the executors that did it."""
+    repeat the work nor depend on the executors that did it. rows: a bound or estimate of its rows; a small table then
+    goes to a few files, whatever the number of shuffle partitions, and a large one to as many files as it has partitions."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,15 +22,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hooked.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """links (l, r) to (id, component): the smallest id that each linked id can reach. Ids without a link are absent.
+    rows: an estimate of the links.
 
     Aggregates combine before they shuffle, and a hub's edges shrink to one per neighbour with every step; each
     step is written to the shared folder, which cuts the lineage. Steps grow with the logarithm of the longest path."""
     edges = links.where("l <> r").select(F.greatest("l", "r").alias("u"), F.least("l", "r").alias("v")).distinct()
     mark = None
     while True:
-        edges = save(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        edges = save(_small_star(_large_star(edges).distinct()).distinct(), "edges", rows)
         # the state has settled when the same edges come out again
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:

@@ -59,7 +59,7 @@ def starts(postings: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame
     ranked = slots.groupBy("w").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "t"))).alias("by"))
     # a window with a term that the corpus lacks occurs nowhere
     ranked = ranked.where("by[0].n > 0").select("w", F.col("by")[0]["t"].alias("t"), F.col("by")[0]["o"].alias("o"), F.get("by", F.lit(1))["t"].alias("t2"), F.get("by", F.lit(1))["o"].alias("o2"))
-    ranked = save(ranked, "lists")
+    ranked = save(ranked, "lists", n_windows)
     first = postings.join(maybe_broadcast(ranked, n_windows), "t").where("p >= o").select("k", (F.col("p") - F.col("o")).alias("start"), "w", "t2", "o2")
     alone = first.where("t2 is null").select("k", "start", "w")
     pairs = first.where("t2 is not null").select("k", "start", "w", F.col("t2").alias("t"), (F.col("start") + F.col("o2")).alias("p"))
@@ -74,7 +74,7 @@ def search(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     found = test_windows(items, size)
     # windows of equal terms are one window with several items
     windows = found.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    windows = save(windows.withColumn("w", F.xxhash64("terms")), "windows")
+    windows = save(windows.withColumn("w", F.xxhash64("terms")), "windows", 100 * items.count())
     n_windows = windows.count()
     terms = windows.select(F.explode("terms").alias("term")).distinct().withColumn("t", F.hash("term"))
     # terms whose numbers collide share a list: that adds starts, which the documents then refuse
@@ -83,7 +83,7 @@ def search(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     near = starts(postings, numbered, n_windows)
     near = near.join(maybe_broadcast(windows, n_windows, BROADCAST_ROWS // 10), "w")
     # a document has at most as many starts as words, and each is verified against its words
-    near = save(near.groupBy("k").agg(F.collect_list(F.struct("start", "terms", "item_ids")).alias("near")), "starts")
+    near = save(near.groupBy("k").agg(F.collect_list(F.struct("start", "terms", "item_ids")).alias("near")), "starts", docs.count())
     # the explode of one value keeps the optimizer from splitting the text again for every start
     rows = docs.join(near.hint("shuffle_hash"), "k", "left").select("doc_id", "near", F.explode(F.array(words_of(F.col("text")))).alias("words"))
     exact = F.filter("near", lambda x: F.slice(F.col("words"), x.start + 1, F.size(x.terms)) == x.terms)

@@ -270,6 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n long, f1 long, f2 long, keys array<long>, " + ", ".join(f"{b} long" for b in _BITS)
     signed = save(docs.mapInArrow(_sign, schema), "signatures")
+    rows = signed.count()
     real = signed.where("n > 0 and doc_id is not null")
     # one node for each set; rows of one doc_id with different texts are linked through that id
     group = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -277,29 +278,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     nodes = nodes.select(F.col("doc_id").alias("id"), "n", "keys", *_BITS)
     tables = shared_keys(nodes)
     sizes = tables.groupBy("t").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top")
-    tables = save(tables.join(sizes.select("t", "hub"), "t"), "tables")
+    tables = save(tables.join(sizes.select("t", "hub"), "t"), "tables", rows)
 
     ids = tables.select("id").distinct()
-    lean = save(nodes.join(ids, "id", "left_semi"), "candidates")
+    lean = save(nodes.join(ids, "id", "left_semi"), "candidates", rows)
     members = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-    sets = save(members.mapInArrow(_sets, f"id {kind}, s array<long>"), "sets")
+    sets = save(members.mapInArrow(_sets, f"id {kind}, s array<long>"), "sets", rows)
 
     stars = tables.where("id <> hub").select(F.col("hub").alias("l"), F.col("id").alias("r")).distinct()
-    stars = save(possible(stars, lean, percent), "stars")
+    stars = save(possible(stars, lean, percent), "stars", rows)
     same_id = real.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").join(real, "doc_id").join(group, ["f1", "f2"])
     same_id = same_id.where("doc_id <> rep").select(F.col("rep").alias("l"), F.col("doc_id").alias("r")).distinct()
-    found = components(save(verified(stars, sets, percent).unionByName(same_id).distinct(), "links"))
+    found = components(save(verified(stars, sets, percent).unionByName(same_id).distinct(), "links", rows), rows)
 
     # members of one table in different components: what no star has tested
     rest = tables.join(found, "id", "left").select("t", "i", "j", "id", F.coalesce("component", "id").alias("c"))
     mixed = rest.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("t")
     rest = rest.join(mixed, "t", "left_semi").join(lean, "id")
     pairs = unsettled_pairs(rest, percent).distinct().join(stars, ["l", "r"], "left_anti")
-    more = save(verified(pairs, sets, percent).distinct(), "links")
+    more = save(verified(pairs, sets, percent).distinct(), "links", rows)
     if not more.isEmpty():
         # the links so far enter as what they have led to
         known = found.select(F.col("id").alias("l"), F.col("component").alias("r"))
-        found = components(known.unionByName(more))
+        found = components(known.unionByName(more), rows)
 
     root = group.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or component is not null")
     root = root.select("f1", "f2", F.coalesce("component", "rep").alias("component"))

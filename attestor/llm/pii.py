@@ -257,10 +257,10 @@ def _assign(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, surrogate string")
 
 
-def assignments(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def assignments(entities: DataFrame, key: bytes = KEY, rows: int | None = None) -> DataFrame:
     """kind, entity, attempt, surrogate for each distinct entity: no two of one family of kinds share a replacement
     (they must differ in what is written, so separators do not count), and none is an original."""
-    given = save(_assign(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
+    given = save(_assign(entities.withColumn("attempt", F.lit(0)), key), "surrogates", rows)
     family = F.substring_index("kind", ":", 1)
     originals = given.select(family.alias("family"), F.col("entity").alias("surrogate"))
     while True:
@@ -270,11 +270,11 @@ def assignments(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         shared = named.join(first.where("n > 1"), ["family", "surrogate"]).where(F.struct("attempt", "kind", "entity") != F.col("keeps"))
         taken = named.join(originals, ["family", "surrogate"], "left_semi")
         again = shared.select("kind", "entity", "attempt").unionByName(taken.select("kind", "entity", "attempt")).distinct()
-        again = save(again.where(F.col("attempt") < MAX_ATTEMPTS), "again")
+        again = save(again.where(F.col("attempt") < MAX_ATTEMPTS), "again", rows)
         if again.isEmpty():
             return given
         retried = _assign(again.withColumn("attempt", (F.col("attempt") + 1).cast("int")), key)
-        given = save(given.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(retried), "surrogates")
+        given = save(given.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(retried), "surrogates", rows)
 
 
 def rewrite(text: str | None, exceptions: dict[tuple[str, str], int], key: bytes) -> tuple[str | None, list[str]]:
@@ -294,8 +294,8 @@ def replace(docs: DataFrame, key: bytes = KEY, bound: int = BROADCAST_ROWS) -> D
     """docs with all their columns, `text` rewritten, and `_kinds`, an array of the kinds replaced in it."""
     spark = tuned(docs.sparkSession)
     told = save(mentions(docs), "mentions")
-    entities = told.select("kind", "entity").distinct()
-    exceptions = save(assignments(entities, key).where("attempt > 0").select("kind", "entity", "attempt"), "exceptions")
+    entities, count = told.select("kind", "entity").distinct(), told.count()
+    exceptions = save(assignments(entities, key, count).where("attempt > 0").select("kind", "entity", "attempt"), "exceptions", count)
     n = exceptions.count()
     if n <= bound:
         sent = spark.sparkContext.broadcast({(r.kind, r.entity): r.attempt for r in exceptions.toLocalIterator()})

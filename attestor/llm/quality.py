@@ -194,7 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, fit_with: C
     tuned(docs.sparkSession)
     rows = described(docs)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("y").cast("double").alias("y")).where("y is not null")
-    train = save(rows.join(known, F.col("doc_id") == F.col("_id")).where(learn_from).withColumn("fit", fit_with).select("f", "y", "fit"), "training")
+    train = save(rows.join(known, F.col("doc_id") == F.col("_id")).where(learn_from).withColumn("fit", fit_with).select("f", "y", "fit"), "training", labels.count())
     model = fit_ridge(train.where("fit").select("f", "y"))
     if model is None:
         share = train.agg(F.avg("y")).first()[0]
