@@ -17,8 +17,10 @@ from attestor.llm.common import save, table
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids; null counts as an id."""
-    picked = ids.select(F.col("doc_id").alias("_picked")).distinct()
-    return docs.join(picked, docs["doc_id"].eqNullSafe(picked["_picked"]), "left_semi")
+    known = docs.where("doc_id is not null").join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    if ids.where("doc_id is null").isEmpty():
+        return known
+    return known.unionByName(docs.where("doc_id is null"))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,13 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: the document with the smallest id of each group; repeated rows of one id stay once."""
-    kept = _chosen(docs, near_dup.near_duplicates(docs).where("kept"))
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    found = save(near_dup.near_duplicates(docs).select("doc_id", "kept"), "kept", docs.count())
+    kept = _chosen(docs, found.where("kept"))
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():  # the usual case: texts need not meet by id once more
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
