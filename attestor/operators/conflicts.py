@@ -34,18 +34,16 @@ def facts(claims: DataFrame, identity: DataFrame | None = None) -> DataFrame:
 
 def recency(claims: DataFrame) -> DataFrame:
     """dsid, position (0 for the oldest dated document, 1 for the newest), by timestamp, then dsid. The position is a rank
-    over all dated documents; it is computed by counting per range partition, not in one task."""
+    over all dated documents: within each day by a window, before each day by a running total of the days' sizes."""
     dated = claims.where("timestamp is not null").groupBy("dsid").agg(F.min("timestamp").alias("timestamp"))
-    ranked = dated.repartitionByRange("timestamp", "dsid").withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy("timestamp", "dsid")
-    local = ranked.withColumn("_r", F.row_number().over(w) - 1)
-    # one row a partition: their running total is the offset
-    sizes = ranked.groupBy("_p").agg(F.count("*").alias("size"))
-    offsets = sizes.withColumn("_before", F.sum("size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    total = dated.agg(F.count("*").alias("_n"))
-    placed = local.join(F.broadcast(offsets), "_p").join(F.broadcast(total))
-    position = F.when(F.col("_n") > 1, (F.coalesce("_before", F.lit(0)) + F.col("_r")) / (F.col("_n") - 1)).otherwise(0.5)
-    return placed.select("dsid", position.cast("double").alias("position"))
+    dated = dated.withColumn("_day", F.floor(F.col("timestamp") / 86400))
+    local = dated.withColumn("_r", F.row_number().over(Window.partitionBy("_day").orderBy("timestamp", "dsid")) - 1)
+    # one row a day, so this window is short
+    days = dated.groupBy("_day").agg(F.count("*").alias("size"))
+    whole = Window.orderBy("_day")
+    days = days.select("_day", (F.sum("size").over(whole) - F.col("size")).alias("_before"), F.sum("size").over(Window.partitionBy()).alias("_n"))
+    position = F.when(F.col("_n") > 1, (F.col("_before") + F.col("_r")) / (F.col("_n") - 1)).otherwise(0.5)
+    return local.join(days, "_day").select("dsid", position.cast("double").alias("position"))
 
 
 def versions(rows: DataFrame, ordering: DataFrame | None = None, canonical: DataFrame | None = None) -> DataFrame:
@@ -129,6 +127,14 @@ def detect(claims: DataFrame, identity: DataFrame | None = None, canonical: Data
     return found, decisions(found)
 
 
+def version_pairs(found: DataFrame) -> DataFrame:
+    """found: versions(). who, relation, a, b, edges: contradicting versions and the number of claim pairs between them;
+    with the claims' own versions this says what edges() says without writing the pairs out."""
+    left = found.select("who", "relation", F.col("value").alias("a"), F.col("place").alias("pa"), F.col("claims").alias("na"))
+    right = found.select("who", "relation", F.col("value").alias("b"), F.col("place").alias("pb"), F.col("claims").alias("nb"))
+    return left.join(right, ["who", "relation"]).where("pa < pb").select("who", "relation", "a", "b", (F.col("na") * F.col("nb")).alias("edges"))
+
+
 def edges(claims: DataFrame, identity: DataFrame | None = None, canonical: DataFrame | None = None) -> DataFrame:
     """One edge for each two claims of one fact with different values, from the lower id to the higher.
     What is asked for is the pairs themselves, so their number is the output's size."""

@@ -260,29 +260,36 @@ def median_first_rank(spark: SparkSession, d: str) -> DataFrame:
 
 _GRAMS = f"""w as (select id, list_filter(regexp_split_to_array({tx.sql_casefold('body')}, '[^a-z0-9]+'), lambda x: x <> '') as w from {duck('v_doc')}),
 sets as (select id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end as s from w),
-items as (select id, unnest(s) as g from sets),
+classes as (select id, min(id) over (partition by md5(array_to_string(list_sort(s), chr(31)))) as rep from sets where len(s) > 0),
+items as (select id, unnest(s) as g from sets where id in (select rep from classes)),
 pairs as (select a.id as l, b.id as r, count(*) as n from items a join items b on a.g = b.g and a.id < b.id group by all),
 near as (select l, r, n::double / (len(x.s) + len(y.s) - n) as j from pairs join sets x on x.id = l join sets y on y.id = r where n::double / (len(x.s) + len(y.s) - n) >= 0.6)"""
 
 
 @query(f"with {_GRAMS} select l, r, floor(j * 10000 + 0.5 + 1e-9)::bigint as similarity_e4 from near")
 def exact_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose shingles agree by six tenths or more."""
+    """Representatives of equal documents whose shingles agree by six tenths or more."""
     return neardup.similar_pairs(view(spark, d, "v_doc").select("id", "body")).select("l", "r", scoring.ten_thousandths(F.col("similarity")).alias("similarity_e4"))
 
 
+@query(f"with {_GRAMS} select id, rep as representative from classes where id <> rep")
+def duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the shingles of another, and the smallest id of those."""
+    return neardup.classes(view(spark, d, "v_doc").select("id", "body")).where("id <> representative")
+
+
 @query()
 def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The same by signatures: candidates from bands, similarity estimated."""
     return neardup.estimated_pairs(view(spark, d, "v_doc").select("id", "body"))
 
 
-@query(f"""with recursive {_GRAMS}, links as (select l, r from near union all select r, l from near),
+@query(f"""with recursive {_GRAMS}, both_kinds as (select l, r from near union all select rep, id from classes where id <> rep), links as (select l, r from both_kinds union all select r, l from both_kinds),
 reach as (select l as id, l as least from links union select links.r, least from reach join links on links.l = reach.id)
 select id, min(least) as representative from reach group by id""")
 def neardup_components(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of similar documents by their smallest id."""
-    return neardup.canonical(neardup.similar_pairs(view(spark, d, "v_doc").select("id", "body")))
+    return neardup.clusters(view(spark, d, "v_doc").select("id", "body"))
 
 
 # ---- ontology and conflicts -------------------------------------------------------------------------------------
@@ -385,6 +392,12 @@ def conflict_edges(spark: SparkSession, d: str) -> DataFrame:
     return cf.edges(view(spark, d, "v_claim")).select("eid", "src", "dst", "predicate", "decided")
 
 
+@query(f"with {_VERSIONS} select a.who, a.relation, a.value as a, b.value as b, a.claims * b.claims as edges from versions a join versions b on a.who = b.who and a.relation = b.relation and a.place < b.place")
+def conflict_version_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Contradicting versions, and how many edges between claims each pair stands for."""
+    return cf.version_pairs(cf.detect(view(spark, d, "v_claim"))[0])
+
+
 @query(f"with {_POSITION}, {_FACTS}, keys as (select distinct who, relation from facts where dsid % 11 = 0) select claim_id, dsid from facts join keys using (who, relation)")
 def conflict_touched_facts(spark: SparkSession, d: str) -> DataFrame:
     """Claims of the facts that some documents speak of."""
@@ -846,7 +859,7 @@ def resolution_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.resolution(_recorded(spark, d)).select("status", "method", "n")
 
 
-@query("select * from (values ('resolution_explained', 0), ('nothing_pending', 0), ('entity_is_edge_target', 0), ('one_identity_per_organisation', 0), ('no_edge_missing', 0), ('no_edge_surplus', 0)) as v(\"check\", n)")
+@query("select \"check\", n::bigint as n from (values ('resolution_explained', 0), ('nothing_pending', 0), ('entity_is_edge_target', 0), ('one_identity_per_organisation', 0), ('no_edge_missing', 0), ('no_edge_surplus', 0)) as v(\"check\", n)")
 def gate_violations(spark: SparkSession, d: str) -> DataFrame:
     """Rules that the store must keep: each is broken nowhere."""
     recorded = _recorded(spark, d)

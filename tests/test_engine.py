@@ -106,8 +106,10 @@ def test_bm25_ranks_and_phrases(spark):
 def test_near_duplicates(spark):
     base = "the runbook says drain the node then wait for replicas to catch up before the upgrade starts and page the owner if lag grows " * 2
     docs = spark.createDataFrame([("a", base), ("b", base + "extra words here"), ("c", "something else entirely about quarterly finance and hiring plans"), ("d", ""), ("e", None), ("f", "hi"), ("g", "HI!")], "id string, body string")
-    assert sorted((r.l, r.r) for r in neardup.similar_pairs(docs).collect()) == [("a", "b"), ("f", "g")]
-    assert {("a", "b"), ("f", "g")} <= {(r.l, r.r) for r in neardup.estimated_pairs(docs).collect()}
+    assert sorted((r.l, r.r) for r in neardup.similar_pairs(docs).collect()) == [("a", "b")]
+    assert ("a", "b") in {(r.l, r.r) for r in neardup.estimated_pairs(docs).collect()}
+    assert {(r.id, r.representative) for r in neardup.classes(docs).where("id <> representative").collect()} == {("g", "f")}
+    assert dict(neardup.clusters(docs).collect()) == {"a": "a", "b": "a", "f": "f", "g": "f"}
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(50, 60)], "l long, r long")
     got = dict(neardup.canonical(chain).collect())
     assert set(got.values()) == {1, 50} and 60 in got and 99 not in got
