@@ -360,13 +360,14 @@ def compile_lexicon(spark: SparkSession, counts: DataFrame, source: bytes, size:
     with open(os.path.join(folder, "lexicon"), "rb") as f:
         name = f"lexicon-{hashlib.sha256(f.read() + source).hexdigest()[:24]}"
     os.rename(os.path.join(folder, "lexicon"), os.path.join(folder, name))
-    if name not in _sent:  # Spark's own file server gives it to each executor, now or when one is added
+    sent = (spark.sparkContext.applicationId, name)
+    if sent not in _sent:  # Spark's own file server gives it to each executor, now or when one is added
         spark.sparkContext.addFile(os.path.join(folder, name))
-        _sent.add(name)
+        _sent.add(sent)
     return name
 
 
-_sent: set[str] = set()
+_sent: set[tuple[str, str]] = set()
 
 
 def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON_WORDS, digests: bool = False) -> DataFrame:
