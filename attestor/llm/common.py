@@ -16,6 +16,8 @@ ARROW_ROWS = 512
 BROADCAST_ROWS = 200_000
 #: Rows for which a written table gets another file.
 ROWS_PER_FILE = 4_000
+#: Documents that one task of a text pass takes, at least, when it writes something.
+ROWS_PER_SHARD = 20_000
 #: Bytes of text that one vectorised step takes at once (one longer text is taken alone).
 CHUNK_BYTES = 1 << 19
 
@@ -52,10 +54,21 @@ def save(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     goes to a few files, whatever the number of shuffle partitions, and a large one to as many files as it has partitions."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).write.parquet(path)
+    writer = (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).write
+    if path.startswith(("file:", "/")):
+        # each file there starts a process to set its mode, and two more for its checksum file, which is left out
+        writer = writer.options(**{"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"})
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_shards(docs: DataFrame) -> DataFrame:
+    """docs in tasks of ROWS_PER_SHARD rows or more, if that still keeps all cores busy: what each task writes is then a
+    file worth reading. No row moves."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.coalesce(max(2 * cores, docs.count() // ROWS_PER_SHARD))
+
+
 def maybe_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the counted rows are within the bound; else Spark shuffles."""
     return F.broadcast(df) if rows <= bound else df

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import BROADCAST_ROWS, ascii_lower, maybe_broadcast, save, table
+from attestor.llm.common import BROADCAST_ROWS, ascii_lower, in_shards, maybe_broadcast, save, table
 
 WINDOW = 8
 #: What separates words, once A-Z are lower case.
@@ -43,7 +43,7 @@ def test_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """The positional index: term number t, document key k, position p, for the terms (t, term) given."""
-    rows = docs.select("k", F.posexplode(words_of(F.col("text"))).alias("p", "term"))
+    rows = in_shards(docs).select("k", F.posexplode(words_of(F.col("text"))).alias("p", "term"))
     return save(rows.join(maybe_broadcast(terms, n_terms), "term").select("t", "k", "p"), "postings")
 
 

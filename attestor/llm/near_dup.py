@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import chunks, mix, save, table, tuned, utf8
+from attestor.llm.common import chunks, in_shards, mix, save, table, tuned, utf8
 from attestor.llm.components import components
 
 WIDTH, SIDE, HALF = 5, 12, 2
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n long, f1 long, f2 long, keys array<long>, " + ", ".join(f"{b} long" for b in _BITS)
-    signed = save(docs.mapInArrow(_sign, schema), "signatures")
+    signed = save(in_shards(docs).mapInArrow(_sign, schema), "signatures")
     rows = signed.count()
     real = signed.where("n > 0 and doc_id is not null")
     # one node for each set; rows of one doc_id with different texts are linked through that id

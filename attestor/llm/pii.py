@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from attestor.llm.common import BROADCAST_ROWS, save, table, tuned
+from attestor.llm.common import BROADCAST_ROWS, in_shards, save, table, tuned
 
 KEY = b"attestor surrogate key"
 MAX_ATTEMPTS = 64
@@ -293,7 +293,7 @@ def rewrite(text: str | None, exceptions: dict[tuple[str, str], int], key: bytes
 def replace(docs: DataFrame, key: bytes = KEY, bound: int = BROADCAST_ROWS) -> DataFrame:
     """docs with all their columns, `text` rewritten, and `_kinds`, an array of the kinds replaced in it."""
     spark = tuned(docs.sparkSession)
-    told = save(mentions(docs), "mentions")
+    told = save(mentions(in_shards(docs)), "mentions")
     entities, count = told.select("kind", "entity").distinct(), told.count()
     exceptions = save(assignments(entities, key, count).where("attempt > 0").select("kind", "entity", "attempt"), "exceptions", count)
     n = exceptions.count()

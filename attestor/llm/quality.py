@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import fold_of, save, table, tuned, utf8
+from attestor.llm.common import fold_of, in_shards, save, table, tuned, utf8
 
 FEATURES, RIDGE, BINS, SEED = 256, 1e-3, 512, 11
 #: Kernel width, in units of the square root of the number of statistics.
@@ -73,7 +73,7 @@ def _describe(batches):
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, f: the statistics of each document, in the shared folder."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return save(docs.select("doc_id", "text").mapInArrow(_describe, f"doc_id {kind}, f array<float>"), "statistics")
+    return save(in_shards(docs.select("doc_id", "text")).mapInArrow(_describe, f"doc_id {kind}, f array<float>"), "statistics")
 
 
 def matrix(col: pa.Array) -> np.ndarray:
