@@ -121,9 +121,9 @@ def decisions(found: DataFrame) -> DataFrame:
     )
 
 
-def detect(claims: DataFrame, identity: DataFrame | None = None, canonical: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The versions and the decision of every contested fact."""
-    found = versions(facts(claims, identity), recency(claims), canonical)
+def detect(claims: DataFrame, identity: DataFrame | None = None, canonical: DataFrame | None = None, ordering: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The versions and the decision of every contested fact. ordering: recency() of more claims than these."""
+    found = versions(facts(claims, identity), recency(claims) if ordering is None else ordering, canonical)
     return found, decisions(found)
 
 
@@ -135,11 +135,11 @@ def version_pairs(found: DataFrame) -> DataFrame:
     return left.join(right, ["who", "relation"]).where("pa < pb").select("who", "relation", "a", "b", (F.col("na") * F.col("nb")).alias("edges"))
 
 
-def edges(claims: DataFrame, identity: DataFrame | None = None, canonical: DataFrame | None = None) -> DataFrame:
+def edges(claims: DataFrame, identity: DataFrame | None = None, canonical: DataFrame | None = None, ordering: DataFrame | None = None) -> DataFrame:
     """One edge for each two claims of one fact with different values, from the lower id to the higher.
     What is asked for is the pairs themselves, so their number is the output's size."""
     rows = facts(claims, identity).where("value <> ''")
-    _, decided = detect(claims, identity, canonical)
+    _, decided = detect(claims, identity, canonical, ordering)
     left = rows.select("who", "relation", F.col("claim_id").alias("src"), F.col("value").alias("a"), F.col("subject").alias("subject"))
     right = rows.select("who", "relation", F.col("claim_id").alias("dst"), F.col("value").alias("b"))
     pairs = left.join(right, ["who", "relation"]).where("src < dst and a <> b").select("who", "relation", "src", "dst")
@@ -158,12 +158,13 @@ def touched(claims: DataFrame, documents: DataFrame, identity: DataFrame | None
 def reconcile(claims: DataFrame, documents: DataFrame, persisted: DataFrame, identity: DataFrame | None = None, canonical: DataFrame | None = None) -> DataFrame:
     """The edges after new documents: those of touched facts anew, the others as they were. Recency ranks are over all
     claims, as a new document can move them; so a fact is touched too if its claims' decision could move with them."""
-    fresh = edges(claims, identity, canonical)
     rows = facts(claims, identity)
     keys = rows.join(documents.select("dsid").distinct(), "dsid", "left_semi").select("who", "relation").distinct()
     moved = rows.where("timestamp is not null and mutable").select("who", "relation").distinct()
-    of_fact = rows.join(keys.unionByName(moved).distinct(), ["who", "relation"], "left_semi").select(F.col("claim_id").alias("src")).distinct()
-    return persisted.join(of_fact, "src", "left_anti").unionByName(fresh.join(of_fact, "src", "left_semi").select(*persisted.columns))
+    again = rows.join(keys.unionByName(moved).distinct(), ["who", "relation"], "left_semi").select("claim_id").distinct()
+    # whole facts are judged anew, with ranks over all claims; the others keep their edges
+    fresh = edges(claims.join(again, "claim_id", "left_semi"), identity, canonical, recency(claims))
+    return persisted.join(again.withColumnRenamed("claim_id", "src"), "src", "left_anti").select(*persisted.columns).unionByName(fresh.select(*persisted.columns))
 
 
 def stale(persisted: DataFrame, current: DataFrame) -> DataFrame:
