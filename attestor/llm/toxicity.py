@@ -253,8 +253,10 @@ def _evidence(docs: Iterable[set], y: np.ndarray) -> tuple[dict, dict]:
 def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Scorer:
     """Fits the network to documents. Word vectors start from the words' evidence in the sample."""
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) or [""] for t in texts]
-    spelt = {w: set(grams_of(w)) for w in set().union(*docs)}
+    one: dict[str, str] = {}  # equal words, and equal numbers below, are kept once
+    docs = [[one.setdefault(w, w) for w in words_of(t)] or [""] for t in texts]
+    numbers = list(range(GRAMS))
+    spelt = {w: tuple({numbers[g] for g in grams_of(w)}) for w in set().union(*docs)}
     evidence, count = _evidence(map(set, docs), y)
     pieces, _ = _evidence((set().union(*(spelt[w] for w in set(d))) for d in docs), y)
     common = sorted((w for w, n in count.items() if n >= 3), key=lambda w: (-abs(evidence[w]), -count[w], w))[:VOCABULARY]
