@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import ids, scoring
@@ -16,7 +16,7 @@ from attestor.operators import graph, lexical, neardup, parsing, resolve, spans
 from attestor.operators import identity as idn
 from attestor.operators import ontology as on
 from attestor.operators import recording as rec
-from attestor.plans.views import duck, table, view
+from attestor.plans.views import duck, is_whole, some, table, view, whole
 from attestor.sources import corpus, reports, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,9 +195,15 @@ scored as (select qid, tf.id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6
 ranked as (select qid, id, score, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from scored)"""
 
 
+def _words(start: int, n: int) -> Column:
+    """n of a question's terms from a place on, or all in a whole query."""
+    terms = tx.terms(F.col("text"))
+    return terms if is_whole() else F.slice(terms, start, n)
+
+
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = view(spark, d, "v_doc")
-    asked = view(spark, d, "v_question").select("qid", F.array_distinct(F.slice(tx.terms(F.col("text")), 3, 13)).alias("terms"))
+    asked = view(spark, d, "v_question").select("qid", F.array_distinct(_words(3, 13)).alias("terms"))
     return docs, lexical.postings(docs), lexical.corpus_stats(docs), asked
 
 
@@ -223,7 +229,7 @@ runs as (select id, array_to_string(b[i:i+3], ' ') as g from docs, lateral (sele
 select pid, id, count(*) as n from phrases join runs on g = array_to_string(terms, ' ') where len(terms) = 4 group by pid, id""")
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a question's phrase of four words."""
-    phrases = view(spark, d, "v_question").select(F.col("qid").alias("pid"), F.slice(tx.terms(F.col("text")), 3, 4).alias("terms")).where("size(terms) = 4")
+    phrases = view(spark, d, "v_question").select(F.col("qid").alias("pid"), _words(3, 4).alias("terms")).where(some("size(terms) = 4")).where("size(terms) > 0")
     return lexical.phrase_matches(view(spark, d, "v_doc"), phrases)
 
 
@@ -442,8 +448,8 @@ _SCORES = f"with {_CO}, {_CANDIDATES}, scores as (select c.mention_id, c.entity,
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     m, co, part = _graph(spark, d)
     e = F.col("entity")
-    some = m.where("dsid % 5 = 0").select("mention_id", "dsid", "channel", F.explode(F.array(e, e + 1, e + 2)).alias("entity"))
-    return graph.candidate_scores(some, co, part)
+    asked = m.where(some("dsid % 5 = 0")).select("mention_id", "dsid", "channel", F.explode(F.array(e, e + 1, e + 2)).alias("entity"))
+    return graph.candidate_scores(asked, co, part)
 
 
 @query(f"{_SCORES} select mention_id, entity, score from scores")
@@ -475,7 +481,7 @@ def propose_structure(spark: SparkSession, d: str) -> DataFrame:
     m, co, part = _graph(spark, d)
     parts = table(spark, d, "part")
     name = F.col("p_name")
-    asking = m.where("dsid % 7 = 0").join(parts, F.col("channel") == F.col("p_partkey")).select("mention_id", "dsid", "channel", F.concat(F.substring(name, 1, 1), F.substring(name, 3, 2)).alias("token"))
+    asking = m.where(some("dsid % 7 = 0")).join(parts, F.col("channel") == F.col("p_partkey")).select("mention_id", "dsid", "channel", F.concat(F.substring(name, 1, 1), F.substring(name, 3, 2)).alias("token"))
     entities = table(spark, d, "supplier").join(parts, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("entity"), name.alias("name"))
     out = graph.propose(asking, co, part, entities)
     return out.select("mention_id", "entity", "method", scoring.ten_thousandths(F.col("confidence")).cast("int").alias("confidence_e4"))
@@ -486,7 +492,7 @@ select anchor, dsid, ticket, place from (select *, row_number() over (partition
 def ticket_related(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share a ticket with some documents, the first six of each."""
     refs = view(spark, d, "v_reference")
-    out = graph.related_by_ticket(refs.where("dsid % 50 = 1").select("dsid"), refs)
+    out = graph.related_by_ticket(refs.where(some("dsid % 50 = 1")).select("dsid"), refs)
     return out.select("anchor", "dsid", "ticket", F.col("place").cast("long").alias("place"))
 
 
@@ -501,13 +507,13 @@ select distinct e.claim_id, e.other, e.predicate, e.decided, c.object as other_o
 def contested_claims(spark: SparkSession, d: str) -> DataFrame:
     """The rivals of used claims, whichever way the edge points."""
     claims = view(spark, d, "v_claim")
-    return graph.contested(claims.where("claim_id % 13 = 0"), cf.edges(claims), claims).select("claim_id", "other", "predicate", "decided", "other_object", "other_dsid")
+    return graph.contested(claims.where(some("claim_id % 13 = 0")), cf.edges(claims), claims).select("claim_id", "other", "predicate", "decided", "other_object", "other_dsid")
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     claims = view(spark, d, "v_claim")
     spans_ = claims.select((F.col("claim_id") * 2).alias("span_id"), "quote")
-    return graph.evidence(claims.where("dsid % 9 = 0").select("dsid"), claims.select("dsid", "claim_id"), claims.select("claim_id", "subject", "object"), claims.select("claim_id", (F.col("claim_id") * 2).alias("span_id")), spans_)
+    return graph.evidence(claims.where(some("dsid % 9 = 0")).select("dsid"), claims.select("dsid", "claim_id"), claims.select("claim_id", "subject", "object"), claims.select("claim_id", (F.col("claim_id") * 2).alias("span_id")), spans_)
 
 
 @query(f"select dsid, claim_id, claim_id * 2 as span_id, subject, object, quote from {duck('v_claim')} where dsid % 9 = 0")
@@ -698,7 +704,7 @@ def span_validation(spark: SparkSession, d: str) -> DataFrame:
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     claims = view(spark, d, "v_claim")
-    used = claims.where("claim_id % 13 = 0").withColumn("qid", F.col("claim_id") % 100)
+    used = claims.where(some("claim_id % 13 = 0")).withColumn("qid", F.col("claim_id") % 100)
     w = Window.partitionBy("qid").orderBy("claim_id")
     rows = used.withColumn("place", F.row_number().over(w) - 1).withColumn("evidence_id", F.concat(F.lit("e"), F.col("place").cast("string")))
     questions = claims.select((F.col("claim_id") % 110).alias("qid")).distinct()
@@ -813,8 +819,8 @@ hits as (select entity, count(distinct person) as hits, min(person) as person fr
 def identity_match(spark: SparkSession, d: str) -> DataFrame:
     """The person of a directory that each observed entity is, or none."""
     p = view(spark, d, "v_person")
-    directory = p.where("person_id % 5 = 0").select(F.lower("email").alias("email"), "name").distinct()
-    entities = p.where("person_id % 3 = 0").select(F.col("person_id").alias("entity"), "name", F.array("email").alias("emails"))
+    directory = p.where(some("person_id % 5 = 0")).select(F.lower("email").alias("email"), "name").distinct()
+    entities = p.where(some("person_id % 3 = 0")).select(F.col("person_id").alias("entity"), "name", F.array("email").alias("emails"))
     return idn.matched(entities, directory)
 
 
@@ -901,3 +907,12 @@ def precision_by_method(spark: SparkSession, d: str) -> DataFrame:
     """How often each method is with its cluster's main person."""
     rows = table(spark, d, "part").select(F.col("p_type").alias("method"), F.concat(F.substring("p_brand", 1, 7), (F.col("p_size") % 2).cast("string")).alias("system"), F.col("p_brand").alias("gold"))
     return ev.precision_by_method(rows).select("method", "n", F.col("right").cast("long").alias("right"))
+
+
+# ---- whole queries ----------------------------------------------------------------------------------------------
+
+#: The queries on v_claim, over all orders.
+_CLAIMS = """normalise_predicate predicate_alignment directness recency_rank corroboration conflict_versions conflict_decisions conflict_edges conflict_version_pairs conflict_touched_facts
+  unmapped_predicates contested_claims evidence_path evidence_subgraph edge_prune answer_verdict incremental_equals_batch gate_violations""".split()
+_PARTS: list[str] = []
+QUERIES |= {f"{name}_whole": whole(QUERIES[name]) for name in [*_CLAIMS, *_PARTS]}

@@ -1,0 +1,43 @@
+"""Whole queries against the SQL of the queries that they widen, without what it leaves out."""
+
+import os
+import re
+
+import duckdb
+import pytest
+
+from attestor.functions import text as tx
+from attestor.plans import queries as q
+from attestor.plans.views import duck
+from tests import oracle
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="needs the test tables")
+CUT = re.compile(r"(?:where|and) (?:\w+\.)?(?:o_orderkey % 3 = 0|dsid % (?:5|7|9) = 0|dsid % 50 = 1|claim_id % 13 = 0|person_id % [35] = 0)|(?<=\))\[3:15\]")
+
+
+@pytest.mark.parametrize("name", [x for x in [*q._CLAIMS, *q._PARTS] if x in q.ORACLE_SQL and x != "phrase_match"])
+def test_agrees_with_sql_without_cuts(spark, name):
+    sql = CUT.sub("", q.ORACLE_SQL[name])
+    assert sql != q.ORACLE_SQL[name] or name == "gate_violations"  # its SQL is constants
+    oracle.agree(spark, q.QUERIES[f"{name}_whole"], sql)
+
+
+def test_all_orders_are_claims(spark):
+    n = spark.read.parquet(f"{oracle.DATA}/orders.parquet").count()
+    assert q.QUERIES["directness_whole"](spark, oracle.DATA).count() == n > 2 * q.QUERIES["directness"](spark, oracle.DATA).count()
+
+
+def test_phrases_are_whole_questions(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{oracle.DATA}/{t}.parquet'")
+    phrases = con.sql(f"select qid, {tx.sql_terms('text')} from {duck('v_question')}").fetchall()
+    docs = con.sql(f"select id, {tx.sql_terms('body')} from {duck('v_doc')}").fetchall()
+    want = set()
+    for i, b in docs:
+        for p, t in phrases:
+            n = sum(b[k : k + len(t)] == t for k in range(len(b) - len(t) + 1) if b[k] == t[0]) if t else 0
+            if n:
+                want.add((p, i, n))
+    got = q.QUERIES["phrase_match_whole"](spark, oracle.DATA).select("pid", "id", "n").collect()
+    assert {tuple(r) for r in got} == want and want
