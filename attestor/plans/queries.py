@@ -914,5 +914,6 @@ def precision_by_method(spark: SparkSession, d: str) -> DataFrame:
 #: The queries on v_claim, over all orders.
 _CLAIMS = """normalise_predicate predicate_alignment directness recency_rank corroboration conflict_versions conflict_decisions conflict_edges conflict_version_pairs conflict_touched_facts
   unmapped_predicates contested_claims evidence_path evidence_subgraph edge_prune answer_verdict incremental_equals_batch gate_violations""".split()
-_PARTS: list[str] = []
+#: Those on some ids or some words of questions, over all of them; bounded_paths has its ends as arguments and is not one.
+_PARTS = """bm25_topk phrase_match recall_at_k median_first_rank graph_candidate_scores tier3_decisions propose_structure ticket_related candidate_edges resolution_report identity_match""".split()
 QUERIES |= {f"{name}_whole": whole(QUERIES[name]) for name in [*_CLAIMS, *_PARTS]}
