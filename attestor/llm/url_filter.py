@@ -5,8 +5,9 @@ and one of rejected URLs: contexts of 0 to `ORDER` characters, each blended with
 weights. A URL that no rule fits is scored by the difference of its log-likelihoods for each of its characters; a
 logistic curve fitted to a part of the decided URLs that no count has seen turns that into a probability.
 
-Counts cover all decided URLs. The models go to every worker, so they are bounded: the `CONTEXTS` most frequent contexts
-of each class are kept; a context that is not kept passes to a shorter one.
+Counts cover all decided URLs and all their contexts, in a table. If a count shows that the table has at most
+`2 * CONTEXTS` rows, the models go to every worker; else the distinct pieces of the URLs (a character and the `ORDER` before
+it) are joined with the table, order by order, and the URLs with the pieces. Both ways score alike.
 
 Defined cases: null or without `://`: host and path are empty and no rule fits; the models score the text as
 it is, an empty one has ratio 0; where either class has no URL there is no model and the rest is allowed; repeated
@@ -24,12 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from attestor.llm.common import ascii_lower, table, tuned
+from attestor.llm.common import ascii_lower, maybe_broadcast, save, table, tuned
 
 #: Rule (host and path) and its verdict.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 ORDER, CONTEXTS, HELD_OUT, BINS = 5, 60_000, 5, 400
 START = "\x02"
+FLOOR = 1.0 / 1024
+#: A piece with more than this share of all pieces' rows is sent to the URLs; there are at most 1 / HOT of those.
+HOT = 1e-4
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -54,7 +58,7 @@ class Markov:
 
     def __init__(self, counts: dict[str, dict[str, int]]):
         self.table = {c: (sum(n.values()), len(n), n) for c, n in counts.items()}
-        self.floor = 1.0 / 1024
+        self.floor = FLOOR
 
     def log_likelihood(self, url: str) -> float:
         text, total, table = START * ORDER + url, 0.0, self.table
@@ -88,19 +92,19 @@ def _count(batches):
     yield out()
 
 
-def train(decided: DataFrame, contexts: int = CONTEXTS) -> dict[str, Markov] | None:
-    """The two models, of all rows (url, verdict) given."""
+def contexts_of(decided: DataFrame) -> DataFrame:
+    """label, context, total, by: the counts of all rows (url, verdict) given."""
     counts = decided.mapInArrow(_count, "label string, context string, ch string, n long")
     # one row a context, at most as many characters as there are; map-side sums come first
     summed = counts.groupBy("label", "context", "ch").agg(F.sum("n").alias("n"))
     held = summed.groupBy("label", "context").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias("by"))
-    models = {}
-    for label in "ab":
-        rows = held.where(F.col("label") == label).orderBy(F.desc("total"), "context").limit(contexts).select("context", "by").collect()
-        if not rows:
-            return None
-        models[label] = Markov({r.context: r.by for r in rows})
-    return models
+    return save(held, "contexts")
+
+
+def models_of(held: DataFrame) -> dict[str, Markov]:
+    """The two models, of a table of counts that is within the bound."""
+    rows = held.collect()
+    return {label: Markov({r.context: r.by for r in rows if r.label == label}) for label in "ab"}
 
 
 def ratios(rows: DataFrame, models) -> DataFrame:
@@ -114,6 +118,44 @@ def ratios(rows: DataFrame, models) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("ratio", DoubleType())]))
 
 
+def _pieces(batches):
+    """k, g, n: how often each piece occurs in each URL."""
+    for b in batches:
+        rows = []
+        for k, url in zip(b.column("k").to_pylist(), b.column("url").to_pylist()):
+            text = START * ORDER + url
+            rows += [(k, g, n) for g, n in Counter(text[i : i + ORDER + 1] for i in range(len(url))).items()]
+        cols = [*zip(*rows)] or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))], ["k", "g", "n"])
+
+
+def joined_ratios(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """The same as `ratios`, by joins with the counts."""
+    urls = rows.where("url <> ''").select("url").distinct().select(F.md5("url").alias("k"), "url")
+    pieces = save(urls.mapInArrow(_pieces, "k string, g string, n long"), "pieces")
+    seen = save(pieces.groupBy("g").agg(F.count("*").alias("c")), "seen")
+    told = seen.select("g", "c", F.lit(FLOOR).alias("pa"), F.lit(FLOOR).alias("pb"))
+    for order in range(ORDER + 1):
+        of = lambda label, c: F.first(F.when(F.col("label") == label, F.col(c)), ignorenulls=True)
+        model = held.where(F.char_length("context") == order).groupBy("context").agg(*(of(x, c).alias(f"{c}_{x}") for x in "ab" for c in ("total", "by")))
+        model = save(model, "order")
+        told = told.withColumn("context", F.substring("g", ORDER + 1 - order, order)).join(maybe_broadcast(model, model.count()), "context", "left")
+        ch = F.substring("g", ORDER + 1, 1)
+        for x in "ab":
+            kinds, p = F.size(f"by_{x}"), F.col(f"p{x}")
+            new = (F.coalesce(F.try_element_at(f"by_{x}", ch), F.lit(0)) + kinds * p) / (F.col(f"total_{x}") + kinds)
+            told = told.withColumn(f"p{x}", F.when(F.col(f"total_{x}").isNull(), p).otherwise(new))
+        told = told.select("g", "c", "pa", "pb")
+    told = save(told.select("g", "c", (F.log("pa") - F.log("pb")).alias("d")), "told")
+    # a piece like "https:" is in every URL
+    hot = told.where(F.col("c") > pieces.count() * HOT).select("g", "d")
+    often = pieces.join(F.broadcast(hot), "g")
+    rare = pieces.join(F.broadcast(hot), "g", "left_anti").join(told.select("g", "d"), "g")
+    sums = often.unionByName(rare).groupBy("k").agg(F.sum(F.col("n") * F.col("d")).alias("_sum"))
+    out = rows.withColumn("k", F.md5("url")).join(sums, "k", "left")
+    return out.select(*rows.columns, F.coalesce(F.col("_sum") / F.char_length("url"), F.lit(0.0)).alias("ratio"))
+
+
 def calibrate(held_out: DataFrame) -> tuple[float, float]:
     """Slope and offset of P(allow) = 1 / (1 + exp(-(slope * ratio + offset))), classes weighted alike, from a histogram."""
     low, width = -4.0, 8.0 / BINS
@@ -147,12 +189,18 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.create_map(*(F.lit(x) for kv in rules.items() for x in kv))[F.col("rule")]
     decided = rows.where("rule is not null").select("url", by_rule.alias("verdict"), (F.crc32(F.col("url").cast("binary")) % HELD_OUT == 0).alias("held"))
-    models = train(decided.where("not held").select("url", "verdict"))
-    if models is None:
+    held = contexts_of(decided.where("not held").select("url", "verdict"))
+    if held.select("label").distinct().count() < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce(by_rule, F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    sent = spark.sparkContext.broadcast(models)
-    slope, offset = calibrate(ratios(decided.where("held").select("url", "verdict"), sent))
-    scored = ratios(rows, sent)
+    tested = decided.where("held").select("url", "verdict")
+    if held.count() <= 2 * CONTEXTS:
+        sent = spark.sparkContext.broadcast(models_of(held))
+        slope, offset = calibrate(ratios(tested, sent))
+        scored = ratios(rows, sent)
+    else:
+        slope, offset = calibrate(joined_ratios(tested, held))
+        free = joined_ratios(rows.where("rule is null"), held)
+        scored = free.unionByName(rows.where("rule is not null").withColumn("ratio", F.lit(0.0)))
     p = F.when(F.col("rule").isNull(), 1 / (1 + F.exp(-(F.lit(slope) * F.col("ratio") + F.lit(offset)))))
     scored = scored.withColumn("score", p)
     return scored.select("page_id", "host", "path", "rule", F.coalesce(by_rule, F.when(F.col("score") >= 0.5, "allow").otherwise("block")).alias("verdict"), "score")

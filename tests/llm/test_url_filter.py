@@ -1,4 +1,7 @@
+import math
 import random
+import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +82,34 @@ def test_edge_cases(spark):
     assert len(got) == 4 and {r.verdict for r in got} == {"allow"}
     both = spark.createDataFrame([(i, u) for i, u, _ in urls(60)] + [(100, None), (101, ""), (102, "q" * 30_000)], PAGE)
     assert uf.filter_urls(both).where("verdict is null").count() == 0
+
+
+def test_rare_contexts_count(spark):
+    """More contexts than workers are sent: scores are still those of all counts."""
+    rng = random.Random(5)
+
+    def some(chars, n):
+        return "".join(rng.choice(chars) for _ in range(n))
+
+    rows = [(i, f"https://{some('abcdefghijklmnop', 5)}.{('com/a', 'net/es', 'org/x')[i % 3]}/" + some(("abcdefghijklmnop", "ijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz")[i % 3], 45)) for i in range(8000)]
+    counts, tested = {"a": {}, "b": {}}, []
+    for _, u in rows:
+        verdict = uf.RULES.get(by_hand(u)[2])
+        if verdict and zlib.crc32(u.encode()) % uf.HELD_OUT == 0:
+            tested.append((u, verdict))
+        elif verdict:
+            text = uf.START * uf.ORDER + u
+            for o in range(uf.ORDER + 1):
+                for k in range(uf.ORDER, len(text)):
+                    counts[verdict[0]].setdefault(text[k - o : k], Counter())[text[k]] += 1
+    assert min(len(c) for c in counts.values()) > uf.CONTEXTS
+    a, b = (uf.Markov(counts[x]) for x in "ab")
+    ratio = lambda u: (a.log_likelihood(u) - b.log_likelihood(u)) / len(u)
+    slope, offset = uf.calibrate(spark.createDataFrame([(v, ratio(u)) for u, v in tested], "verdict string, ratio double"))
+    got = {r.page_id: r for r in uf.filter_urls(spark.createDataFrame(rows, PAGE)).collect()}
+    assert len(got) == len(rows)
+    for i, u in rows:
+        if by_hand(u)[2] is None:
+            assert got[i].score == pytest.approx(1 / (1 + math.exp(-(slope * ratio(u) + offset))), abs=1e-6)
+        else:
+            assert got[i].score is None
