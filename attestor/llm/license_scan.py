@@ -42,7 +42,7 @@ class Rules:
         for rank, (_, weight, lines) in enumerate(groups):
             for line in lines.strip().splitlines():
                 label, keyword, pattern = (x.strip() for x in line.split(" | "))
-                compiled = re.compile(r"(?<![a-z0-9])" + pattern.replace(" ", "(?:[^a-z0-9]{1,12})"), re.S)
+                compiled = re.compile(r"(?<![a-z0-9])" + pattern.replace(" ", "(?:[^a-z0-9]++)"), re.S)
                 by_word.setdefault(keyword, []).append(len(self.rules))
                 self.rules.append((rank, weight, label, compiled))
         self.words = ahocorasick.Automaton()

@@ -68,3 +68,9 @@ def test_over_a_table(spark):
     key = lambda r: repr((r[0], r[1:6]))
     assert sorted(map(tuple, got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()), key=key) == sorted(((i, *base_by_hand(t)) for i, t in rows), key=key)
     assert ls.license_scan(df.limit(0)).count() == 0
+
+
+def test_deep_indentation():
+    text = "Permission is hereby granted, free of charge, to any person obtaining\n" + " " * 40 + "* a copy of this software and associated documentation"
+    assert ls.scan(text)[5] == "mit"
+    assert ls.scan("permission is hereby" + " " * 1_000_000)[5] == ""
