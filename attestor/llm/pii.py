@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from functools import lru_cache
 
@@ -32,6 +33,8 @@ from attestor.llm.common import BROADCAST_ROWS, in_shards, save, table, tuned
 
 KEY = b"attestor surrogate key"
 MAX_ATTEMPTS = 64
+#: Characters of a secret that are permuted at once.
+PIECE = 40
 
 # ---- names ------------------------------------------------------------------------------------------------------
 
@@ -64,19 +67,21 @@ def script_of(text: str) -> str:
 
 # ---- detection --------------------------------------------------------------------------------------------------
 
-_NAME = r"[^\W\d_a-z][^\W\d_]+"
+_TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
+_NAME = rf"(?!(?:{_TITLE})\b)[^\W\d_a-z][^\W\d_]+"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Kind and pattern; a place goes to the first kind that matches there.
 PATTERNS = [
     ("email", r"[^\W_][\w.+%-]{0,63}@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.){1,8}[^\W\d_]{2,24}"),
-    ("secret", r"(?<![^\W_])(?:password|passwd|pwd|secret|token|api_?key|access_?key)(?P<gap>\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9+/_-]{8,200})"),
+    ("secret", r"(?<![^\W_])(?i:password|passwd|pwd|secret|token|api_?key|access_?key)(?P<gap>\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9+/_-]{8,}+(?:[.=]++[A-Za-z0-9+/_-]++)*+=*+)"),
     ("aws", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("ipv6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
+    ("ipv6", rf"(?<![\w:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,7}}:(?:{_HEX}(?::{_HEX}){{0,6}})?|::{_HEX}(?::{_HEX}){{0,6}})(?![\w:])"),
     ("ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("card", r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])"),
-    ("name", rf"(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ ](?P<name>{_NAME}(?:[ -]{_NAME})?)(?!\w)"),
+    ("name", rf"(?<!\w)(?P<title>{_TITLE})\.?[ ](?P<name>{_NAME}(?:[ -]{_NAME})*)(?!\w)"),
 ]
 
 
@@ -94,6 +99,15 @@ def luhn_ok(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _ipv6(said: str) -> str | None:
+    """The eight groups without leading zeros, or null where there are more."""
+    try:
+        value = int(ipaddress.IPv6Address(said))
+    except ValueError:
+        return None
+    return ":".join(f"{value >> s & 65535:x}" for s in range(112, -1, -16))
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """start, end, kind, entity (normalised) of each mention, by place."""
     if not text or not _GATE.search(text):
@@ -108,6 +122,8 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             start, end = m.span("name")
             kind = f"name:{script_of(m['name'])}:{_gender(m['title'], m['name'])}"
         said = text[start:end]
+        if kind == "ipv6" and _ipv6(said) is None:
+            continue
         if kind == "card" and not luhn_ok(re.sub(r"\D", "", said)):
             kind = "number"
         out.append((start, end, kind, said))
@@ -121,8 +137,10 @@ def _gender(title: str, name: str) -> str:
 
 def normalised(kind: str, said: str) -> str:
     """What two mentions of one entity have in common: addresses ignore case, numbers their separators, names runs of blanks."""
-    if kind in ("email", "ipv6"):
+    if kind == "email":
         return said.lower()
+    if kind == "ipv6":
+        return _ipv6(said)
     if kind in ("phone", "card", "number", "iban", "ssn"):
         return re.sub(r"[^0-9A-Za-z+]", "", said)
     return " ".join(said.split()) if kind.startswith("name") else said
@@ -200,8 +218,14 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         return entity[:4] + same_format(key, tweak, entity[4:])
     if kind == "iban":
         return entity[:2] + same_format(key, tweak + entity[:2], entity[2:])
-    if kind == "secret" and re.fullmatch("[0-9a-f]+", entity):
-        return same_format(key, tweak, entity, hexadecimal=True)
+    if kind == "secret":
+        # long ones piece by piece, each under what stands before it: no character stays by its place, and time is linear
+        hexadecimal, before, out = bool(re.fullmatch("[0-9a-f]+", entity)), "", []
+        for i in range(0, len(entity), PIECE):
+            piece = entity[i : i + PIECE]
+            out.append(same_format(key, tweak + before, piece, hexadecimal))
+            before = hmac.digest(key, (before + piece).encode(), "sha256").hex()
+        return "".join(out)
     if kind.startswith("name:"):
         _, script, gender = kind.split(":")
         words = re.split("([ -])", entity)

@@ -95,3 +95,22 @@ def test_empty_table_and_clashes(spark):
     df = spark.createDataFrame([(1, "8.8.8.8", "k", 1)], DOC + ", kind string, attempt int")
     row = pii.replace(df).first()
     assert row.kind == "k" and row.attempt == 1 and row.text != "8.8.8.8"
+
+
+@pytest.mark.parametrize("text, planted", [
+    ("token=" + "aB3" * 170 + " end", ["aB3" * 10]),
+    ("token: eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM== end", ["eyJhbGciOiJI", "eyJzdWIiOiIx", "SflKxwRJSM"]),
+    ("PASSWORD=hunter2hunter2 API_KEY='zz81zz81zz' Password: Abcdef123", ["hunter2hunter2", "zz81zz81zz", "Abcdef123"]),
+    ("Dr Anna Maria Schmidt and Frau Eva Lotte Kern-Vogel Herr Zorn", ["Schmidt", "Kern", "Vogel", "Lotte", "Zorn"]),
+    ("at 2001:db8::1, fe80::a:b and ::1f", ["2001:db8::1", "fe80::a:b", "::1f"]),
+    ("token=" + "x9" * 100_000, ["x9" * 10]),
+])
+def test_planted_entities_leave_nothing(text, planted):
+    got, _ = pii.rewrite(text, {}, pii.KEY)
+    assert not [p for p in planted if p in got]
+
+
+def test_ipv6_spellings_are_one():
+    a, _ = pii.rewrite("2001:db8::1 2001:0DB8:0:0:0:0:0:1 1::2::3", {}, pii.KEY)
+    short, long, other = a.split(" ")
+    assert short == long.lower() and other == "1::2::3"
