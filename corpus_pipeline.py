@@ -23,10 +23,21 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return known.unionByName(docs.where("doc_id is null"))
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    """docs with _own: doc_id, or for a null one a number below all of them from the text."""
+    return docs.withColumn("_own", F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % (1 << 60)) - (1 << 60)))
+
+
+def _as_id(own: DataFrame) -> DataFrame:
+    return own.select(F.col("_own").alias("doc_id"), "text")
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that the classifier does not reject."""
-    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _chosen(docs, scores.where("score >= 0.5"))
+    own = _own(docs)
+    scores = quality.quality_scores(_as_id(own), table(spark, sf_dir, "labels"))
+    kept = scores.where("score >= 0.5").select(F.col("doc_id").alias("_own")).distinct()
+    return own.join(kept, "_own", "left_semi").select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +53,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents in which no window of a benchmark item occurs."""
-    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
-    leaks = found.where(F.size("items") >= 1).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    own = _own(docs)
+    found = decontaminate.search(_as_id(own), table(spark, sf_dir, "benchmark"))
+    leaks = found.where(F.size("items") >= 1).select(F.col("doc_id").alias("_own")).distinct()
+    return own.join(leaks, "_own", "left_anti").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

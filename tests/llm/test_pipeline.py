@@ -70,3 +70,15 @@ def test_odd_rows(spark, tmp_path, rows):
     spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     got = cp.run(spark, d).collect()
     assert sorted([r.doc_id for r in got], key=repr) == sorted([None, None, 1, 2] if rows else [], key=repr)
+
+
+def test_rows_without_ids_are_judged_each(spark, tmp_path, monkeypatch):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    rows = [(None, "clean words", "en", "s", 1), (None, "has one two three in it", "en", "s", 1), (None, "bad words", "en", "s", 1), (4, "bad and one two three", "en", "s", 1), (5, "fine", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOC)
+    assert sorted(r.text for r in cp.clean(spark, docs, d).collect()) == ["bad words", "clean words", "fine"]
+    # a stand-in for the classifier: how rows are chosen by their scores is what is tested
+    monkeypatch.setattr(cp.quality, "quality_scores", lambda docs, labels: docs.selectExpr("doc_id", "if(text like 'bad%', 0.0D, 1.0D) as score"))
+    assert sorted(r.text for r in cp.good(spark, docs, d).collect()) == ["clean words", "fine", "has one two three in it"]
