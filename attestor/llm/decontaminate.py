@@ -101,24 +101,24 @@ def search(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 4) -> DataFrame:
-    """doc_id, item_id, start, stop: places where the item's words, at most `WINDOW` of them, stand in order with at
-    most `slop` other words in between. From the rarest term's list on, each step keeps, for each place of the first
+    """doc_id, item_id, start, stop: places where the words of a window of the item stand in order with at most `slop`
+    other words in between. From the rarest term's list on, each step keeps, for each place of the first
     term found, the nearest fitting place of the next."""
     docs = keyed(docs.select("doc_id", "text"))
-    queries = items.select(F.col("item_id").cast("string").alias("item_id"), F.slice(words_of(F.col("text")), 1, WINDOW).alias("terms"))
-    queries = save(queries.where(F.size("terms") > 0).distinct(), "queries")
-    terms = queries.select(F.explode("terms").alias("term")).distinct().withColumn("t", F.hash("term"))
-    postings = index(docs, terms, queries.count() * WINDOW)
+    windows = test_windows(items).groupBy("terms").agg(F.collect_set("item_id").alias("item_ids"))
+    windows = save(windows.withColumn("w", F.xxhash64("terms")), "queries", 100 * items.count())
+    n_windows = windows.count()
+    slots = windows.select("w", F.size("terms").alias("size"), F.posexplode("terms").alias("o", "term")).withColumn("t", F.xxhash64("term"))
+    postings = index(docs, slots.select("t", "term").distinct(), n_windows * WINDOW)
     counts = postings.groupBy("t").agg(F.count("*").alias("n"))
-    slots = queries.select("item_id", F.size("terms").alias("size"), F.posexplode("terms").alias("o", "term")).withColumn("t", F.hash("term"))
-    rare = slots.join(counts, "t").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "o")))
-    anchor = rare.where("rank = 1").select("item_id", "size", "t", F.col("o").alias("anchor"))
+    rare = slots.join(counts, "t").withColumn("rank", F.row_number().over(Window.partitionBy("w").orderBy("n", "o")))
+    anchor = rare.where("rank = 1").select("w", "size", "t", F.col("o").alias("anchor"))
     # all terms near an anchor: the span around it bounds what the second join returns
-    near = postings.join(anchor, "t").select("k", "item_id", "size", "anchor", F.col("p").alias("a"))
-    other = postings.join(slots.select("t", "item_id", "o"), "t").select("k", "item_id", "o", "p")
+    near = postings.join(maybe_broadcast(anchor, n_windows), "t").select("k", "w", "size", "anchor", F.col("p").alias("a"))
+    wanted = near.join(maybe_broadcast(slots.select("w", "o", "t"), n_windows * WINDOW), "w")
     inside = (F.col("p") >= F.col("a") - F.col("anchor") - slop) & (F.col("p") < F.col("a") + F.col("size") - F.col("anchor") + slop)
-    both = near.join(other, ["k", "item_id"]).where(inside)
-    rows = both.groupBy("k", "item_id", "size", "anchor", "a").agg(F.array_sort(F.collect_set(F.struct("o", "p"))).alias("ps"))
+    both = wanted.join(postings, ["k", "t"]).where(inside)
+    rows = both.groupBy("k", "w", "size", "anchor", "a").agg(F.array_sort(F.collect_set(F.struct("o", "p"))).alias("ps"))
     # in order: the latest place before the anchor for each term before it, the earliest after it for each after
     def after(acc, x):
         fits = (x.o == acc.o + 1) & (x.p > acc.p)
@@ -132,9 +132,15 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 4) -> DataFrame:
     rows = rows.withColumn("last", F.aggregate("ps", begin, after)).withColumn("first", F.aggregate(F.reverse("ps"), begin, before))
     rows = rows.where((F.col("first.o") == 0) & (F.col("last.o") == F.col("size") - 1) & (F.col("last.p") - F.col("first.p") + 1 - F.col("size") <= slop))
     named = docs.select("k", "doc_id").distinct()
+    rows = rows.join(maybe_broadcast(windows, n_windows, BROADCAST_ROWS // 10), "w").withColumn("item_id", F.explode("item_ids"))
     return rows.select("k", "item_id", F.col("first.p").alias("start"), (F.col("last.p") + 1).alias("stop")).distinct().join(named, "k").drop("k")
 
 
+def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where windows of items stand with other words in between; op7_decontaminate has the exact ones."""
+    return proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select(

@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op7_proximity": decontaminate.op7_proximity,
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_media": media.op9_media,
     "op10_chat_format": chat_format.op10_chat_format,

@@ -55,3 +55,12 @@ def test_proximity(spark):
     items = spark.createDataFrame([(7, "red green blue")], ITEM)
     got = decontaminate.proximity(docs, items, slop=3).collect()
     assert sorted((r.doc_id, r.item_id, r.start, r.stop) for r in got) == [(1, "7", 0, 5), (2, "7", 0, 3)]
+
+
+def test_proximity_of_long_items(spark):
+    """A passage from the middle or the end of an item, with words put in between."""
+    words = [f"w{i}" for i in range(30)]
+    docs = [(1, " ".join(words[10:14] + ["x"] + words[14:18])), (2, " ".join(["y"] + words[22:25] + ["x", "x"] + words[25:30])), (3, " ".join(words[10:17])), (4, " ".join(words[12:16] + ["x"] * 5 + words[16:20]))]
+    items = [(7, " ".join(words)), (8, " ".join(words[20:]))]
+    got = decontaminate.proximity(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.stop) for r in got) == [(1, "7", 0, 9), (2, "7", 1, 11), (2, "8", 1, 11)]
