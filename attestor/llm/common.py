@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar, Token
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +17,14 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 #: A table is broadcast only if a count has shown that it has at most so many rows.
 BROADCAST_ROWS = 200_000
+#: Ids, as long integers, that a broadcast may hold: 16 MB.
+BROADCAST_IDS = 1_000_000
 #: Rows for which a written table gets another file.
 ROWS_PER_FILE = 4_000
-#: Documents that one task of a text pass takes, at least, when it writes something.
-ROWS_PER_SHARD = 20_000
+#: Bytes of stored input that one task of a text pass takes, at least, when it writes something.
+SHARD_BYTES = 16 << 20
+#: Keys with more than this share of a join's rows are split; there are fewer than SPREAD of them.
+SPREAD = 200
 #: Bytes of text that one vectorised step takes at once (one longer text is taken alone).
 CHUNK_BYTES = 1 << 19
 
@@ -35,17 +42,56 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one, but only for a
+    session whose executors are on this machine."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestor-"))
-        folder = spark.sparkContext.getCheckpointDir()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="attestor-"))
+        folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/attestor/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/attestor/{uuid.uuid4().hex}/{name}"
+    if (made := _scratch.get()) is not None:
+        made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of fresh_path, if it is there."""
+    parent = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
+
+
+#: The folders made since the innermost `scratch` began.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the folders made inside on leaving it, but for tables that went through the function it gives: for callers
+    who store what they get before they leave."""
+    made: list[str] = []
+    kept: set[str] = set()
+    before = _scratch.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.saved_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(before)
+        for path in made:
+            if path not in kept:
+                delete(spark, path)
+            elif before.old_value not in (None, Token.MISSING):
+                before.old_value.append(path)
 
 
 def save(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -54,19 +100,42 @@ def save(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     goes to a few files, whatever the number of shuffle partitions, and a large one to as many files as it has partitions."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    writer = (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).write
-    if path.startswith(("file:", "/")):
-        # each file there starts a process to set its mode, and two more for its checksum file, which is left out
-        writer = writer.options(**{"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"})
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of `save` that nothing reads any more: all that was made of it is saved itself."""
+    delete(df.sparkSession, df.saved_at)
 
 
 def in_shards(docs: DataFrame) -> DataFrame:
-    """docs in tasks of ROWS_PER_SHARD rows or more, if that still keeps all cores busy: what each task writes is then a
-    file worth reading. No row moves."""
+    """docs in tasks of SHARD_BYTES or more, by the size that the scan states, if that still keeps all cores busy: what
+    each task writes is then a file worth reading. No row moves."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.coalesce(max(2 * cores, docs.count() // ROWS_PER_SHARD))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.coalesce(max(2 * cores, min(size // SHARD_BYTES, 1 << 20)))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right on equal columns, where one key may hold a large part of left's rows. Keys with more than
+    1 / SPREAD of the rows are split: left's rows get one of several numbers, right's rows each of them. Fewer than SPREAD
+    keys can be that large, so their list is small whatever the tables' size. left is read twice: a stored table, unless
+    counts (on, _n) has its keys' numbers of rows, or of those keys that come more than once."""
+    spark = left.sparkSession
+    counts = left.groupBy(*on).agg(F.count("*").alias("_n")) if counts is None else counts
+    limit = max(50, (counts.agg(F.sum("_n")).first()[0] or 0) // SPREAD)
+    hot = counts.where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_k"))
+    found = hot.collect()
+    if not found:
+        return left.join(right, on, how)
+    hot = F.broadcast(spark.createDataFrame(found, hot.schema).coalesce(1))
+    place = F.when(F.col("_k").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), "_k").cast("int"))
+    a = left.join(hot, on, "left").withColumn("_place", place).drop("_k")
+    b = right.join(hot, on, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
+    return a.join(b, [*on, "_place"], how).drop("_place")
 
 
 def maybe_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import save
+from attestor.llm.common import discard, save
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,9 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     edges = links.where("l <> r").select(F.greatest("l", "r").alias("u"), F.least("l", "r").alias("v")).distinct()
     mark = None
     while True:
-        edges = save(_small_star(_large_star(edges).distinct()).distinct(), "edges", rows)
+        before, edges = edges, save(_small_star(_large_star(edges).distinct()).distinct(), "edges", rows)
+        if mark is not None:
+            discard(before)
         # the state has settled when the same edges come out again
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:

@@ -5,12 +5,12 @@ half key from either collection. So `SIDE * SIDE` tables of `2 * HALF` minhashes
 similarity s share a table with probability (1 - (1 - s^HALF)^SIDE)^2: 0.9999 at the threshold of 0.75,
 0.99999 at 0.8. A half key that one document alone holds is in no shared table, so such keys go before pairs are formed.
 
-Equal sets are one node (copies are never paired). Within a table, a group is verified as a star round its smallest
-id, which is linear in the group, on the full shingle sets; connected components join the links. Groups that then still
-hold more than one component go through a second step, in which members of different components meet, in the
-first table that they share, unless sizes or bounds from 1024-bit bitmaps (each differing bit is a shingle that one set
-lacks) exclude a link, or fewer than AGREE half keys are equal (a chance of 0.00001 at the threshold). So a
-candidate is verified, excluded by these, or already connected.
+Equal sets are one node (copies are never paired): the sha-256 of the sorted full set tells them. Within a table, a group
+is verified as a star round its smallest id, which is linear in the group, on the full shingle sets; connected components
+join the links. Groups that then still hold more than one component go through a second step, in which members of
+different components meet, in the first table that they share, unless sizes or bounds from 1024-bit bitmaps (each
+differing bit is a shingle that one set lacks) exclude a link. So a candidate is verified, excluded exactly, or already
+connected. Joins on keys that may hold a large part of all rows (a fingerprint, a table, a hub) are split by `spread_join`.
 
 Defined cases: null or wordless texts have no shingles, no links, and are kept; rows that share a doc_id count as
 one document; a null doc_id takes no part, has a null component and is kept; a text of fewer than five words is one
@@ -19,19 +19,19 @@ shingle; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import chunks, in_shards, mix, save, table, tuned, utf8
+from attestor.llm.common import BROADCAST_IDS, chunks, in_shards, maybe_broadcast, mix, save, spread_join, table, tuned, utf8
 from attestor.llm.components import components
 
 WIDTH, SIDE, HALF = 5, 12, 2
 BITS, WORDS = 1024, 16
-#: Equal half keys, of both sides, below which a pair is not verified in the second step.
-AGREE = 4
 #: Members of a table that one task compares with one another at most, and pairs that it holds at once.
 BLOCK, PAIRS_AT_ONCE = 4096, 1 << 17
 U = np.uint64
@@ -89,7 +89,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(sets: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    """Of each set that is not empty: size, 128-bit fingerprint, half keys of both sides, bitmap."""
+    """Of each set that is not empty: size, fingerprint of the whole set, half keys of both sides, bitmap."""
     rows = np.flatnonzero(at[:-1] < at[1:])
     begin = at[:-1][rows]
     least = np.empty((len(rows), 2 * SIDE * HALF), np.uint64)
@@ -105,8 +105,7 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     return {
         "rows": rows,
         "n": sizes,
-        "f1": np.add.reduceat(mix(sets + U(1)), begin).view(np.int64),
-        "f2": np.bitwise_xor.reduceat(mix(sets * U(3) + U(7)), begin).view(np.int64),
+        "f": [hashlib.sha256(sets[i:j]).digest() for i, j in zip(begin.tolist(), at[1:][rows].tolist())],
         "keys": keys.view(np.int64),
         "bits": np.packbits(bits, axis=1).view(np.int64),
     }
@@ -125,15 +124,15 @@ def _sign(batches):
             cols = [batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64())]
             empty = n == 0
             if empty.all():
-                cols += [pa.nulls(hi - lo, pa.int64())] * 2 + [pa.nulls(hi - lo, pa.list_(pa.int64()))] + [pa.nulls(hi - lo, pa.int64())] * WORDS
+                cols += [pa.nulls(hi - lo, pa.binary()), pa.nulls(hi - lo, pa.list_(pa.int64()))] + [pa.nulls(hi - lo, pa.int64())] * WORDS
             else:
                 s = signatures(sets, inner)
                 take = np.zeros(hi - lo, np.int64)
                 take[s["rows"]] = np.arange(len(s["rows"]))
-                cols += [pa.array(s[k][take], pa.int64(), mask=empty) for k in ("f1", "f2")]
+                cols.append(pa.array([None if none else s["f"][i] for i, none in zip(take, empty)], pa.binary()))
                 keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(empty, 0, 2 * SIDE))), pa.int32()), pa.array(s["keys"].ravel()))
                 cols += [keys] + [pa.array(s["bits"][take, i], pa.int64(), mask=empty) for i in range(WORDS)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f1", "f2", "keys", *_BITS])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f", "keys", *_BITS])
 
 
 def _sets(batches):
@@ -145,12 +144,12 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), lists], ["id", "s"])
 
 
-def shared_keys(nodes: DataFrame) -> DataFrame:
+def shared_keys(nodes: DataFrame, rows: int) -> DataFrame:
     """(t, i, j, id): the table keys that at least two nodes may hold, and the places of their half keys on both sides.
-    Half keys that one node alone holds go first."""
+    Half keys that one node alone holds go first. rows: a bound of the nodes."""
     half = nodes.select("id", F.posexplode("keys").alias("place", "key"))
-    twice = half.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    half = half.join(twice, "key", "left_semi")
+    twice = save(half.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "half_keys", SIDE * rows)
+    half = spread_join(half, twice.select("key"), ["key"], "left_semi", twice)
     sides = half.groupBy("id").agg(
         F.collect_list(F.when(F.col("place") < SIDE, F.struct("place", "key"))).alias("a"),
         F.collect_list(F.when(F.col("place") >= SIDE, F.struct("place", "key"))).alias("b"),
@@ -163,7 +162,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (l, r) whose full sets have 100 * intersection >= percent * union."""
     left = sets.select(F.col("id").alias("l"), F.col("s").alias("sl"))
     right = sets.select(F.col("id").alias("r"), F.col("s").alias("sr"))
-    both = pairs.join(left, "l").join(right, "r").withColumn("both", F.size(F.array_intersect("sl", "sr")))
+    by_r = pairs.groupBy("r").agg(F.count("*").alias("_n"))
+    both = spread_join(spread_join(pairs, left, ["l"]), right, ["r"], counts=by_r).withColumn("both", F.size(F.array_intersect("sl", "sr")))
     return both.where(100 * F.col("both") >= percent * (F.size("sl") + F.size("sr") - F.col("both"))).select("l", "r")
 
 
@@ -172,7 +172,8 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def end(side: str) -> DataFrame:
         return nodes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), *(F.col(b).alias(f"{b}{side}") for b in _BITS))
 
-    return pairs.join(end("l"), "l").join(end("r"), "r").where(_bound(percent)).select("l", "r")
+    by_r = pairs.groupBy("r").agg(F.count("*").alias("_n"))
+    return spread_join(spread_join(pairs, end("l"), ["l"]), end("r"), ["r"], counts=by_r).where(_bound(percent)).select("l", "r")
 
 
 def _bound(percent: int):
@@ -185,7 +186,7 @@ def _bound(percent: int):
 
 def _pairs_in(table: pa.Table, percent: int):
     """Index pairs (i, j) of rows in one group (t, x, y) that may be linked: in different components, in their first
-    common table, in sizes and bitmaps not excluded, and alike. Rows come sorted by group."""
+    common table, and not excluded by sizes and bitmaps. Rows come sorted by group and component."""
     col = {k: table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("t", "x", "y", "block", "c", "n", "i", "j")}
     keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(table), 2 * SIDE)
     bits = np.column_stack([table.column(b).combine_chunks().to_numpy() for b in _BITS]).view(np.uint64)
@@ -204,8 +205,7 @@ def _pairs_in(table: pa.Table, percent: int):
         ok = 100 * (n + m - differ) >= percent * (n + m + differ)
         i, j = i[ok], j[ok]
         same = keys[i] == keys[j]
-        ok = same.sum(1) >= AGREE
-        ok &= ~(same[:, :SIDE] & (places < col["i"][i][:, None])).any(1) & ~(same[:, SIDE:] & (places + SIDE < col["j"][i][:, None])).any(1)
+        ok = ~(same[:, :SIDE] & (places < col["i"][i][:, None])).any(1) & ~(same[:, SIDE:] & (places + SIDE < col["j"][i][:, None])).any(1)
         return i[ok], j[ok]
 
     for m in np.unique(size):  # groups of one size together, a bounded number of pairs at a time
@@ -216,11 +216,17 @@ def _pairs_in(table: pa.Table, percent: int):
             for k in range(0, len(starts), step):
                 yield chosen((starts[k : k + step, None] + left).ravel(), (starts[k : k + step, None] + right).ravel())
         else:
-            for s in starts:
-                for k in range(0, m, step := max(1, PAIRS_AT_ONCE // m)):
-                    i, j = np.meshgrid(np.arange(k, min(k + step, m)), np.arange(m), indexing="ij")
-                    upper = i < j
-                    yield chosen(s + i[upper], s + j[upper])
+            for s in starts:  # a component's rows stand together, and meet those of the components after it only
+                c = col["c"][s : s + m]
+                ends = np.append(np.flatnonzero(c[1:] != c[:-1]) + 1, m)
+                lo = 0
+                for hi in ends[:-1]:
+                    after = np.arange(hi, m)
+                    step = max(1, PAIRS_AT_ONCE // len(after))
+                    for k in range(lo, hi, step):
+                        i, j = np.meshgrid(np.arange(k, min(k + step, hi)), after, indexing="ij")
+                        yield chosen(s + i.ravel(), s + j.ravel())
+                    lo = hi
 
 
 def _unsettled(percent: int):
@@ -254,12 +260,13 @@ def unsettled_pairs(rest: DataFrame, percent: int, block: int = BLOCK) -> DataFr
     """rest: t, i, j, id, c, n, keys, bitmap. Pairs of members of one table in different components that may be linked.
     A table with more than `block` members is split into blocks, and each pair of blocks is a group of its own: no task
     holds more than two blocks, however large the table."""
-    count = rest.groupBy("t").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = rest.join(count, "t").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    count = rest.groupBy("t").agg(F.count("*").alias("_n"))
+    blocks = count.select("t", F.ceil(F.col("_n") / block).cast("int").alias("blocks"))
+    rows = spread_join(rest, blocks, ["t"], counts=count).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("blocks", "other")
     kind = rest.schema["id"].dataType.simpleString()
-    sorted_rows = rows.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y")
+    sorted_rows = rows.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y", "c")
     return sorted_rows.mapInArrow(_unsettled(percent), f"l {kind}, r {kind}")
 
 
@@ -268,43 +275,50 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     tuned(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, f1 long, f2 long, keys array<long>, " + ", ".join(f"{b} long" for b in _BITS)
+    schema = f"doc_id {kind}, n long, f binary, keys array<long>, " + ", ".join(f"{b} long" for b in _BITS)
     signed = save(in_shards(docs).mapInArrow(_sign, schema), "signatures")
     rows = signed.count()
     real = signed.where("n > 0 and doc_id is not null")
-    # one node for each set; rows of one doc_id with different texts are linked through that id
-    group = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    nodes = real.join(group.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    nodes = nodes.select(F.col("doc_id").alias("id"), "n", "keys", *_BITS)
-    tables = shared_keys(nodes)
-    sizes = tables.groupBy("t").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top")
-    tables = save(tables.join(sizes.select("t", "hub"), "t"), "tables", rows)
+    # one node for each set, with the signature of its smallest id; a group's rows are combined before they move
+    group = real.groupBy("f").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n"), F.min_by(F.struct("n", "keys", *_BITS), "doc_id").alias("s"))
+    group = save(group, "classes", rows)
+    nodes = group.select(F.col("rep").alias("id"), "s.*")
+    tables = shared_keys(nodes, rows)
+    sizes = tables.groupBy("t").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("_n")).where("hub < top")
+    sizes = save(sizes.select("t", "hub", "_n"), "tables", SIDE * rows)
+    tables = save(spread_join(tables, sizes.select("t", "hub"), ["t"], counts=sizes), "members", SIDE * rows)
 
     ids = tables.select("id").distinct()
     lean = save(nodes.join(ids, "id", "left_semi"), "candidates", rows)
-    members = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+    n_ids = lean.count()
+    members = docs.withColumnRenamed("doc_id", "id").join(maybe_broadcast(lean.select("id"), n_ids, BROADCAST_IDS), "id", "left_semi")
     sets = save(members.mapInArrow(_sets, f"id {kind}, s array<long>"), "sets", rows)
 
-    stars = tables.where("id <> hub").select(F.col("hub").alias("l"), F.col("id").alias("r")).distinct()
+    stars = save(tables.where("id <> hub").select(F.col("hub").alias("l"), F.col("id").alias("r")).distinct(), "spokes", rows)
     stars = save(possible(stars, lean, percent), "stars", rows)
-    same_id = real.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").join(real, "doc_id").join(group, ["f1", "f2"])
-    same_id = same_id.where("doc_id <> rep").select(F.col("rep").alias("l"), F.col("doc_id").alias("r")).distinct()
-    found = components(save(verified(stars, sets, percent).unionByName(same_id).distinct(), "links", rows), rows)
+    # rows of one doc_id with different texts are linked through that id
+    several = real.groupBy("doc_id").agg(F.min("f").alias("a"), F.max("f").alias("b")).where("a <> b").select("doc_id")
+    links = verified(stars, sets, percent)
+    if not several.isEmpty():
+        texts = save(spread_join(real.select("doc_id", "f"), several, ["doc_id"], "left_semi").distinct(), "several", rows)
+        same_id = spread_join(texts, group.select("f", "rep"), ["f"]).where("doc_id <> rep")
+        links = links.unionByName(same_id.select(F.col("rep").alias("l"), F.col("doc_id").alias("r")))
+    found = components(save(links.distinct(), "links", rows), rows)
 
     # members of one table in different components: what no star has tested
-    rest = tables.join(found, "id", "left").select("t", "i", "j", "id", F.coalesce("component", "id").alias("c"))
+    rest = save(tables.join(found, "id", "left").select("t", "i", "j", "id", F.coalesce("component", "id").alias("c")), "placed", SIDE * rows)
     mixed = rest.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("t")
-    rest = rest.join(mixed, "t", "left_semi").join(lean, "id")
+    rest = save(spread_join(rest, mixed, ["t"], "left_semi", sizes).join(lean, "id"), "mixed", rows)
     pairs = unsettled_pairs(rest, percent).distinct().join(stars, ["l", "r"], "left_anti")
-    more = save(verified(pairs, sets, percent).distinct(), "links", rows)
+    more = save(verified(save(pairs, "pairs", rows), sets, percent).distinct(), "links", rows)
     if not more.isEmpty():
         # the links so far enter as what they have led to
         known = found.select(F.col("id").alias("l"), F.col("component").alias("r"))
         found = components(known.unionByName(more), rows)
 
-    root = group.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or component is not null")
-    root = root.select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "f1", "f2").join(root, ["f1", "f2"], "left")
+    root = group.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("_n > 1 or component is not null")
+    root = root.select("f", F.coalesce("component", "rep").alias("component"))
+    out = spread_join(signed.select("doc_id", "n", "f"), root, ["f"], "left", group.where("_n > 1").select("f", "_n"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
