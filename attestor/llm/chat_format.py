@@ -9,9 +9,13 @@ out where a trainer wants each example as a text of its own.
 Template: `### Role: ` + escaped text + `</turn>` + newline. Inside texts a backslash goes before each
 backslash, `###` and `</turn>`, which one replacement undoes.
 
+Reading back: a conversation's formatted text is scanned for turns, which end at control strings that are not escaped; what
+the scan finds says how many turns there are and what they say, and each example's loss span cuts its target out of it.
+
 Defined cases: null text is empty; null role is the empty role; turns with equal numbers follow role, then
 text; null turn comes first; repeated rows are turns of their own; a conversation without an assistant
-has segments and no example; null conv_id is a conversation too; other columns are ignored.
+has segments and no example; null conv_id is a conversation too, ids may be numbers or texts; texts are kept whole; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +29,9 @@ CONTROL = r"(\\|###|</turn>)"
 #: In a role a colon would end the header, so it is escaped too.
 ROLE_CONTROL = r"(\\|###|</turn>|:)"
 END = "</turn>\n"
+#: A turn in formatted text: header, body and end, where a backslash always comes before something that it escapes.
+HEADER = r"### (?:[^\\:#<]++|\\(?:\\|###|</turn>|:)|#(?!##)|<(?!/turn>))*+: "
+TURN = HEADER + r"(?:[^\\#<]++|\\(?:\\|###|</turn>)|#(?!##)|<(?!/turn>))*+</turn>\n"
 
 
 def escape(text: Column, control: str = CONTROL) -> Column:
@@ -52,17 +59,23 @@ def segments(turns: DataFrame) -> DataFrame:
     )
 
 
-def examples(parts: DataFrame) -> DataFrame:
-    """One row an assistant turn: its context is the conversation's text before context_chars, its loss
-    the span [loss_start, loss_end), its whole text [0, formatted_chars)."""
-    return parts.where("role = 'assistant'").select(
-        "conv_id",
+def with_example(parts: DataFrame) -> DataFrame:
+    """parts with `example`: the spans of the example that ends in this turn, null where it is no assistant's."""
+    end = F.col("start") + F.length("segment")
+    spans = F.struct(
         F.col("seq").alias("target"),
         F.col("start").alias("context_chars"),
         (F.col("start") + F.col("header_chars")).alias("loss_start"),
-        (F.col("start") + F.length("segment") - len(END)).alias("loss_end"),
-        (F.col("start") + F.length("segment")).alias("formatted_chars"),
+        (end - len(END)).alias("loss_end"),
+        end.alias("formatted_chars"),
     )
+    return parts.withColumn("example", F.when(F.col("role") == "assistant", spans))
+
+
+def examples(parts: DataFrame) -> DataFrame:
+    """One row an assistant turn: its context is the conversation's text before context_chars, its loss
+    the span [loss_start, loss_end), its whole text [0, formatted_chars)."""
+    return with_example(parts).where("example is not null").select("conv_id", "example.*")
 
 
 def materialize(parts: DataFrame, which: DataFrame) -> DataFrame:
@@ -74,24 +87,38 @@ def materialize(parts: DataFrame, which: DataFrame) -> DataFrame:
     return told.select("conv_id", "target", F.array_join(F.col("p.segment"), "").alias("text"), "loss_start", "loss_end")
 
 
-def read_back(parts: DataFrame) -> DataFrame:
-    """Role and text of each turn, parsed from its segment alone, and the text under the loss mask."""
-    role = F.regexp_extract("segment", r"(?s)^### ((?:[^\\:]++|\\.)*+): ", 1)
-    rows = parts.withColumn("role", role).withColumn("skip", F.length("role") + F.lit(len("### : ")))
-    body = F.substring(F.col("segment"), F.col("skip") + 1, F.length("segment") - F.col("skip") - len(END))
-    return rows.select("conv_id", "seq", unescape(F.col("role"), ROLE_CONTROL).alias("said"), unescape(body).alias("text"), "segment", "start")
+def formatted(parts: DataFrame) -> DataFrame:
+    """One row a conversation: its formatted text and its examples, in order and with null for other turns."""
+    rows = with_example(parts).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "segment", "example"))).alias("p"))
+    return rows.select("conv_id", F.array_join("p.segment", "").alias("formatted"), F.col("p.example").alias("examples"))
+
+
+def read_back(texts: DataFrame) -> DataFrame:
+    """texts: formatted(). One row for each turn that a scan of the text finds: at (its number), start, part, said (the role),
+    text, and loss: what the loss span of the example of that number holds, unescaped."""
+    found = F.regexp_extract_all("formatted", F.lit(TURN), F.lit(0))
+    rows = texts.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.posexplode(F.arrays_zip(found.alias("part"), F.col("examples").alias("example"))).alias("at", "x"))
+    rows = rows.select("conv_id", "formatted_chars", "at", "x.part", "x.example")
+    # the conversation is in one partition already, so neither this nor the aggregate after it moves rows
+    before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("size", F.length("part").cast("long")).withColumn("start", F.sum("size").over(before) - F.col("size"))
+    header = F.length(F.regexp_extract("part", f"^{HEADER}", 0))
+    rows = rows.withColumn("header", header)
+    role = F.expr(f"substring(part, 5, header - {len('### : ')})")
+    body = F.expr(f"substring(part, header + 1, length(part) - header - {len(END)})")
+    loss = F.expr("substring(part, cast(example.loss_start - start + 1 as int), cast(example.loss_end - example.loss_start as int))")
+    return rows.select("conv_id", "formatted_chars", "at", "start", "part", unescape(role, ROLE_CONTROL).alias("said"), unescape(body).alias("text"), unescape(loss).alias("loss"), "example")
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """The contract's row for each conversation. sha-256 runs over a conversation in one piece, so its turns meet in one row."""
-    parts = segments(turns)
-    back = read_back(parts)
-    told = back.withColumns({"loss": F.when(F.col("said") == "assistant", F.col("text")), "ends": F.when(F.col("said") == "assistant", F.col("start") + F.length("segment"))})
-    rows = told.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "said", "text", "loss"))).alias("t"),
-        F.sum(F.length("segment").cast("long")).alias("formatted_chars"),
-        F.count("loss").alias("n_examples"),
-        F.coalesce(F.sum("ends"), F.lit(0)).alias("example_chars"),
+    """The contract's row for each conversation, read back from its formatted text. sha-256 runs over a conversation in one
+    piece, so its turns meet in one row."""
+    back = read_back(formatted(segments(turns)))
+    rows = back.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("at", "said", "text", "loss"))).alias("t"),
+        F.max("formatted_chars").alias("formatted_chars"),
+        F.count("example").alias("n_examples"),
+        F.coalesce(F.sum("example.formatted_chars"), F.lit(0)).alias("example_chars"),
     )
     whole = F.array_join(F.transform("t", lambda x: F.concat(x.said, F.lit("\n"), x.text, F.lit("\n"))), "")
     loss = F.array_join(F.col("t.loss"), "")
@@ -108,13 +135,19 @@ def digests(turns: DataFrame) -> DataFrame:
 
 
 #: The fixed conversation that the query adds: its texts hold the template's own control strings.
-PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def with_probe(turns: DataFrame) -> DataFrame:
+    """turns and the fixed conversation, whatever types the table's columns have."""
+    turns = turns.select("conv_id", "turn", "role", "text")
+    rows = F.array(*(F.struct(F.lit(PROBE_ID), F.lit(i), F.lit(role), F.lit(PROBE_TEXT)) for i, role in enumerate(("user", "assistant"))))
+    probe = turns.sparkSession.range(1).select(F.inline(rows).alias("conv_id", "turn", "role", "text"))
+    return turns.unionByName(probe.select(*(F.col(f.name).cast(f.dataType) for f in turns.schema.fields)))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
-    return digests(turns.unionByName(probe))
+    return digests(with_probe(table(spark, sf_dir, "conversations")))
 
 
 OP10_SQL = r"""

@@ -55,3 +55,49 @@ def test_examples_are_prefixes(spark):
         said = rows[r.target][3]
         assert r.text[r.loss_start : r.loss_end].replace("\\\\", "\0").replace("\\", "").replace("\0", "\\") == said
     assert told[-1].text == whole
+
+
+def nasty_conversations():
+    return [(c, t, ["user", "assistant"][t % 2], NASTY[(c + t) % len(NASTY)] or "x") for c in range(len(NASTY)) for t in range(4)]
+
+
+def test_read_back_needs_the_escapes(spark, monkeypatch):
+    """Without escapes the scan of the text finds other turns than were written."""
+    rows = nasty_conversations()
+    assert run(spark, rows) == by_hand(rows)
+    monkeypatch.setattr(chat, "escape", lambda c, control=None: c)
+    monkeypatch.setattr(chat, "unescape", lambda c, control=None: c)
+    got, want = run(spark, rows), by_hand(rows)
+    for c in range(len(NASTY)):
+        controls = "".join(x for r in rows if r[0] == c for x in r[3])
+        if "###" in controls or "</turn>" in controls:
+            assert got.get(c) != want[c]
+
+
+@pytest.mark.parametrize("name, shift", [("loss_start", 1), ("loss_start", -1), ("loss_end", -1), ("loss_end", 1)])
+def test_loss_is_cut_by_the_examples(spark, monkeypatch, name, shift):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "all good"), (1, 2, "assistant", "ä😀 more")]
+    real = chat.with_example
+    monkeypatch.setattr(chat, "with_example", lambda parts: real(parts).withColumn("example", F.when(F.col("example").isNotNull(), F.col("example").withField(name, F.col(f"example.{name}") + shift))))
+    got, want = run(spark, rows), by_hand(rows)
+    assert got[1][:2] == want[1][:2] and got[1][3] != want[1][3]
+
+
+def test_ids_may_be_texts(spark):
+    df = spark.createDataFrame([("a", 0, "user", "x"), ("a", 1, "assistant", "y")], "conv_id string, turn int, role string, text string")
+    got = {r.conv_id: r.n_turns for r in chat.digests(chat.with_probe(df)).collect()}
+    assert got == {"a": 2, "-7": 2}
+
+
+def test_long_runs_of_control_strings(spark):
+    rows = [(1, 0, "user", "\\" * 200_001 + "</turn>\n### " * 20_000), (1, 1, "assistant", "#" * 100_003)]
+    assert run(spark, rows) == by_hand(rows)
+
+
+def test_no_python_and_one_shuffle(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, "user", "x")], TURN)
+    df.write.parquet(path := f"{tmp_path}/turns")
+    plan = chat.digests(chat.with_probe(spark.read.parquet(path)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "ArrowEval" not in plan and "ExistingRDD" not in plan
