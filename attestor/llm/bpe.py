@@ -2,8 +2,8 @@
 
 The corpus' most frequent words, each encoded once by exact merging, are compiled into an acyclic automaton whose
 equal suffixes are shared (built from the sorted words, so that it is minimal as it grows). Its arcs carry
-numbers that add up, along a word, to the word's row in a table of id lists. The automaton is one flat file that Spark
-hands to every executor and that Python workers map into memory, so all workers of a machine share its pages. A batch's
+numbers that add up, along a word, to the word's row in a table of id lists. The automaton is one flat file in the shared
+folder that Spark copies to every executor and that Python workers map into memory, so all workers of a machine share its pages. A batch's
 distinct words walk it side by side, one character for all at a time; words it lacks are merged exactly.
 
 The lexicon only saves time: results are those of exact merging, whichever words it holds.
@@ -19,7 +19,6 @@ import heapq
 import json
 import os
 import re
-import tempfile
 import unicodedata
 from collections import Counter
 from functools import lru_cache
@@ -30,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import table, tuned
+from attestor.llm.common import fresh_path, store, table, tuned
 
 #: Words that the lexicon holds, and bytes of the longest.
 LEXICON_WORDS, LEXICON_BYTES = 400_000, 40
@@ -213,12 +212,12 @@ class Transducer:
         out.root = root
         return out
 
-    def dump(self, path: str) -> None:
-        with open(path, "wb") as f:
-            np.asarray([self.root, *(len(getattr(self, k)) for k, _ in self.PARTS)], np.int64).tofile(f)
-            for k, t in self.PARTS:
-                f.write(b"\0" * (-f.tell() % 8))
-                getattr(self, k).astype(t).tofile(f)
+    def dump(self) -> bytes:
+        out = [np.asarray([self.root, *(len(getattr(self, k)) for k, _ in self.PARTS)], np.int64).tobytes()]
+        for k, t in self.PARTS:
+            out.append(b"\0" * (-sum(map(len, out)) % 8))
+            out.append(getattr(self, k).astype(t).tobytes())
+        return b"".join(out)
 
     @staticmethod
     def load(path: str) -> "Transducer":
@@ -316,11 +315,12 @@ _encoders: dict[tuple, Encoder] = {}
 
 
 def _encoder(source, lexicon: str | None) -> Encoder:
-    """One encoder a worker and lexicon."""
-    if lexicon not in _encoders:
+    """One encoder a worker, vocabulary and lexicon."""
+    key = (hashlib.sha256(source.value).digest(), lexicon)
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[lexicon] = Encoder(source.value, Transducer.load(SparkFiles.get(lexicon)) if lexicon else None)
-    return _encoders[lexicon]
+        _encoders[key] = Encoder(source.value, Transducer.load(SparkFiles.get(lexicon)) if lexicon else None)
+    return _encoders[key]
 
 
 def word_counts(docs: DataFrame, source) -> DataFrame:
@@ -354,16 +354,16 @@ def compile_lexicon(spark: SparkSession, counts: DataFrame, source: bytes, size:
     words = sorted(r.word.encode() for r in top.select("word").toLocalIterator() if r.word not in merger.special)
     if not words:
         return None
-    built = Transducer.build(words, [merger.ids(w.decode()) for w in words])
-    folder = tempfile.mkdtemp()
-    built.dump(os.path.join(folder, "lexicon"))
-    with open(os.path.join(folder, "lexicon"), "rb") as f:
-        name = f"lexicon-{hashlib.sha256(f.read() + source).hexdigest()[:24]}"
-    os.rename(os.path.join(folder, "lexicon"), os.path.join(folder, name))
-    sent = (spark.sparkContext.applicationId, name)
-    if sent not in _sent:  # Spark's own file server gives it to each executor, now or when one is added
-        spark.sparkContext.addFile(os.path.join(folder, name))
-        _sent.add(sent)
+    raw = Transducer.build(words, [merger.ids(w.decode()) for w in words]).dump()
+    name = f"lexicon-{hashlib.sha256(raw + source).hexdigest()[:24]}"
+    if (spark.sparkContext.applicationId, name) not in _sent:
+        path = fresh_path(spark, name)
+        fs, at = store(path)
+        fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(at) as f:
+            f.write(raw)
+        spark.sparkContext.addFile(path)  # executors copy it from there, now or when one is added
+        _sent.add((spark.sparkContext.applicationId, name))
     return name
 
 

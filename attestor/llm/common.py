@@ -10,6 +10,7 @@ from contextvars import ContextVar, Token
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it, by Arrow: file, hdfs, s3, gs."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder of fresh_path, if it is there."""
     parent = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()

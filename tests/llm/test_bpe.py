@@ -50,7 +50,7 @@ def test_empty_table(spark):
 def test_transducer_is_minimal_and_shares_suffixes(tmp_path):
     words = sorted({w.encode() for w in ("walking", "talking", "walked", "talked", "king", "ed", "a", "ab", "abc")})
     built = bpe.Transducer.build(words, [[i, i] for i in range(len(words))])
-    built.dump(str(tmp_path / "f"))
+    (tmp_path / "f").write_bytes(built.dump())
     read = bpe.Transducer.load(str(tmp_path / "f"))
     assert read.rows([*words, b"", b"wal", b"abcd", b"zz"]).tolist() == [*range(len(words)), -1, -1, -1, -1]
 
@@ -58,3 +58,15 @@ def test_transducer_is_minimal_and_shares_suffixes(tmp_path):
     prefixes = {w[:i] for w in words for i in range(len(w) + 1)}
     endings = {frozenset(w[len(p) :] for w in words if w.startswith(p)) for p in prefixes}
     assert len(read.final) == len(endings)
+
+
+def test_encoders_are_kept_by_vocabulary(monkeypatch):
+    class Source:
+        def __init__(self, value):
+            self.value = value
+
+    made = []
+    monkeypatch.setattr(bpe, "Encoder", lambda source, lexicon: made.append(source) or source)
+    bpe._encoders.clear()
+    assert [bpe._encoder(Source(x), None) for x in (b"a", b"a", b"b")] == [b"a", b"a", b"b"] and made == [b"a", b"b"]
+    bpe._encoders.clear()
