@@ -6,25 +6,32 @@ rows sums its part of the normal equations; the sums add up in a tree, so neithe
 task, and the driver solves one system of fixed size. Scores of rows that the fit has not seen are binned, and
 pooling adjacent violators turns the bins into a monotone map from raw score to probability.
 
-Half of the training rows (by crc32(doc_id), see `folds`) fit the ridge, half the calibration.
-
-Defined cases: null and empty texts have the statistics of an empty text and are scored; labels that are null are not
-learnt from; repeated rows are scored each, a repeated label counts as often; with one class or none all scores are that
-class' share (0.5 without labels); other columns are ignored; an empty table gives an empty result.
+Learning is on a bounded sample: the documents of about `LEARN_ROWS` labels, by the hash of their id (all labels, where
+there are no more). Half of them (by crc32(doc_id), see `folds`) fit the ridge, half the calibration. Scoring is then one pass
+over all whole texts in which no row moves.
+
+Defined cases: null and empty texts have the statistics of an empty text and are scored; labels or ids that are null are not
+learnt from; repeated rows are scored each, a repeated label counts once; with one class or none all scores are that
+class' share (0.5 without labels); a score at a knot is the knot's; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from attestor.llm.common import fold_of, in_shards, save, table, tuned, utf8
+from attestor.llm.common import fold_of, save, table, tuned, utf8
 
 FEATURES, RIDGE, BINS, SEED = 256, 1e-3, 512, 11
+#: Labels that are learnt from, about, at most.
+LEARN_ROWS = 100_000
 #: Kernel width, in units of the square root of the number of statistics.
 WIDTH = 0.7
 #: Tasks that add up the partial sums; as many vectors reach the driver.
@@ -60,20 +67,19 @@ def statistics(text: str, counts: np.ndarray) -> list[float]:
     ]
 
 
-def _describe(batches):
-    for b in batches:
-        data, at = utf8(b.column("text"))
-        texts = b.column("text").to_pylist()
-        rows = [statistics(t or "", np.bincount(data[at[i] : at[i + 1]], minlength=256)) for i, t in enumerate(texts)]
-        flat = pa.array(np.asarray(rows, np.float32).ravel() if rows else np.zeros(0, np.float32))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(NAMES), pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "f"])
+def described(texts: pa.Array) -> np.ndarray:
+    """The statistics of each text, a row each."""
+    data, at = utf8(texts)
+    rows = [statistics(t or "", np.bincount(data[at[i] : at[i + 1]], minlength=256)) for i, t in enumerate(texts.to_pylist())]
+    return np.asarray(rows, np.float32).reshape(len(rows), len(NAMES))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, f: the statistics of each document, in the shared folder."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return save(in_shards(docs.select("doc_id", "text")).mapInArrow(_describe, f"doc_id {kind}, f array<float>"), "statistics")
+def _describe(batches):
+    """doc_id, y, text to doc_id, y, f."""
+    for b in batches:
+        flat = described(b.column("text")).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(NAMES), pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), lists], ["doc_id", "y", "f"])
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -188,37 +194,72 @@ def folds(doc_id: str) -> tuple[Column, Column]:
     return fold_of(doc_id, 3) == 1, fold_of(doc_id, 3) == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, fit_with: Column) -> DataFrame:
-    """docs (doc_id, text), labels (doc_id, y) to doc_id, score. Only labels under `learn_from` are read; of those,
-    the ones under `fit_with` go into the ridge, the others into the calibration."""
+def sample(labels: DataFrame, learn_from: Callable[[str], Column]) -> DataFrame:
+    """_id, y: the labels that are learnt from, at most about LEARN_ROWS, each once."""
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("y").cast("double").alias("y")).where("y is not null and _id is not null")
+    known = save(known.where(learn_from("_id")).distinct(), "labels", labels.count())
+    share = min(1.0, LEARN_ROWS / max(1, known.count()))
+    return known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+class Model:
+    """Texts to calibrated scores; without a ridge they are all the same."""
+
+    def __init__(self, ridge, knots: tuple[np.ndarray, np.ndarray], share: float):
+        self.ridge, self.knots, self.share = ridge, knots, share
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        if self.ridge is None or not len(texts):
+            return np.full(len(texts), self.share)
+        fourier, w = self.ridge
+        return np.clip(np.interp(fourier(described(texts).astype(np.float64)) @ w, *self.knots), 0.0, 1.0)
+
+
+def learnt(docs: DataFrame, labels: DataFrame, learn_from: Callable[[str], Column], fit_with: Callable[[str], Column]) -> Model:
+    """docs (doc_id, text), labels (doc_id, y); learn_from, fit_with: conditions on an id column's name, for the labels that
+    are read and for those that go into the ridge; the others calibrate it."""
     tuned(docs.sparkSession)
-    rows = described(docs)
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("y").cast("double").alias("y")).where("y is not null")
-    train = save(rows.join(known, F.col("doc_id") == F.col("_id")).where(learn_from).withColumn("fit", fit_with).select("f", "y", "fit"), "training", labels.count())
-    model = fit_ridge(train.where("fit").select("f", "y"))
-    if model is None:
-        share = train.agg(F.avg("y")).first()[0]
-        return rows.select("doc_id", F.lit(0.5 if share is None else float(share)).alias("score"))
-    held = score_raw(train.where("not fit").select("f", "y"), model)
-    knots = calibration(held)
-    if not len(knots[0]):
-        knots = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    raw = score_raw(rows, model)
-    return raw.select("doc_id", interpolated(F.col("raw"), *knots).alias("score"))
-
-
-def interpolated(x: Column, at: np.ndarray, to: np.ndarray) -> Column:
-    """The piecewise linear map through the knots, flat beyond them, as one expression."""
-    out = F.lit(float(to[-1]))
-    for i in reversed(range(len(at) - 1)):
-        slope = (to[i + 1] - to[i]) / (at[i + 1] - at[i])
-        out = F.when(x < float(at[i + 1]), F.lit(float(to[i])) + (x - float(at[i])) * float(slope)).otherwise(out)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(x <= float(at[0]), float(to[0])).otherwise(out)))
+    chosen = sample(labels, learn_from)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
+    train = save(rows.mapInArrow(_describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y double, f array<float>"), "training", LEARN_ROWS)
+    fit = train.withColumn("fit", fit_with("doc_id"))
+    ridge = fit_ridge(fit.where("fit").select("f", "y"))
+    share = train.agg(F.avg("y")).first()[0]
+    if ridge is None:
+        return Model(None, (np.zeros(0), np.zeros(0)), 0.5 if share is None else float(share))
+    knots = calibration(score_raw(fit.where("not fit").select("f", "y"), ridge))
+    return Model(ridge, knots if len(knots[0]) else (np.array([0.0, 1.0]), np.array([0.0, 1.0])), 0.0)
+
+
+def classify(docs: DataFrame, labels: DataFrame, learn_from: Callable[[str], Column], fit_with: Callable[[str], Column]) -> DataFrame:
+    """doc_id, score of each row."""
+    docs = docs.select("doc_id", "text")
+    sent = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, learn_from, fit_with))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sent.value.scores(b.column("text")), pa.float64())], ["doc_id", "score"])
+
+    return docs.mapInArrow(run, StructType([docs.schema["doc_id"], StructField("score", DoubleType())]))
+
+
+def _quality(labels: DataFrame) -> tuple:
+    return labels.select("doc_id", F.col("quality").alias("y")), lambda c: ~folds(c)[0], lambda c: folds(c)[1]
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    held, fit = folds("doc_id")
-    return classify(docs, labels.select("doc_id", F.col("quality").alias("y")), ~held, fit)
+    return classify(docs, *_quality(labels))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least `least`; each is judged by its own text."""
+    sent = docs.sparkSession.sparkContext.broadcast(learnt(docs, *_quality(labels)))
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(sent.value.scores(b.column("text")) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
