@@ -30,7 +30,9 @@ from attestor.llm.common import fold_of, table, tuned
 
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, GRAMS = 8, 8, 8, 1 << 16
-TOXIC_DOCS, CLEAN_DOCS, VOCABULARY = 1200, 2400, 20_000
+TOXIC_DOCS, CLEAN_DOCS = 1200, 2400
+#: Documents of the sample that hold a word which gets a vector of its own; rarer ones have their pieces.
+SEEN = 3
 ROUNDS, STEPS, BATCH, RATE = 2, 260, 192, 0.01
 #: Weight of a toxic document without a window that stands out.
 DOUBT = 0.05
@@ -259,7 +261,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Scorer:
     spelt = {w: tuple({numbers[g] for g in grams_of(w)}) for w in set().union(*docs)}
     evidence, count = _evidence(map(set, docs), y)
     pieces, _ = _evidence((set().union(*(spelt[w] for w in set(d))) for d in docs), y)
-    common = sorted((w for w, n in count.items() if n >= 3), key=lambda w: (-abs(evidence[w]), -count[w], w))[:VOCABULARY]
+    common = sorted((w for w, n in count.items() if n >= SEEN), key=lambda w: (-abs(evidence[w]), -count[w], w))
     vocabulary = {w: i + 1 for i, w in enumerate(common)}
     net = Network(len(vocabulary) + 1, rng)
     for w, i in vocabulary.items():

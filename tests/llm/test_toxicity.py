@@ -75,3 +75,50 @@ def test_scores_of_odd_texts():
     whole = scorer.scores(texts)
     assert np.allclose(whole, [scorer.scores([t])[0] for t in texts], atol=1e-5)
     assert whole[0] == whole[1] == whole[2]
+
+
+def test_odd_rows_through_a_fitted_model(spark):
+    rows = corpus(700, 4)
+    odd = [(9001, None), (9002, ""), (9003, "word " * 60_000), (9004, "word " * 60_000 + "zounds varlet knavery"), (9001, "plain words"), (None, "plain words"), (9005, "plain words")]
+    docs = spark.createDataFrame([(*r, "x") for r in [*((i, t) for i, t, _ in rows), *odd]], DOC + ", score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2 + [(None, 1), (5, None), (9001, 0), (9002, 0)], LABEL)
+    by = {}
+    for r in tox.toxicity_scores(docs, labels).collect():
+        assert 0 <= r.score <= 1
+        by.setdefault(r.doc_id, []).append(r.score)
+    assert sum(map(len, by.values())) == len(rows) + len(odd)
+    assert len(by[9001]) == 2 and by[9005] == by[None] and min(abs(by[9005][0] - s) for s in by[9001]) < 1e-6
+    assert min(abs(by[9002][0] - s) for s in by[9001]) < 1e-6
+    assert by[9004][0] > 0.3 > by[9003][0]
+
+
+def test_windows_by_a_plain_version():
+    """All overlapping windows, one by one and step by step."""
+    rng = np.random.default_rng(8)
+    scorer = tox.Scorer(tox.Network(4, rng), {"a": 1, "b": 2, "c": 3}, 1.3, -0.2)
+    scorer.net.p["word"][:] = rng.standard_normal(scorer.net.p["word"].shape)
+    scorer.net.p["gram"][:] = rng.standard_normal(scorer.net.p["gram"].shape) * 0.3
+    scorer.reset()
+    p, sig = scorer.net.p, lambda x: 1 / (1 + np.exp(-x))
+    h = tox.HIDDEN
+
+    def states(xs, d):
+        s, out = np.zeros(h), []
+        for x in xs:
+            i, r = x @ p["w" + d] + p["b" + d], s @ p["u" + d]
+            z, g = sig(i[:h] + r[:h]), sig(i[h : 2 * h] + r[h : 2 * h])
+            s = (1 - z) * np.tanh(i[2 * h :] + g * r[2 * h :]) + z * s
+            out.append(s)
+        return out
+
+    def logit(words):
+        xs = [np.hstack([p["word"][scorer.vocabulary.get(w, 0)], np.mean([p["gram"][g] for g in tox.grams_of(w)], 0)]) for w in words or [""]]
+        hs = [np.hstack(x) for x in zip(states(xs, "f"), states(xs[::-1], "b")[::-1])]
+        e = np.exp([x @ p["attend"] for x in hs])
+        return (e / e.sum()) @ np.array(hs) @ p["out"] + p["bias"][0]
+
+    texts = ["", "a b unknown", "c " * 40 + "b a", " ".join(rng.choice(["a", "b", "c", "dd"], 100))]
+    for t, got in zip(texts, scorer.scores(texts)):
+        w = t.split()
+        best = max(logit(w[s : s + tox.WINDOW]) for s in tox.window_starts(len(w)))
+        assert abs(got - sig(1.3 * best - 0.2)) < 1e-4
