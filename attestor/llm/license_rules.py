@@ -1,16 +1,17 @@
 """The signature rules of operator 6: `label | keyword | pattern`, one a line.
 
-Text is in ASCII lower case. A blank in a pattern stands for any run of characters other than letters and digits.
+Text is in ASCII lower case. A blank in a pattern stands for any run of characters other than letters and digits;
+`<16>` for up to sixteen words of a kind that the signature leaves open, such as a name.
 Every match of a pattern holds its keyword. Groups are ordered: a former one has priority over a later one.
 """
 
 #: Sentences of the licences themselves.
 GRANTS = r"""
 mit | free of charge | permission is hereby granted,? free of charge,? to any person obtaining a copy of this software and associated documentation
-mit-0 | free of charge | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction .{0,200}? to permit persons to whom the software is furnished to do so (?=the software is provided)
+mit-0 | free of charge | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction <40> to permit persons to whom the software is furnished to do so (?=the software is provided)
 isc | with or without fee | permission to use copy modify (?:and or|and/or|and) distribute this software for any purpose with or without fee is hereby granted provided
 0bsd | with or without fee | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted (?!provided)
-bsd-3-clause | endorse or promote | neither the names? of .{1,120}? nor the names of (?:its|their|the) contributors may be used to endorse or promote products
+bsd-3-clause | endorse or promote | neither the names? of <24> nor the names of (?:its|their|the) contributors may be used to endorse or promote products
 bsd-2-clause | in source and binary forms | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions
 bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software must display the following acknowledg
 bsd-3-clause-clear | patent rights | no express or implied licenses to any party s patent rights are granted by this license
@@ -24,7 +25,7 @@ lgpl-2.1-or-later | any later version | gnu lesser general public license as pub
 lgpl-3.0-or-later | any later version | gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version
 lgpl-2.0-or-later | any later version | gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version
 agpl-3.0-or-later | any later version | gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version
-gfdl | invariant sections | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license .{0,200}? invariant sections
+gfdl | invariant sections | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license <40> invariant sections
 mpl-2.0 | mozilla public license | this source code form is subject to the terms of the mozilla public license v 2 0
 mpl-1.1 | mozilla public license | the contents of this file are subject to the mozilla public license version 1 1
 mpl-1.0 | mozilla public license | the contents of this file are subject to the mozilla public license version 1 0
@@ -35,15 +36,15 @@ zlib | origin of this software | the origin of this software must not be misrepr
 bsl-1.0 | boost software license | distributed under the boost software license version 1 0
 unlicense | free and unencumbered | this is free and unencumbered software released into the public domain
 wtfpl | what the fuck | you just do what the fuck you want to
-cc0-1.0 | copyright | to the extent possible under law .{1,160}? has (?:waived|dedicated) all copyright and related
+cc0-1.0 | copyright | to the extent possible under law <32> has (?:waived|dedicated) all copyright and related
 cc0-1.0 | affirmer | affirmer hereby overtly fully permanently irrevocably and unconditionally waives
-cc-by | creative commons | (?:you are free to|this work is) .{0,80}? creative commons attribution (?:\d 0 )?(?:international|unported|generic)
+cc-by | creative commons | (?:you are free to|this work is) <16> creative commons attribution (?:\d 0 )?(?:international|unported|generic)
 ofl-1.1 | font software | this font software is licensed under the sil open font license
-artistic-2.0 | artistic license | this (?:library|program|package) is free software you (?:can|may) redistribute it .{0,80}? artistic license 2 0
+artistic-2.0 | artistic license | this (?:library|program|package) is free software you (?:can|may) redistribute it <16> artistic license 2 0
 python-2.0 | licensee | psf is making python available to licensee on an as is basis
 openssl | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
 php-3.01 | php software | this product includes php software freely available from
-ms-pl | microsoft public license | this license governs use of the accompanying software .{0,300}? microsoft public license
+ms-pl | microsoft public license | this license governs use of the accompanying software <60> microsoft public license
 x11 | x consortium | except as contained in this notice the name of the x consortium shall not be used in advertising
 curl | copyright notice and this permission | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
 ncsa | university of illinois | university of illinois ncsa open source license
@@ -53,13 +54,13 @@ w3c | w3c | w3c software (?:notice and )?license
 afl-3.0 | academic free license | licensed under the academic free license version 3 0
 osl-3.0 | open software license | licensed under the open software license version 3 0
 eupl-1.2 | licensed | licensed under the (?:eupl version 1 2|european union public licen[cs]e 1 2)
-cecill-2.1 | cecill | governed by the cecill license .{0,80}? 2 1
+cecill-2.1 | cecill | governed by the cecill license <16> 2 1
 qpl-1.0 | q public license | may be distributed under the terms of the q public license
-sleepycat | sleepycat | redistributions in any form must be accompanied by information on how to obtain complete source code .{0,200}? sleepycat
-beerware | beer | as long as you retain this notice you can do whatever you want with this stuff .{0,120}? beer
+sleepycat | sleepycat | redistributions in any form must be accompanied by information on how to obtain complete source code <40> sleepycat
+beerware | beer | as long as you retain this notice you can do whatever you want with this stuff <24> beer
 jsonlic | for good | the software shall be used for good not evil
-proprietary | all rights reserved | (?:confidential and proprietary|proprietary and confidential) .{0,80}? all rights reserved
-proprietary | without the express | (?:reproduction|redistribution|copying|use) .{0,80}? without the express (?:written )?(?:consent|permission) .{0,40}? is (?:strictly )?(?:prohibited|forbidden)
+proprietary | all rights reserved | (?:confidential and proprietary|proprietary and confidential) <16> all rights reserved
+proprietary | without the express | (?:reproduction|redistribution|copying|use) <16> without the express (?:written )?(?:consent|permission) <8> is (?:strictly )?(?:prohibited|forbidden)
 """
 
 #: Identifiers that machines read.

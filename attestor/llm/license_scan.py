@@ -34,6 +34,13 @@ _TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
+def written_out(pattern: str) -> str:
+    """A signature as a regular expression. Separators are runs of any length, gaps are counted in words, so how a text
+    is indented, boxed or broken does not matter."""
+    gap = r"(?:[^a-z0-9]++[a-z0-9]++){0,\1}? "
+    return re.sub(r" <(\d+)> ", gap, pattern).replace(" ", "(?:[^a-z0-9]++)")
+
+
 class Rules:
     """The compiled rules: keyword automaton, rules by keyword, patterns."""
 
@@ -42,7 +49,7 @@ class Rules:
         for rank, (_, weight, lines) in enumerate(groups):
             for line in lines.strip().splitlines():
                 label, keyword, pattern = (x.strip() for x in line.split(" | "))
-                compiled = re.compile(r"(?<![a-z0-9])" + pattern.replace(" ", "(?:[^a-z0-9]++)"), re.S)
+                compiled = re.compile(r"(?<![a-z0-9])" + written_out(pattern), re.S)
                 by_word.setdefault(keyword, []).append(len(self.rules))
                 self.rules.append((rank, weight, label, compiled))
         self.words = ahocorasick.Automaton()

@@ -74,3 +74,53 @@ def test_deep_indentation():
     text = "Permission is hereby granted, free of charge, to any person obtaining\n" + " " * 40 + "* a copy of this software and associated documentation"
     assert ls.scan(text)[5] == "mit"
     assert ls.scan("permission is hereby" + " " * 1_000_000)[5] == ""
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Neither the name of{0}the{0}University{0}of{0}Somewhere nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+    ("As long as you retain this notice you can do whatever you want with this stuff.{0}If{0}we meet buy me a beer", "beerware"),
+    ("governed by the CeCILL license{0}under French law,{0}version 2.1", "cecill-2.1"),
+])
+def test_gaps_are_counted_in_words(text, label):
+    for separator in (" ", "\n" + " " * 400 + "// "):
+        assert label in ls.scan(text.format(separator))[5].split(",")
+    assert label not in ls.scan(text.format(" word" * 100 + " "))[5].split(",")
+
+
+def plain_scan(text):
+    """All rules without the gate, all matches, the strongest first."""
+    low = (text or "").translate(brute.LOWER)
+    found = sorted((rank, m.start() - m.end(), m.start(), r, m.end(), label, weight) for r, (rank, weight, label, p) in enumerate(ls.rules().rules) for m in p.finditer(low))
+    kept = []
+    for _, _, start, _, end, label, weight in found:
+        if all(end <= s or e <= start for s, e, _, _ in kept):
+            kept.append((start, end, label, weight))
+    weights = {}
+    for _, _, label, weight in kept:
+        weights[label] = max(weight, weights.get(label, 0))
+    for label in filter(None, base_by_hand(text)[4].split(",")):
+        weights[label] = max(ls.BASE_WEIGHT, weights.get(label, 0))
+    left = 1.0
+    for w in weights.values():
+        left *= 1 - w
+    return ",".join(sorted(weights)), 1 - left
+
+
+def test_the_query_against_a_plain_version(spark):
+    from attestor.llm.queries import QUERIES
+    from tests import oracle
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{oracle.DATA}/documents.parquet").collect()}
+    rows = QUERIES["op6_license_scan"](spark, oracle.DATA).collect()
+    assert len(rows) == len(texts) and any(r.labels for r in rows)
+    for r in rows:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_by_hand(texts[r.doc_id])
+        labels, score = plain_scan(texts[r.doc_id])
+        assert r.labels == labels and r.score == pytest.approx(score)
+
+
+def test_equal_rank_and_length_go_by_place():
+    rules = ls.Rules((("one", 0.5, "a | alpha | alpha beta\nb | beta | beta gamm"),))
+    assert [s[2] for s in rules.detections("alpha beta gamm")] == ["a"]
+    rules = ls.Rules((("one", 0.5, "b | alpha | alpha beta\na | beta | alpha beta"),))
+    assert [s[2] for s in rules.detections("alpha beta")] == ["b"]
