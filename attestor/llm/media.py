@@ -1,17 +1,20 @@
 """Operator 9, media columns: payloads as images in archives, read through a custom Spark data source.
 
 Writing: every task stores its rows' payloads as members of one archive in the shared folder: 8-bit grayscale PNG
-images 64 samples wide, so that each sample is a payload byte, in a stored (not compressed again) ZIP file. An attempt
-writes under a name of its own and then takes the name of its partition, so an attempt that dies leaves no archive
-and one that is repeated replaces its predecessor's: an executor may be lost at any time.
-
-Reading: the data source `attestor_media` lists the archives and plans byte ranges over them. A task takes the members
-that begin inside its range (the archive's own directory has their offsets), reads and checks each by its offset, tries
-a member again by itself when that fails, and yields Arrow batches of bounded size.
-
-Defined cases: null and empty texts store 64 zero bytes; equal texts give equal media; a null or repeated doc_id is
-carried as it is; members are told apart by their place, not by id; other columns are ignored; an empty table
-has no archive and gives no rows; a member that fails every attempt fails the task, so no row is lost in silence.
+images 64 samples wide, so that each sample is a payload byte, in a stored (not compressed again) ZIP file. Beside it goes
+an index of fixed records (offset, size and checksum of each member). Every attempt writes under a name of its own; the
+manifest, which only attempts that Spark has committed are in, names the archives that count and their byte ranges, each
+with its members' place in the index. So an attempt that dies, or one that is run twice, leaves nothing that is read.
+
+Reading: the data source `attestor_media` plans the manifest's byte ranges. A task reads its part of the index, then its range
+of the archive, checks each member by its offset, tries a member again by itself when that fails, and yields Arrow batches of
+bounded size. A folder without a manifest is read too: ranges are then cut by size, and a task looks its members up in the
+archive's own directory.
+
+Defined cases: null and empty texts store 64 zero bytes; equal texts give equal media; a null, empty or repeated doc_id, or
+one with any characters, is carried as it is (in the member's name); members are told apart by their place, not by id;
+other columns are ignored; an empty table has no archive and gives no rows; a member that fails every attempt fails the task,
+so no row is lost in silence.
 """
 
 from __future__ import annotations
@@ -24,17 +27,18 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import fresh_path, table, tuned
+from attestor.llm.common import fresh_path, store, table, tuned
 
 SIDE = 64
 #: Bytes of an archive that one task reads, and of payload in one Arrow batch.
@@ -42,6 +46,9 @@ RANGE_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
 ATTEMPTS = 4
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 _LOCAL = struct.Struct("<4s5H3L2H")
+#: A member in an index: where it begins, its bytes, their sum.
+_ENTRY = np.dtype([("offset", "<u8"), ("size", "<u8"), ("sum", "<u4")])
+MANIFEST = "_manifest"
 
 
 # ---- the format -------------------------------------------------------------------------------------------------
@@ -101,37 +108,51 @@ def feature_of(samples: np.ndarray) -> str:
 
 # ---- archives ---------------------------------------------------------------------------------------------------
 
-def store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder's URI, by Arrow: file, hdfs, s3, gs."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+def member_name(place: int, doc_id) -> str:
+    """The id stands in the name, spelled so that any text, none at all and null stay what they are."""
+    return f"{place}.png" if doc_id is None else f"{place}/{quote(str(doc_id), safe='')}.png"
+
+
+def id_in(name: str) -> str | None:
+    _, slash, rest = name.partition("/")
+    return unquote(rest.removesuffix(".png")) if slash else None
 
 
-def write_archives(docs: DataFrame, folder: str) -> DataFrame:
-    """Stores each row's payload when it runs; the manifest has a row an archive: archive, members, bytes."""
+def write_archives(docs: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> int:
+    """Stores each row's payload, and the manifest: archive, begin, end, first (place in the index), members. Returns the
+    number of members."""
     def run(batches):
         fs, root = store(folder)
         fs.create_dir(root, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():06d}.zip"
-        own = f"{root}/{uuid.uuid4().hex}.tmp"
-        members, archive, out = 0, None, None
+        own = f"part-{uuid.uuid4().hex}.zip"
+        archive, out, entries = None, None, []
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if archive is None:
-                    out = fs.open_output_stream(own)
-                    archive = zipfile.ZipFile(_Counted(out), "w", zipfile.ZIP_STORED, allowZip64=True)
-                info = zipfile.ZipInfo(f"{members}/{'' if doc_id is None else doc_id}.png")
-                archive.writestr(info, to_png(*payload_of(text)))
-                members += 1
-        if archive is not None:
-            archive.close()
-            out.close()
-            if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:  # a former attempt's
-                fs.delete_file(f"{root}/{name}")
-            fs.move(own, f"{root}/{name}")
-            size = fs.get_file_info(f"{root}/{name}").size
-            yield pa.RecordBatch.from_pydict({"archive": [name], "members": [members], "bytes": [size]})
-
-    return docs.select("doc_id", "text").mapInArrow(run, "archive string, members long, bytes long")
+                    out = fs.open_output_stream(f"{root}/{own}")
+                    counted = _Counted(out)
+                    archive = zipfile.ZipFile(counted, "w", zipfile.ZIP_STORED, allowZip64=True)
+                media = to_png(*payload_of(text))
+                entries.append((counted.at, len(media), zlib.crc32(media)))
+                archive.writestr(zipfile.ZipInfo(member_name(len(entries) - 1, doc_id)), media)
+        if archive is None:
+            return
+        ends = counted.at
+        archive.close()
+        out.close()
+        index = np.array(entries, _ENTRY)
+        with fs.open_output_stream(f"{root}/{own}.index") as f:
+            f.write(index.tobytes())
+        begin = index["offset"]
+        first = np.append(np.unique(begin // range_bytes, return_index=True)[1], len(index))
+        yield pa.RecordBatch.from_pydict({
+            "archive": [own] * (len(first) - 1), "begin": begin[first[:-1]].astype(np.int64), "end": np.append(begin[first[1:-1]], ends).astype(np.int64),
+            "first": first[:-1].astype(np.int64), "members": np.diff(first).astype(np.int64),
+        })
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "archive string, begin long, end long, first long, members long")
+    rows.write.mode("overwrite").parquet(f"{folder}/{MANIFEST}")
+    return docs.sparkSession.read.parquet(f"{folder}/{MANIFEST}").agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
 
 
 class _Counted(io.RawIOBase):
@@ -159,9 +180,11 @@ class _Counted(io.RawIOBase):
 
 
 class ByteRange(InputPartition):
-    def __init__(self, archive: str, begin: int, end: int):
+    """Members that begin in [begin, end) of an archive; with a manifest, also their place in the index."""
+
+    def __init__(self, archive: str, begin: int, end: int, first: int = 0, members: int | None = None):
         super().__init__((archive, begin, end))
-        self.archive, self.begin, self.end = archive, begin, end
+        self.archive, self.begin, self.end, self.first, self.members = archive, begin, end, first, members
 
 
 class MediaReader(DataSourceReader):
@@ -171,19 +194,32 @@ class MediaReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         fs, root = store(self.folder)
-        files = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        files = [f for f in files if f.base_name.endswith(".zip")]
-        return [ByteRange(f.base_name, at, min(at + self.range, f.size)) for f in sorted(files, key=lambda f: f.base_name) for at in range(0, f.size, self.range)] or [ByteRange("", 0, 0)]
+        if fs.get_file_info(f"{root}/{MANIFEST}").type != pafs.FileType.NotFound:
+            found = sorted(tuple(r.values()) for r in pq.read_table(f"{root}/{MANIFEST}", filesystem=fs).to_pylist())
+        else:
+            files = [f for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".zip")]
+            found = [(f.base_name, at, min(at + self.range, f.size)) for f in sorted(files, key=lambda f: f.base_name) for at in range(0, f.size, self.range)]
+        return [ByteRange(*x) for x in found] or [ByteRange("", 0, 0)]
+
+    @staticmethod
+    def members(fs: pafs.FileSystem, path: str, part: ByteRange, file) -> list[tuple[int, int, int]]:
+        """Offset, size and sum of the range's members: from the index, else from the archive's directory."""
+        if part.members is None:
+            return [(m.header_offset, m.file_size, m.CRC) for m in zipfile.ZipFile(file).infolist() if part.begin <= m.header_offset < part.end]
+        with fs.open_input_file(f"{path}.index") as index:
+            index.seek(part.first * _ENTRY.itemsize)
+            return np.frombuffer(index.read(part.members * _ENTRY.itemsize), _ENTRY).tolist()
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         if not part.archive:
             return
         fs, root = store(self.folder)
-        with fs.open_input_file(f"{root}/{part.archive}") as file:
-            members = [m for m in zipfile.ZipFile(file).infolist() if part.begin <= m.header_offset < part.end]
+        path = f"{root}/{part.archive}"
+        with fs.open_input_file(path) as file:
             rows, size = [], 0
-            for m in members:
-                rows.append((part.archive, m.header_offset, m.filename, media := self.member(file, m)))
+            for offset, length, total in self.members(fs, path, part, file):
+                name, media = self.member(file, offset, length, total)
+                rows.append((part.archive, offset, name, media))
                 size += len(media)
                 if size >= BATCH_BYTES:
                     yield _batch(rows)
@@ -192,17 +228,19 @@ class MediaReader(DataSourceReader):
                 yield _batch(rows)
 
     @staticmethod
-    def member(file, info: zipfile.ZipInfo) -> bytes:
-        """One member, from its offset; tried again by itself, with a pause, when it cannot be read or its sum is wrong."""
+    def member(file, offset: int, size: int, total: int) -> tuple[str, bytes]:
+        """One member's name and media, from its offset; tried again by itself, with a pause, when it cannot be read or its
+        sum is wrong."""
         for attempt in range(ATTEMPTS):
             try:
-                file.seek(info.header_offset)
+                file.seek(offset)
                 head = _LOCAL.unpack(file.read(_LOCAL.size))
-                file.seek(info.header_offset + _LOCAL.size + head[9] + head[10])
-                media = file.read(info.file_size)
-                if head[0] != b"PK\x03\x04" or len(media) != info.file_size or zlib.crc32(media) != info.CRC:
-                    raise ValueError(f"a damaged member at {info.header_offset}")
-                return media
+                name = file.read(head[9])
+                file.seek(offset + _LOCAL.size + head[9] + head[10])
+                media = file.read(size)
+                if head[0] != b"PK\x03\x04" or len(media) != size or zlib.crc32(media) != total:
+                    raise ValueError(f"a damaged member at {offset}")
+                return name.decode("utf-8"), media
             except (OSError, ValueError, struct.error):
                 if attempt == ATTEMPTS - 1:
                     raise
@@ -230,6 +268,7 @@ class MediaSource(DataSource):
 
 
 def read_media(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """range_bytes: of the ranges where no manifest states them."""
     spark.dataSource.register(MediaSource)
     return spark.read.format("attestor_media").option("rangebytes", str(range_bytes)).load(folder)
 
@@ -241,8 +280,7 @@ def features(media: DataFrame, id_type: str = "long") -> DataFrame:
             out = []
             for name, blob in zip(b.column("member").to_pylist(), b.column("media").to_pylist()):
                 payload, n = from_png(blob)
-                doc_id = name.split("/", 1)[1].removesuffix(".png")
-                out.append((doc_id or None, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SIDE:]), len(blob), hashlib.sha256(blob).hexdigest(), feature_of(np.frombuffer(payload, np.uint8))))
+                out.append((id_in(name), n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SIDE:]), len(blob), hashlib.sha256(blob).hexdigest(), feature_of(np.frombuffer(payload, np.uint8))))
             if out:
                 kinds = [pa.string(), *[pa.int64()] * 2, pa.string(), *[pa.int64()] * 2, pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], _COLUMNS)
@@ -258,6 +296,5 @@ _STRINGS = {"doc_id", "payload_sha256", "media_sha256", "feature"}
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents")
     folder = fresh_path(spark, "archives")
-    stored = write_archives(docs, folder).agg(F.sum("members")).first()[0]
-    rows = features(read_media(spark, folder), docs.schema["doc_id"].dataType.simpleString())
-    return rows if stored else rows.limit(0)
+    write_archives(docs, folder)
+    return features(read_media(spark, folder), docs.schema["doc_id"].dataType.simpleString())
