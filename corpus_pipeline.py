@@ -12,15 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import bpe, decontaminate, near_dup, pii, quality
-from attestor.llm.common import save, table
+from attestor.llm.common import BROADCAST_IDS, maybe_broadcast, save, scratch, table
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; null counts as an id."""
-    known = docs.where("doc_id is not null").join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-    if ids.where("doc_id is null").isEmpty():
-        return known
-    return known.unionByName(docs.where("doc_id is null"))
+def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key is not in dropped, a stored table of one column. While a count shows that the list may be
+    broadcast, no text moves."""
+    return docs.join(maybe_broadcast(dropped, dropped.count(), BROADCAST_IDS), key, "left_anti").select(*(c for c in docs.columns if c != "_own"))
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -28,25 +26,20 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_own", F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % (1 << 60)) - (1 << 60)))
 
 
-def _as_id(own: DataFrame) -> DataFrame:
-    return own.select(F.col("_own").alias("doc_id"), "text")
-
-
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that the classifier does not reject."""
-    own = _own(docs)
-    scores = quality.quality_scores(_as_id(own), table(spark, sf_dir, "labels"))
-    kept = scores.where("score >= 0.5").select(F.col("doc_id").alias("_own")).distinct()
-    return own.join(kept, "_own", "left_semi").select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: the document with the smallest id of each group; repeated rows of one id stay once."""
-    found = save(near_dup.near_duplicates(docs).select("doc_id", "kept"), "kept", docs.count())
-    kept = _chosen(docs, found.where("kept"))
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():  # the usual case: texts need not meet by id once more
+    found = save(near_dup.near_duplicates(docs).select("doc_id", "kept"), "kept")
+    copies = save(found.where("not kept").select("doc_id").distinct(), "copies")
+    kept = _without(docs, copies, "doc_id")
+    repeated = save(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if (n := repeated.count()) == 0:  # the usual case: texts need not meet by id once more
         return kept
+    repeated = maybe_broadcast(repeated, n, BROADCAST_IDS)
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
@@ -54,14 +47,15 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents in which no window of a benchmark item occurs."""
     own = _own(docs)
-    found = decontaminate.search(_as_id(own), table(spark, sf_dir, "benchmark"))
-    leaks = found.where(F.size("items") >= 1).select(F.col("doc_id").alias("_own")).distinct()
-    return own.join(leaks, "_own", "left_anti").select(*docs.columns)
+    found = decontaminate.search(own.select(F.col("_own").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = save(found.where(F.size("items") >= 1).select(F.col("doc_id").alias("_own")).distinct(), "leaks")
+    return _without(own, leaks, "_own")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: the documents with surrogates; n_chars, where there is one, is that of the new text."""
-    rows = pii.replace(docs).drop("_kinds")
+    """Operator 3: the documents with surrogates, under the session's key if it has one; n_chars, where there is one, is that
+    of the new text."""
+    rows = pii.replace(docs, None if spark.conf.get(pii.KEY_SETTING, None) else pii.QUERY_KEY).drop("_kinds")
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)
@@ -85,7 +79,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's table is written; what a stage wrote besides is deleted after it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = keep(save(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
