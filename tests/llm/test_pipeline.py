@@ -57,7 +57,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
     for r in out["pii"].collect():
         found = pii.find(good[r.doc_id])
         assert (r.text != good[r.doc_id]) == bool(found) and r.n_chars == len(r.text)
-        assert not any(said in r.text for *_, said in found)
+        assert not any(m.said in r.text for m in found)
     assert {r.doc_id for r in out["bpe"].collect()} == clean
     assert {tuple(r) for r in cp.run(spark, d).collect()} == {tuple(r) for r in out["bpe"].collect()}
 
@@ -80,5 +80,19 @@ def test_rows_without_ids_are_judged_each(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame(rows, DOC)
     assert sorted(r.text for r in cp.clean(spark, docs, d).collect()) == ["bad words", "clean words", "fine"]
     # a stand-in for the classifier: how rows are chosen by their scores is what is tested
-    monkeypatch.setattr(cp.quality, "quality_scores", lambda docs, labels: docs.selectExpr("doc_id", "if(text like 'bad%', 0.0D, 1.0D) as score"))
+    monkeypatch.setattr(cp.quality, "accepted", lambda docs, labels: docs.where("text not like 'bad%'"))
     assert sorted(r.text for r in cp.good(spark, docs, d).collect()) == ["clean words", "fine", "has one two three in it"]
+
+
+def test_what_stages_write_besides_is_deleted(spark, tmp_path):
+    from pathlib import Path
+
+    from attestor.llm.common import shared_dir
+
+    corpus(spark, tmp_path)
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "attestor"
+    before = set(folder.iterdir()) if folder.is_dir() else set()
+    out = cp.run(spark, str(tmp_path))
+    left = {x.name for f in set(folder.iterdir()) - before for x in f.iterdir()}
+    assert {"quality", "near_dup", "decontaminate", "pii"} <= left and not left & {"signatures", "sets", "postings", "mentions"}
+    assert out.count() > 0
