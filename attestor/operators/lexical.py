@@ -6,20 +6,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.text import terms
+from attestor.sources.shared import counted, stored
 
 #: bm25 and column weights.
 K1, B, TITLE_WEIGHT, BODY_WEIGHT, LEAST_IDF = 1.2, 0.75, 4.0, 1.0, 1e-6
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """docs (id, title, body) to term, id, tf (weighted by column) and dl (terms of the document).
-    Counts are combined inside each document first, so the shuffle carries a row a distinct term and document."""
-    def part(column: str, weight: float) -> DataFrame:
-        return docs.select("id", F.explode(terms(F.col(column))).alias("term"), F.lit(weight).alias("w"))
+    """docs (id, title, body) to term, id, tf (weighted by column) and dl (terms of the document). A document is one row, so
+    its terms are counted in it: equal terms stand together in its sorted list, and no row moves."""
+    once = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  what is exploded is computed once, however often it is used
+    rows = docs.select("id", once(F.struct(F.sort_array(terms(F.col("body"))).alias("b"), terms(F.col("title")).alias("t")), "x"))
+    n = F.size("x.b")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(places, lambda i: (i == 0) | (F.get("x.b", i) != F.get("x.b", i - 1)))
+    rows = rows.select("id", "x", once(begins, "begins"))
+    said = lambda term: F.size(F.filter("x.t", lambda y: y == term)) * TITLE_WEIGHT
 
-    length = (F.size(terms(F.col("title"))) + F.size(terms(F.col("body")))).cast("long")
-    hits = part("title", TITLE_WEIGHT).unionByName(part("body", BODY_WEIGHT))
-    return hits.groupBy("term", "id").agg(F.sum("w").alias("tf")).join(docs.select("id", length.alias("dl")), "id")
+    def run(i, k):
+        term = F.get("x.b", i)
+        return F.struct(term.alias("term"), ((F.coalesce(F.get("begins", k + 1), n) - i) * BODY_WEIGHT + said(term)).alias("tf"))
+
+    only_title = F.transform(F.array_except("x.t", "x.b"), lambda term: F.struct(term.alias("term"), said(term).alias("tf")))
+    rows = rows.select("id", (n + F.size("x.t")).cast("long").alias("dl"), F.explode(F.concat(F.transform("begins", run), only_title)).alias("p"))
+    return rows.select("p.term", "id", "p.tf", "dl")
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """The postings by term: a reader of some terms skips the other files and row groups."""
+    index.repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
+
+
+def index_statistics(spark, path: str) -> DataFrame:
+    """One row: postings, terms, documents, files and bytes of a written index."""
+    rows = spark.read.parquet(path)
+    files = rows.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct().agg(F.count("*").alias("files"), F.sum("s").alias("bytes"))
+    told = rows.agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"), F.count_distinct("id").alias("documents"))
+    return told.join(F.broadcast(files))  # one row each
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -35,7 +58,7 @@ def term_stats(index: DataFrame) -> DataFrame:
 def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """queries (qid, terms) to qid, id, score, rank: the k best documents that hold any term. Only postings of query
     terms are scored; the statistics are one row."""
-    wanted = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
+    wanted = counted(stored(queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))))
     hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     one = stats.first()  # two numbers
@@ -48,14 +71,39 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> Data
     return totals.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrases (pid, terms) to pid, id, n: how often the terms stand in a row. From the phrase's first term on, each
-    further one must follow at its distance: one equi-join and one count."""
-    places = docs.select("id", F.posexplode(terms(F.col("body"))).alias("pos", "term"))
-    wanted = phrases.select("pid", F.size("terms").alias("size"), F.posexplode("terms").alias("o", "term"))
-    hits = places.join(wanted, "term").select("pid", "id", "size", (F.col("pos") - F.col("o")).alias("start"))
-    met = hits.groupBy("pid", "id", "size", "start").agg(F.count("*").alias("c")).where("c = size")
-    return met.groupBy("pid", "id").agg(F.count("*").alias("n"))
+def rarest(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (qid, term) to qid, id: the documents that hold the term of each question that the fewest documents hold. A
+    question with a term that none holds has no document."""
+    wanted = counted(stored(wanted.distinct()))
+    hits = index.select("term", "id").join(wanted.select("term").distinct(), "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    first = wanted.join(df, "term", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
+    return index.select("term", "id").join(first.where("r.df > 0").select("qid", F.col("r.term").alias("term")), "term").select("qid", "id")
+
+
+def holding(docs: DataFrame, questions: DataFrame, index: DataFrame) -> DataFrame:
+    """questions (qid, text) to qid, id: documents whose body holds the text. A term inside the text, neither its first nor its last,
+    is a term of such a body too; a text without one is looked for in all bodies."""
+    words = questions.select("qid", "text", terms(F.col("text")).alias("t"))
+    inner = words.where("size(t) > 2").select("qid", F.explode(F.slice("t", F.lit(2), F.size("t") - 2)).alias("term"))
+    found = stored(rarest(index, inner))
+    rows = docs.select("id", "body").join(counted(found), "id").join(questions.select("qid", "text"), "qid").where(F.contains("body", F.col("text")))
+    short = stored(words.where("size(t) <= 2").select("qid", "text"))
+    if not short.isEmpty():  # a stated set of questions against all documents
+        rows = rows.select("qid", "id").unionByName(docs.join(counted(short), F.contains("body", F.col("text"))).select("qid", "id"))
+    return rows.select("qid", "id").distinct()
+
+
+def phrase_matches(docs: DataFrame, phrases: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """phrases (pid, terms) to pid, id, n: how often the terms stand in a row. The documents that hold a phrase's rarest term
+    are read, and their own words tell."""
+    index = stored(postings(docs.select("id", F.lit("").alias("title"), "body"))) if index is None else index
+    found = rarest(index, phrases.select(F.col("pid").alias("qid"), F.explode("terms").alias("term")))
+    asked = found.withColumnRenamed("qid", "pid").join(phrases.select("pid", "terms"), "pid").groupBy("id").agg(F.collect_list(F.struct("pid", "terms")).alias("asked"))
+    rows = docs.select("id", "body").join(counted(stored(asked)), "id").select("id", "asked", F.explode(F.array(terms(F.col("body")))).alias("b"))
+    starts = lambda t: F.filter(F.sequence(F.lit(1), F.greatest(F.size("b"), F.lit(1))), lambda i: (F.get("b", i - 1) == t[0]) & (F.slice("b", i, F.size(t)) == t))
+    told = F.transform("asked", lambda x: F.struct(x.pid.alias("pid"), F.size(starts(x.terms)).cast("long").alias("n")))
+    return rows.select("id", F.explode(told).alias("x")).where("x.n > 0").select("x.pid", "id", "x.n")
 
 
 def recall(ranked: DataFrame, key: DataFrame, budgets: list[int]) -> DataFrame:
@@ -69,13 +117,19 @@ def recall(ranked: DataFrame, key: DataFrame, budgets: list[int]) -> DataFrame:
     return rows.groupBy("qid", "budget").agg(F.count(inside).alias("found"), F.count("*").alias("expected"), F.min(inside).alias("first_rank"))
 
 
-def recall_summary(rows: DataFrame) -> DataFrame:
-    """A row a budget: mean recall, questions with any and with all documents, upper median of the first rank."""
-    ranks = F.sort_array(F.collect_list("first_rank"))
-    return rows.groupBy("budget").agg(
+def recall_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A row a budget (and a kind of question, by other columns): mean recall, questions with any and with all documents,
+    upper median of the first rank. Ranks are few (1 to the budget), so they are counted and not listed."""
+    keys = [*(by or []), "budget"]
+    counts = rows.where("first_rank is not null").groupBy(*keys, "first_rank").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("c").over(w.orderBy("first_rank"))
+    middle = counts.withColumn("upto", upto).withColumn("all", F.sum("c").over(w)).where(F.col("upto") > F.floor(F.col("all") / 2))
+    median = middle.groupBy(*keys).agg(F.min("first_rank").alias("median_first_rank"))
+    told = rows.groupBy(*keys).agg(
         F.count("*").alias("questions"),
         F.avg(F.col("found") / F.col("expected")).alias("recall"),
         F.sum(F.when(F.col("found") > 0, 1).otherwise(0)).alias("any_hit"),
         F.sum(F.when(F.col("found") == F.col("expected"), 1).otherwise(0)).alias("all_hit"),
-        F.get(ranks, F.floor(F.size(ranks) / 2).cast("int")).alias("median_first_rank"),
     )
+    return told.join(median, keys, "left")

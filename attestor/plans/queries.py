@@ -16,7 +16,7 @@ from attestor.operators import graph, lexical, neardup, parsing, resolve, spans
 from attestor.operators import identity as idn
 from attestor.operators import ontology as on
 from attestor.operators import recording as rec
-from attestor.plans.views import duck, is_whole, some, table, view, whole
+from attestor.plans.views import SOURCES, duck, table, view
 from attestor.sources import corpus, reports, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,8 +186,7 @@ tf as (select term, id, sum(w) as tf from hits group by term, id),
 sizes as (select id, len(t) + len(b) as dl from docs),
 stats as (select count(*) as n, avg(dl::double) as avgdl from sizes),
 df as (select term, count(*) as df, sum(tf) as cf from tf group by term)"""
-#: A question's terms: words 3 to 15 of a benchmark item.
-_ASKED = f"asked as (select qid, list_distinct(({tx.sql_terms('text')})[3:15]) as terms from {duck('v_question')})"
+_ASKED = f"asked as (select qid, list_distinct({tx.sql_terms('text')}) as terms from {duck('v_question')})"
 _BM25 = f"""with {_TOKENS}, {_ASKED},
 q as (select qid, unnest(terms) as term from asked),
 scored as (select qid, tf.id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)))) as score
@@ -195,22 +194,16 @@ scored as (select qid, tf.id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6
 ranked as (select qid, id, score, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from scored)"""
 
 
-def _words(start: int, n: int) -> Column:
-    """n of a question's terms from a place on, or all in a whole query."""
-    terms = tx.terms(F.col("text"))
-    return terms if is_whole() else F.slice(terms, start, n)
-
-
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = view(spark, d, "v_doc")
-    asked = view(spark, d, "v_question").select("qid", F.array_distinct(_words(3, 13)).alias("terms"))
-    return docs, lexical.postings(docs), lexical.corpus_stats(docs), asked
+    index = lexical.stored(lexical.postings(docs))
+    return docs, index, lexical.corpus_stats(docs), view(spark, d, "v_question").select("qid", F.array_distinct(tx.terms(F.col("text"))).alias("terms"))
 
 
 @query(f"with {_TOKENS} select term, df, cf from df")
 def term_postings(spark: SparkSession, d: str) -> DataFrame:
     """Document and weighted collection frequency of every term."""
-    return lexical.term_stats(_index(spark, d)[1])
+    return lexical.term_stats(lexical.postings(view(spark, d, "v_doc")))
 
 
 @query(f"{_BM25} select qid, id, rank, floor(score * 1e4 + 0.5)::bigint as score_e4 from ranked where rank <= 10")
@@ -221,15 +214,12 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return best.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.floor(F.col("score") * 1e4 + 0.5).cast("long").alias("score_e4"))
 
 
-_PHRASES = f"phrases as (select qid as pid, ({tx.sql_terms('text')})[3:6] as terms from {duck('v_question')})"
-
-
-@query(f"""with {_PHRASES}, docs as (select id, {tx.sql_terms('body')} as b from {duck('v_doc')}),
-runs as (select id, array_to_string(b[i:i+3], ' ') as g from docs, lateral (select unnest(range(1, len(b) - 2)) as i) where len(b) >= 4)
-select pid, id, count(*) as n from phrases join runs on g = array_to_string(terms, ' ') where len(terms) = 4 group by pid, id""")
+@query(f"""with phrases as (select qid as pid, ' ' || array_to_string({tx.sql_terms('text')}, ' ') || ' ' as said from {duck('v_question')}),
+docs as (select id, ' ' || array_to_string({tx.sql_terms('body')}, ' ') || ' ' as b from {duck('v_doc')})
+select pid, id, len(string_split(b, said)) - 1 as n from phrases join docs on contains(b, said) where said <> '  '""")
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a question's phrase of four words."""
-    phrases = view(spark, d, "v_question").select(F.col("qid").alias("pid"), _words(3, 4).alias("terms")).where(some("size(terms) = 4")).where("size(terms) > 0")
+    """Documents that hold a question's words in a row, and how often."""
+    phrases = view(spark, d, "v_question").select(F.col("qid").alias("pid"), tx.terms(F.col("text")).alias("terms")).where("size(terms) > 0")
     return lexical.phrase_matches(view(spark, d, "v_doc"), phrases)
 
 
@@ -241,10 +231,8 @@ judged as (select k.qid, budget, count(case when rank <= budget then 1 end) as f
 
 def _recall(spark: SparkSession, d: str) -> DataFrame:
     docs, index, stats, asked = _index(spark, d)
-    # a stated set of questions against all documents; the texts meet on their rarest common term, not on each other
-    hits = lexical.phrase_matches(docs, view(spark, d, "v_question").select(F.col("qid").alias("pid"), tx.terms(F.col("text")).alias("terms")))
-    texts = hits.join(docs.select("id", "body"), "id").join(view(spark, d, "v_question").select(F.col("qid").alias("pid"), "text"), "pid")
-    key = texts.where(F.contains("body", F.col("text"))).groupBy(F.col("pid").alias("qid")).agg(F.collect_set("id").alias("expected"))
+    # a stated set of questions against all documents; a question meets the documents that hold its rarest term
+    key = lexical.holding(docs, view(spark, d, "v_question"), index).groupBy("qid").agg(F.collect_set("id").alias("expected"))
     return lexical.recall(lexical.bm25(index, stats, asked, 20), key, [4, 8, 20])
 
 
@@ -441,14 +429,14 @@ def participation(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Ambiguous mentions: their candidates are the entity itself and the two with the next numbers.
-_CANDIDATES = f"candidates as (select mention_id, dsid, channel, unnest([entity, entity + 1, entity + 2]) as entity from {duck('v_mention')} where dsid % 5 = 0)"
+_CANDIDATES = f"candidates as (select mention_id, dsid, channel, unnest([entity, entity + 1, entity + 2]) as entity from {duck('v_mention')})"
 _SCORES = f"with {_CO}, {_CANDIDATES}, scores as (select c.mention_id, c.entity, 3 * coalesce(co.n, 0) + coalesce(joined.n, 0) as score from candidates c left join co on co.entity = c.entity and co.dsid = c.dsid left join joined on joined.entity = c.entity and joined.channel = c.channel)"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     m, co, part = _graph(spark, d)
     e = F.col("entity")
-    asked = m.where(some("dsid % 5 = 0")).select("mention_id", "dsid", "channel", F.explode(F.array(e, e + 1, e + 2)).alias("entity"))
+    asked = m.select("mention_id", "dsid", "channel", F.explode(F.array(e, e + 1, e + 2)).alias("entity"))
     return graph.candidate_scores(asked, co, part)
 
 
@@ -469,7 +457,7 @@ def tier3_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PROPOSE_NAMES = "select s_suppkey as entity, p_name as name from supplier join part on p_partkey = s_suppkey"
-_ASKING = f"asking as (select mention_id, dsid, channel, substr(p_name, 1, 1) || substr(p_name, 3, 2) as token from {duck('v_mention')} join part on p_partkey = channel where dsid % 7 = 0)"
+_ASKING = f"asking as (select mention_id, dsid, channel, substr(p_name, 1, 1) || substr(p_name, 3, 2) as token from {duck('v_mention')} join part on p_partkey = channel)"
 
 
 @query(f"""with {_CO}, {_ASKING}, near as (select mention_id, token, co.entity from asking a join co on co.dsid = a.dsid union select mention_id, token, joined.entity from asking a join joined on joined.channel = a.channel),
@@ -481,18 +469,18 @@ def propose_structure(spark: SparkSession, d: str) -> DataFrame:
     m, co, part = _graph(spark, d)
     parts = table(spark, d, "part")
     name = F.col("p_name")
-    asking = m.where(some("dsid % 7 = 0")).join(parts, F.col("channel") == F.col("p_partkey")).select("mention_id", "dsid", "channel", F.concat(F.substring(name, 1, 1), F.substring(name, 3, 2)).alias("token"))
+    asking = m.join(parts, F.col("channel") == F.col("p_partkey")).select("mention_id", "dsid", "channel", F.concat(F.substring(name, 1, 1), F.substring(name, 3, 2)).alias("token"))
     entities = table(spark, d, "supplier").join(parts, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("entity"), name.alias("name"))
     out = graph.propose(asking, co, part, entities)
     return out.select("mention_id", "entity", "method", scoring.ten_thousandths(F.col("confidence")).cast("int").alias("confidence_e4"))
 
 
-@query(f"""with r as (select * from {duck('v_reference')}), first as (select a.dsid as anchor, b.dsid, min(a.ticket) as ticket from r a join r b on a.ticket = b.ticket and a.dsid <> b.dsid where a.dsid % 50 = 1 group by a.dsid, b.dsid)
+@query(f"""with r as (select * from {duck('v_reference')}), first as (select a.dsid as anchor, b.dsid, min(a.ticket) as ticket from r a join r b on a.ticket = b.ticket and a.dsid <> b.dsid group by a.dsid, b.dsid)
 select anchor, dsid, ticket, place from (select *, row_number() over (partition by anchor order by ticket, dsid) as place from first) where place <= 6""")
 def ticket_related(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share a ticket with some documents, the first six of each."""
     refs = view(spark, d, "v_reference")
-    out = graph.related_by_ticket(refs.where(some("dsid % 50 = 1")).select("dsid"), refs)
+    out = graph.related_by_ticket(refs.select("dsid"), refs)
     return out.select("anchor", "dsid", "ticket", F.col("place").cast("long").alias("place"))
 
 
@@ -503,26 +491,26 @@ def shared_tickets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_EDGES}, both_ways as (select src as claim_id, dst as other, predicate, decided from edges union all select dst, src, predicate, decided from edges)
-select distinct e.claim_id, e.other, e.predicate, e.decided, c.object as other_object, c.dsid as other_dsid from both_ways e join {duck('v_claim')} c on c.claim_id = e.other where e.claim_id % 13 = 0""")
+select distinct e.claim_id, e.other, e.predicate, e.decided, c.object as other_object, c.dsid as other_dsid from both_ways e join {duck('v_claim')} c on c.claim_id = e.other""")
 def contested_claims(spark: SparkSession, d: str) -> DataFrame:
     """The rivals of used claims, whichever way the edge points."""
     claims = view(spark, d, "v_claim")
-    return graph.contested(claims.where(some("claim_id % 13 = 0")), cf.edges(claims), claims).select("claim_id", "other", "predicate", "decided", "other_object", "other_dsid")
+    return graph.contested(claims, cf.edges(claims), claims).select("claim_id", "other", "predicate", "decided", "other_object", "other_dsid")
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     claims = view(spark, d, "v_claim")
     spans_ = claims.select((F.col("claim_id") * 2).alias("span_id"), "quote")
-    return graph.evidence(claims.where(some("dsid % 9 = 0")).select("dsid"), claims.select("dsid", "claim_id"), claims.select("claim_id", "subject", "object"), claims.select("claim_id", (F.col("claim_id") * 2).alias("span_id")), spans_)
+    return graph.evidence(claims.select("dsid"), claims.select("dsid", "claim_id"), claims.select("claim_id", "subject", "object"), claims.select("claim_id", (F.col("claim_id") * 2).alias("span_id")), spans_)
 
 
-@query(f"select dsid, claim_id, claim_id * 2 as span_id, subject, object, quote from {duck('v_claim')} where dsid % 9 = 0")
+@query(f"select dsid, claim_id, claim_id * 2 as span_id, subject, object, quote from {duck('v_claim')}")
 def evidence_path(spark: SparkSession, d: str) -> DataFrame:
     """Documents, their claims and the spans behind them."""
     return _evidence(spark, d).select("dsid", "claim_id", "span_id", "subject", "object", "quote")
 
 
-_E = f"e as (select cast(dsid as varchar) as d, cast(claim_id as varchar) as c, cast(claim_id * 2 as varchar) as s, object, quote from {duck('v_claim')} where dsid % 9 = 0)"
+_E = f"e as (select cast(dsid as varchar) as d, cast(claim_id as varchar) as c, cast(claim_id * 2 as varchar) as s, object, quote from {duck('v_claim')})"
 
 
 @query(f"""with {_E} select 'document' as kind, d as id, d as label, null as src, null as dst from e union select 'claim', c, object, null, null from e union select 'span', s, quote, null, null from e
@@ -704,15 +692,19 @@ def span_validation(spark: SparkSession, d: str) -> DataFrame:
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     claims = view(spark, d, "v_claim")
-    used = claims.where(some("claim_id % 13 = 0")).withColumn("qid", F.col("claim_id") % 100)
+    used = claims.withColumn("qid", F.col("claim_id") % 100)
     w = Window.partitionBy("qid").orderBy("claim_id")
     rows = used.withColumn("place", F.row_number().over(w) - 1).withColumn("evidence_id", F.concat(F.lit("e"), F.col("place").cast("string")))
     questions = claims.select((F.col("claim_id") % 110).alias("qid")).distinct()
-    return an.judge(questions, rows, an.first_evidence(rows), cf.edges(claims), claims)
+    said = an.first_evidence(rows)
+    cited = said.select("qid", F.explode("used").alias("evidence_id")).join(rows, ["qid", "evidence_id"])
+    # only facts that a cited claim is about can be disputed; recency still ranks all documents
+    disputes = cf.edges(cf.touched(claims, cited.select("dsid")), ordering=cf.recency(claims))
+    return an.judge(questions, rows, said, disputes, claims)
 
 
 @query(f"""with {_EDGES}, both_ways as (select src as claim_id, dst as other from edges union all select dst, src from edges),
-used as (select qid, claim_id, dsid, object, subject, predicate from (select *, claim_id % 100 as qid, row_number() over (partition by claim_id % 100 order by claim_id) as n from {duck('v_claim')} where claim_id % 13 = 0) where n <= 3),
+used as (select qid, claim_id, dsid, object, subject, predicate from (select *, claim_id % 100 as qid, row_number() over (partition by claim_id % 100 order by claim_id) as n from {duck('v_claim')}) where n <= 3),
 fought as (select distinct u.qid from used u join both_ways b on b.claim_id = u.claim_id),
 spoken as (select qid, count(*) as n_used, count(distinct dsid) as cited from used group by qid)
 select q.qid, case when n_used is null then 'insufficient' when f.qid is not null then 'conflicting' else 'supported' end as answerability,
@@ -807,8 +799,8 @@ def _name_keys(key: str, name: str, source: str, where: str = "true") -> str:
     return f"select {key}, 'words:' || array_to_string({_WORDS(name)}, ' ') as k from {source} where len({_WORDS(name)}) >= 2 and {where} union select {key}, 'letters:' || {_LETTERS(name)} from {source} where len({_WORDS(name)}) >= 2 and {where}"
 
 
-_MATCH = f"""with people as (select distinct lower(email) as email, name from {duck('v_person')} where person_id % 5 = 0),
-entities as (select person_id as entity, name, email from {duck('v_person')} where person_id % 3 = 0),
+_MATCH = f"""with people as (select distinct lower(email) as email, name from {duck('v_person')}),
+entities as (select person_id as entity, name, email from {duck('v_person')}),
 pk as (select email as person, 'email:' || email as k from people union {_name_keys('email as person', 'name', 'people')} union {_name_keys('email as person', "split_part(email, '@', 1)", 'people')}),
 own as (select k, min(person) as person from pk group by k having count(distinct person) = 1),
 ek as (select entity, 'email:' || lower(email) as k from entities union {_name_keys('entity', 'name', 'entities', "email like '%@redwood%'")} union {_name_keys('entity', "split_part(email, '@', 1)", 'entities', "email like '%@redwood%'")}),
@@ -819,8 +811,8 @@ hits as (select entity, count(distinct person) as hits, min(person) as person fr
 def identity_match(spark: SparkSession, d: str) -> DataFrame:
     """The person of a directory that each observed entity is, or none."""
     p = view(spark, d, "v_person")
-    directory = p.where(some("person_id % 5 = 0")).select(F.lower("email").alias("email"), "name").distinct()
-    entities = p.where(some("person_id % 3 = 0")).select(F.col("person_id").alias("entity"), "name", F.array("email").alias("emails"))
+    directory = p.select(F.lower("email").alias("email"), "name").distinct()
+    entities = p.select(F.col("person_id").alias("entity"), "name", F.array("email").alias("emails"))
     return idn.matched(entities, directory)
 
 
@@ -907,13 +899,3 @@ def precision_by_method(spark: SparkSession, d: str) -> DataFrame:
     """How often each method is with its cluster's main person."""
     rows = table(spark, d, "part").select(F.col("p_type").alias("method"), F.concat(F.substring("p_brand", 1, 7), (F.col("p_size") % 2).cast("string")).alias("system"), F.col("p_brand").alias("gold"))
     return ev.precision_by_method(rows).select("method", "n", F.col("right").cast("long").alias("right"))
-
-
-# ---- whole queries ----------------------------------------------------------------------------------------------
-
-#: The queries on v_claim, over all orders.
-_CLAIMS = """normalise_predicate predicate_alignment directness recency_rank corroboration conflict_versions conflict_decisions conflict_edges conflict_version_pairs conflict_touched_facts
-  unmapped_predicates contested_claims evidence_path evidence_subgraph edge_prune answer_verdict incremental_equals_batch gate_violations""".split()
-#: Those on some ids or some words of questions, over all of them; bounded_paths has its ends as arguments and is not one.
-_PARTS = """bm25_topk phrase_match recall_at_k median_first_rank graph_candidate_scores tier3_decisions propose_structure ticket_related candidate_edges resolution_report identity_match""".split()
-QUERIES |= {f"{name}_whole": whole(QUERIES[name]) for name in [*_CLAIMS, *_PARTS]}

@@ -6,8 +6,6 @@ Each is one SELECT that Spark and DuckDB both read; {name} stands for a table or
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +21,12 @@ _DOMAINS = ["redwood.com", "redwood.ai", "redwood-inference.com", "acme.io"]
 
 VIEWS = {
     "v_doc": f"select doc_id as id, {_pick('doc_id', SOURCES)} as source_type, concat(lang, ' ', source) as title, text as body from {{documents}}",
-    # the predicate's spelling and the source do not hang together, and every third order keeps the facts small
+    # the predicate's spelling and the source do not hang together
     "v_claim": f"""select o_orderkey as claim_id, o_orderkey as dsid, {_pick('o_orderkey', SOURCES)} as source_type, c_name as subject,
       {_pick('cast(floor(o_orderkey / 3) as bigint)', ['has status', 'status', 'state', 'the current status of', 'frobnicates', 'includes'])} as predicate, o_orderstatus as object,
       cast(0.9 as double) as confidence, concat(case when o_orderkey % 7 = 0 then 'They said ' else '' end, c_name, ' is ', o_orderstatus, ' ', cast(o_orderkey % 5 as string)) as quote,
       case when o_orderkey % 4 = 0 then null else cast(floor(epoch_of) as bigint) end as timestamp
-      from (select o_orderkey, o_custkey, o_orderstatus, {{epoch}} as epoch_of from {{orders}}) o join {{customer}} c on o.o_custkey = c.c_custkey where o_orderkey % 3 = 0""",
+      from (select o_orderkey, o_custkey, o_orderstatus, {{epoch}} as epoch_of from {{orders}}) o join {{customer}} c on o.o_custkey = c.c_custkey""",
     "v_mention": "select l_orderkey * 8 + l_linenumber as mention_id, l_orderkey as dsid, min(l_suppkey) as entity, min(l_partkey) as channel from {lineitem} group by l_orderkey, l_linenumber",
     "v_reference": "select distinct l_orderkey as dsid, l_partkey as ticket from {lineitem}",
     "v_person": f"""select p_partkey as person_id, p_name as name, concat(replace(p_name, ' ', '.'), '@', {_pick('p_partkey', _DOMAINS)}) as email from {{part}}""",
@@ -36,33 +34,6 @@ VIEWS = {
 }
 
 
-#: What a view leaves out for the comparison with SQL; whole queries read it without that.
-CUTS = {"v_claim": " where o_orderkey % 3 = 0"}
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-def whole(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """The query over all rows and texts: neither CUTS nor what some() names hold."""
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = _WHOLE.set(True)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            _WHOLE.reset(before)
-
-    run.__name__, run.__doc__ = f"{f.__name__}_whole", f.__doc__
-    return run
-
-
-def is_whole() -> bool:
-    return _WHOLE.get()
-
-
-def some(condition: str) -> str:
-    """The condition, or none in a whole query."""
-    return "true" if is_whole() else condition
-
-
 def text(name: str, engine: str) -> str:
     """A view's SELECT with other views put in; tables stay as {{name}} for Spark and become names for DuckDB."""
     epoch = "unix_timestamp(o_orderdate)" if engine == "spark" else "epoch(o_orderdate)"
@@ -89,7 +60,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = text(name, "spark")
-    if is_whole():
-        sql = sql.removesuffix(CUTS.get(name, ""))
     used = {t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", sql))}
     return spark.sql(sql, **used)

@@ -125,7 +125,7 @@ def test_mail_chat_meeting(spark):
     ], "doc_id string, source_type string, title string, body string")
     parsed = parsing.parse_documents(docs)
     got = {(r.dsid, r.surface, r.kind, r.role) for r in parsing.mentions_of(parsed).collect()}
-    assert got == {("m", "Alyssa Chen", "person", "from"), ("m", "m.k@redwood.com", "person", "to"), ("s", "sasha", "person", "speaker"), ("s", "deploy-bot", "bot", "speaker"),
+    assert got == {("m", "Alyssa Chen", "person", "email_from"), ("m", "m.k@redwood.com", "person", "email_to"), ("s", "sasha", "person", "speaker"), ("s", "deploy-bot", "bot", "speaker"),
                    ("s", "maria", "person", "speaker"), ("s", "kevin", "person", "at_mention"), ("f", "Maya Patel", "person", "attendee")}
     refs = {(r.doc_id, r.target, r.kind) for r in parsed.select("doc_id", F.explode("references").alias("r")).select("doc_id", "r.*").collect()}
     assert refs == {("s", "ENG-4129", "ticket"), ("g", "ENG-4129", "ticket"), ("g", "https://x.io/a", "url")}
