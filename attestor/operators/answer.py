@@ -50,6 +50,21 @@ def first_evidence(rows: DataFrame, limit: int = 3) -> DataFrame:
     return some.select("qid", F.array_join("e.said", "; ").alias("answer"), F.col("e.evidence_id").alias("used"))
 
 
+def trace(found: DataFrame, rows: DataFrame, answers: DataFrame, judged: DataFrame) -> DataFrame:
+    """qid, operation, results: what each step of an answer came to, for every question that was judged."""
+    def step(name: str, df: DataFrame) -> DataFrame:
+        n = df.groupBy("qid").agg(F.count("*").alias("results"))
+        return judged.select("qid").join(n, "qid", "left").select("qid", F.lit(name).alias("operation"), F.coalesce("results", F.lit(0)).alias("results"))
+
+    cited = answers.select("qid", F.explode("used").alias("evidence_id")).distinct()
+    known = cited.join(rows.select("qid", "evidence_id").distinct(), ["qid", "evidence_id"], "left_semi")
+    parts = [("retrieve", found), ("evidence", rows), ("cite", known), ("reject", cited.join(known, ["qid", "evidence_id"], "left_anti")), ("dispute", judged.where("answerability = 'conflicting'"))]
+    out = step(*parts[0])
+    for p in parts[1:]:
+        out = out.unionByName(step(*p))
+    return out
+
+
 def judge(questions: DataFrame, rows: DataFrame, answers: DataFrame, conflicts: DataFrame, claims: DataFrame) -> DataFrame:
     """One row a question: the answer, the documents cited, supported, conflicting or insufficient, the confidence. Cited
     ids that are no evidence do not count; an answer without any that is gets the verdict insufficient and carries
@@ -74,8 +89,20 @@ def judge(questions: DataFrame, rows: DataFrame, answers: DataFrame, conflicts:
     )
 
 
-def answer(questions: DataFrame, index: DataFrame, stats: DataFrame, bodies: DataFrame, claims: DataFrame, conflicts: DataFrame, synthesise: Synthesiser = first_evidence) -> DataFrame:
-    """questions (qid, terms) to judged answers."""
+def with_related(found: DataFrame, references: DataFrame) -> DataFrame:
+    """found (qid, id, rank) and, after them, documents that share a ticket with one, by the retrieved document's rank and their id."""
+    near = graph.related_by_ticket(found.select(F.col("id").alias("dsid")), references)
+    more = found.join(near, found["id"] == near["anchor"]).groupBy("qid", F.col("dsid").alias("id")).agg(F.min("rank").alias("_r"))
+    more = more.join(found.select("qid", "id"), ["qid", "id"], "left_anti")
+    last = found.groupBy("qid").agg(F.max("rank").alias("_last"))
+    w = Window.partitionBy("qid").orderBy("_r", "id")
+    more = more.join(last, "qid").select("qid", "id", (F.col("_last") + F.row_number().over(w)).alias("rank"))
+    return found.select("qid", "id", "rank").unionByName(more)
+
+
+def answer(questions: DataFrame, index: DataFrame, stats: DataFrame, bodies: DataFrame, claims: DataFrame, conflicts: DataFrame, synthesise: Synthesiser = first_evidence, references: DataFrame | None = None) -> DataFrame:
+    """questions (qid, terms) to judged answers; with references (dsid, ticket), documents that share a ticket with a retrieved
+    one bring their claims after all others."""
     found = retrieve(index, stats, questions, bodies.select(F.col("dsid").alias("id")))
-    rows = evidence(found, claims, bodies)
+    rows = evidence(found if references is None else with_related(found, references), claims, bodies)
     return judge(questions, rows, synthesise(rows), conflicts, claims)

@@ -21,8 +21,9 @@ def facts(claims: DataFrame, identity: DataFrame | None = None) -> DataFrame:
     """Claims that can be contested, with relation, who, value and the relation's properties.
     identity: dsid, surface (case-folded), entity; the greatest entity wins where a surface has several."""
     spark = claims.sparkSession
+    # predicates that hold a catalogue word; spellings grow with the claims, so Spark decides by size how to join them
     known = align(claims.select("predicate")).join(F.broadcast(relations(spark)), "relation").where("single").select("predicate", "relation", "mutable", "authority")
-    rows = claims.join(F.broadcast(known), "predicate").withColumn("surface", casefold(F.trim("subject")))
+    rows = claims.join(known, "predicate").withColumn("surface", casefold(F.trim("subject")))
     rows = rows.where((F.col("surface") != "") & F.col("subject").isNotNull())
     who = F.concat(F.lit("name:"), F.col("surface"))
     if identity is not None:
@@ -127,6 +128,21 @@ def detect(claims: DataFrame, identity: DataFrame | None = None, canonical: Data
     return found, decisions(found)
 
 
+def contract(claims: DataFrame, identity: DataFrame | None = None, canonical: DataFrame | None = None, ordering: DataFrame | None = None) -> DataFrame:
+    """One nested row a conflict, as reports hand it on: who, relation, subject, mutable, decided, basis, supersession, margin
+    and versions (value, documents, sources, claims, trust, best_supported), those with most versions first."""
+    rows = facts(claims, identity).where("value <> ''")
+    found, decided = detect(claims, identity, canonical, ordering)
+    told = rows.groupBy("who", "relation", "value").agg(F.array_sort(F.collect_set("dsid")).alias("documents"), F.array_sort(F.collect_set("source_type")).alias("sources"))
+    trust = F.struct("authority", "corroboration", "directness", "recency", F.col("score").alias("total"))
+    judged = found.drop("documents").join(told, ["who", "relation", "value"]).join(decided.select("who", "relation", "best_value"), ["who", "relation"])
+    best = F.coalesce(F.col("value") == F.col("best_value"), F.lit(False)).alias("best_supported")
+    version = F.struct("place", F.col("display").alias("value"), "documents", "sources", "claims", trust.alias("trust"), best)
+    nested = judged.groupBy("who", "relation").agg(F.first("mutable").alias("mutable"), F.array_sort(F.collect_list(version)).alias("versions"))
+    out = decided.join(nested, ["who", "relation"])
+    return out.select("who", "relation", "subject", "mutable", "decided", "basis", (F.col("basis") == "recency").alias("supersession"), "margin", "versions").orderBy(F.desc(F.size("versions")), "who", "relation")
+
+
 def version_pairs(found: DataFrame) -> DataFrame:
     """found: versions(). who, relation, a, b, edges: contradicting versions and the number of claim pairs between them;
     with the claims' own versions this says what edges() says without writing the pairs out."""

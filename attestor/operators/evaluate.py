@@ -59,6 +59,11 @@ def precision_by_method(rows: DataFrame) -> DataFrame:
     return judged.groupBy("method").agg(F.count("*").alias("n"), F.sum(F.when(F.col("gold") == F.col("main"), 1).otherwise(0)).alias("right"))
 
 
+def inconsistent_handles(rows: DataFrame) -> DataFrame:
+    """rows (dsid, handle, entity): handles that stand for several entities inside one document, where one can only mean one."""
+    return rows.groupBy("dsid", "handle").agg(F.countDistinct("entity").alias("entities")).where("entities > 1")
+
+
 def abstention(rows: DataFrame) -> DataFrame:
     """rows (answerable, abstained): how often each is right, and their mean."""
     answered = F.avg(F.when(F.col("answerable"), F.when(F.col("abstained"), 0.0).otherwise(1.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.text import terms
-from attestor.sources.shared import counted, stored
+from attestor.sources.shared import counted, dealt, stored
 
 #: bm25 and column weights.
 K1, B, TITLE_WEIGHT, BODY_WEIGHT, LEAST_IDF = 1.2, 0.75, 4.0, 1.0, 1e-6
@@ -16,7 +16,7 @@ def postings(docs: DataFrame) -> DataFrame:
     """docs (id, title, body) to term, id, tf (weighted by column) and dl (terms of the document). A document is one row, so
     its terms are counted in it: equal terms stand together in its sorted list, and no row moves."""
     once = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  what is exploded is computed once, however often it is used
-    rows = docs.select("id", once(F.struct(F.sort_array(terms(F.col("body"))).alias("b"), terms(F.col("title")).alias("t")), "x"))
+    rows = dealt(docs.select("id", "title", "body")).select("id", once(F.struct(F.sort_array(terms(F.col("body"))).alias("b"), terms(F.col("title")).alias("t")), "x"))
     n = F.size("x.b")
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     begins = F.filter(places, lambda i: (i == 0) | (F.get("x.b", i) != F.get("x.b", i - 1)))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions.text import BOT_TOKENS, normalise_content
+from attestor.sources.shared import dealt
 
 # Field names, block labels and the shapes of tokens, which results depend on.
 RECIPIENTS = {"From": "email_from", "To": "email_to", "Cc": "email_cc", "Bcc": "email_cc"}
@@ -210,7 +211,7 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, source_type string, title string, mentions {_MENTION}, references {_REFERENCE}, attributes map<string, string>"
     body = normalise_content(F.coalesce("body", F.lit(""))).alias("body")
-    return docs.select("doc_id", "source_type", "title", body).mapInArrow(run, schema)
+    return dealt(docs.select("doc_id", "source_type", "title", "body")).select("doc_id", "source_type", "title", body).mapInArrow(run, schema)
 
 
 def mentions_of(parsed: DataFrame, cap: int = 400) -> DataFrame:
@@ -220,13 +221,14 @@ def mentions_of(parsed: DataFrame, cap: int = 400) -> DataFrame:
     return rows.select("dsid", "channel", "m.surface", "m.kind", "m.role", "m.start", "m.end", email.alias("email"), F.element_at("m.attributes", "handle").alias("handle"))
 
 
-#: Shapes of dates in documents, tried in order.
-DATE_SHAPES = ("EEE, d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+#: Shapes of dates in documents, tried in order; a day of the week before a date says nothing more.
+DATE_SHAPES = ("d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
 #: The shape that mail clients show; off by default, as the corpus' own tools did not read it.
-MAIL_SHAPE = "EEE, MMM d, yyyy 'at' h:mm a"
+MAIL_SHAPE = "MMM d, yyyy 'at' h:mm a"
 
 
 def to_epoch(c, mail_shape: bool = False):
     """Seconds since 1970 of a date in any known shape, or null; without a zone it is UTC."""
     shapes = [*DATE_SHAPES, *([MAIL_SHAPE] if mail_shape else [])]
-    return F.coalesce(*(F.unix_timestamp(F.try_to_timestamp(F.substring(F.trim(c), 1, 40), F.lit(s))) for s in shapes))
+    date = F.regexp_replace(F.substring(F.trim(c), 1, 40), "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ", "")
+    return F.coalesce(*(F.unix_timestamp(F.try_to_timestamp(date, F.lit(s))) for s in shapes))

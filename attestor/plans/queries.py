@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,8 +18,9 @@ from attestor.operators import graph, lexical, neardup, parsing, resolve, spans
 from attestor.operators import identity as idn
 from attestor.operators import ontology as on
 from attestor.operators import recording as rec
-from attestor.plans.views import SOURCES, duck, table, view
+from attestor.plans.views import duck, table, view
 from attestor.sources import corpus, reports, tables
+from attestor.sources.shared import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,10 +161,10 @@ def semi_join_bodies(spark: SparkSession, d: str) -> DataFrame:
     return corpus.bodies(table(spark, d, "documents"), wanted, "doc_id").select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
-@query("select doc_id, source from (select *, row_number() over (partition by source order by doc_id) as n from documents where length(text) >= 400) where n <= 3")
+@query("select doc_id, source, length(substr(text, 1, 8000)) as chars from (select *, row_number() over (partition by source order by doc_id) as n from documents where length(text) >= 400) where n <= 3")
 def quota_sample_per_source(spark: SparkSession, d: str) -> DataFrame:
     """Three longer documents of each source."""
-    return corpus.quota_sample(table(spark, d, "documents"), "source", 3, ["doc_id"], 400, "text").select("doc_id", "source")
+    return corpus.quota_sample(table(spark, d, "documents"), "source", 3, ["doc_id"], 400, "text", 8000).select("doc_id", "source", F.length("text").cast("long").alias("chars"))
 
 
 @query("(select event_id, event_type from events where event_type = 'error' order by event_id limit 50) union all (select event_id, event_type from events where event_type = 'signup' order by event_id limit 20)")
@@ -637,28 +640,53 @@ def method_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- parsing ----------------------------------------------------------------------------------------------------
 
+#: Texts of four kinds: mails over whole documents, chats of all conversations, meetings of suppliers, structured documents.
+_WRITTEN = """select doc_id * 4 as doc_id, 'gmail' as source_type, 'mail' as title, concat('From: "Ann ', lang, '" <Ann.', cast(doc_id as string), '@Redwood.com>\\nTo: x', cast(doc_id as string), '@acme.io, Bo Li <bo@x.io>\\nDate: 2025-03-27\\nSubject: PROJ-', cast(doc_id as string), '\\n\\n', coalesce(text, ''), ' see https://x.io/', cast(doc_id as string), ',') as body from {documents}
+union all select conv_id * 4000 + turn * 4 + 1, 'slack', concat(' c', cast(conv_id as string), ' '), concat(role, ': ', coalesce(text, ''), '\\n```\\nzed: no @zed\\n```\\ndeploy-bot: done @sam') from {conversations}
+union all select s_suppkey * 4 + 2, 'fireflies', 'meeting', concat('Date: 2025-01-02\\nDuration: 6 minutes\\nAttendees: ', s_name, ' (Redwood Sales Lead); Bare Name; Cut Of...; Eve (N', cast(s_nationkey as string), ')') from {supplier}
+union all select doc_id * 4 + 3, 'jira', 'ticket', concat('description:\\nword ', lang, '\\nsummary: inline\\ntasks:\\n\\nnotes:\\n', lang, ' INC-7 http://a.b/(c) ', source) from {documents}"""
+_WRITTEN_SQL = "select doc_id, source_type, title, replace(body, '\\n', chr(10)) as body from (" + re.sub(r"\{(\w+)\}", r"\1", _WRITTEN).replace("\\\\n", "\\n").replace("coalesce(text, '')", "replace(coalesce(text, ''), '\\n', ' ')") + ")"
+
+
 def _written(spark: SparkSession, d: str) -> DataFrame:
-    """Mails, chats, meetings and tickets written from people and conversations."""
-    p = view(spark, d, "v_person")
-    mail = p.where("person_id % 2 = 0").select(
-        F.col("person_id").alias("doc_id"), F.lit("gmail").alias("source_type"), F.lit("mail").alias("title"),
-        F.concat(F.lit("From: "), F.initcap("name"), F.lit(" <"), "email", F.lit(">\nTo: "), "email", F.lit("\nDate: 2025-03-27 10:00\nSubject: PROJ-"), F.col("person_id").cast("string"), F.lit("\n\nSee https://x.io/a,b) and SHA-256.")).alias("body"),
-    )
-    chat = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 10_000_000).alias("doc_id"), F.lit("slack").alias("source_type"), F.lit(" general ").alias("title"), F.concat("role", F.lit(": "), F.coalesce("text", F.lit("")), F.lit("\ndeploy-bot: done @sam")).alias("body"))
-    return mail.unionByName(chat)
+    sql = _WRITTEN.replace("coalesce(text, '')", "replace(coalesce(text, ''), '\\\\n', ' ')")
+    return spark.sql(sql, **{t: table(spark, d, t) for t in ("documents", "conversations", "supplier")})
 
 
-@query()
+_CHAT = "chat as (select doc_id, regexp_replace(body, '(?s)```.*?```', chr(1), 'g') as b from w where source_type = 'slack')"
+
+
+@query(f"""with w as ({_WRITTEN_SQL}), {_CHAT},
+said as (select doc_id as dsid, unnest(regexp_extract_all(b, '(?m)^([a-z0-9][a-z0-9._-]{{1,30}}):[ \\t]', 1)) as surface, 'speaker' as role from chat
+  union all select doc_id, unnest(regexp_extract_all(b, '@([a-z0-9][a-z0-9._-]{{1,30}})', 1)), 'at_mention' from chat),
+m as (select dsid, surface, case when surface like '%bot' or len(list_intersect(regexp_split_to_array(surface, '[^a-z]+'), [{tx.quoted(tx.BOT_TOKENS)}])) > 0 then 'bot' else 'person' end as kind, role, null as email from said
+  union all select doc_id, regexp_extract(body, 'From: "([^"]*)"', 1), 'person', 'email_from', lower(regexp_extract(body, '<([^>]*)>', 1)) from w where source_type = 'gmail'
+  union all select doc_id, regexp_extract(body, 'To: ([^,]*),', 1), 'person', 'email_to', regexp_extract(body, 'To: ([^,]*),', 1) from w where source_type = 'gmail'
+  union all select doc_id, 'Bo Li', 'person', 'email_to', 'bo@x.io' from w where source_type = 'gmail'
+  union all select doc_id, unnest([regexp_extract(body, 'Attendees: (.*) .Redwood', 1), 'Bare Name', 'Eve']), 'person', 'attendee', null from w where source_type = 'fireflies')
+select dsid, surface, kind, role, email, count(*) as n from m group by all""")
 def parse_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions in mails and chats."""
-    return parsing.mentions_of(parsing.parse_documents(_written(spark, d)))
+    """Mentions in mails, chats and meetings, each verified at its place."""
+    found = parsing.mentions_of(parsing.parse_documents(_written(spark, d)), cap=1 << 30)
+    return found.groupBy("dsid", "surface", "kind", "role", "email").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with w as ({_WRITTEN_SQL}) select doc_id, unnest(['date', 'subject']) as name, unnest(['2025-03-27', regexp_extract(body, 'Subject: (.*)', 1)]) as value from w where source_type = 'gmail'
+union all select doc_id, 'channel', trim(title) from w where source_type = 'slack'
+union all select doc_id, unnest(['date', 'duration', 'organisations']), unnest(['2025-01-02', '6 minutes', array_to_string(list_sort(['Redwood', regexp_extract(body, 'Eve .(N[0-9]+)', 1)]), ';')]) from w where source_type = 'fireflies'
+union all select doc_id, unnest(['blocks', 'block_description_chars', 'block_notes_chars']), unnest(['description;tasks;notes', cast(length(regexp_extract(body, '^description:.(word [^' || chr(10) || ']*.summary: inline)', 1, 's')) as varchar), cast(length(split_part(body, 'notes:' || chr(10), 2)) as varchar)]) from w where source_type = 'jira'""")
+def parse_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """What the parsers say of whole documents."""
+    return parsing.parse_documents(_written(spark, d)).select("doc_id", F.explode("attributes").alias("name", "value"))
+
+
+@query(f"""with w as ({_WRITTEN_SQL}), r as (select doc_id, unnest(regexp_extract_all(body, '\\b[A-Z]{{2,10}}-[0-9]{{1,6}}\\b')) as target, 'ticket' as kind from w
+  union all select doc_id, rtrim(unnest(regexp_extract_all(body, 'https?://[^\\s<>()\\[\\]{{}}"'']+')), '.,);'), 'url' from w)
+select doc_id, target, kind, count(*) as n from r group by all""")
 def url_refs(spark: SparkSession, d: str) -> DataFrame:
     """Ticket keys and URLs that documents point at."""
     parsed = parsing.parse_documents(_written(spark, d))
-    return parsed.select("doc_id", F.explode("references").alias("r")).select("doc_id", "r.*")
+    return parsed.select("doc_id", F.explode("references").alias("r")).groupBy("doc_id", "r.target", "r.kind").agg(F.count("*").alias("n"))
 
 
 _KEYS = "select event_id, upper(concat(case event_id % 6 when 0 then 'PROJ' when 1 then 'AES' when 2 then 'inc' when 3 then 'Eng' when 4 then 'FY' else 'CVE' end, '-', cast(1980 + event_id % 150 as varchar))) as key from events"
@@ -695,6 +723,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     used = claims.withColumn("qid", F.col("claim_id") % 100)
     w = Window.partitionBy("qid").orderBy("claim_id")
     rows = used.withColumn("place", F.row_number().over(w) - 1).withColumn("evidence_id", F.concat(F.lit("e"), F.col("place").cast("string")))
+    rows = stored(rows.where(F.col("place") < an.EVIDENCE))
     questions = claims.select((F.col("claim_id") % 110).alias("qid")).distinct()
     said = an.first_evidence(rows)
     cited = said.select("qid", F.explode("used").alias("evidence_id")).join(rows, ["qid", "evidence_id"])
@@ -857,15 +886,17 @@ def resolution_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.resolution(_recorded(spark, d)).select("status", "method", "n")
 
 
-@query("select \"check\", n::bigint as n from (values ('resolution_explained', 0), ('nothing_pending', 0), ('entity_is_edge_target', 0), ('one_identity_per_organisation', 0), ('no_edge_missing', 0), ('no_edge_surplus', 0)) as v(\"check\", n)")
+@query(f"""with {_EDGES} select 'no_edge_missing' as "check", count(*) filter (src % 10 = 0) as n from edges union all select 'no_edge_surplus', count(*) from region
+union all select c, 0 from (values ('resolution_explained'), ('nothing_pending'), ('entity_is_edge_target'), ('one_identity_per_organisation')) v(c)""")
 def gate_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Rules that the store must keep: each is broken nowhere."""
+    """Rules that the store must keep, over edges of which some were lost and some are of no conflict."""
     recorded = _recorded(spark, d)
     persons = resolve.people(_mentions(spark, d))
     merged = resolve.merged(persons, resolve.same_person(persons))
     entities = merged.select(F.col("key").alias("entity"), "name", "emails")
-    found = cf.edges(view(spark, d, "v_claim")).select("eid")
-    return rec.violations(recorded, rec.resolves_to(recorded), entities, found, found)
+    found = stored(cf.edges(view(spark, d, "v_claim")).select("eid", "src"))
+    kept = found.where("src % 10 <> 0").select("eid").unionByName(table(spark, d, "region").select((-F.col("r_regionkey") - 1).cast(found.schema["eid"].dataType).alias("eid")))
+    return rec.violations(recorded, rec.resolves_to(recorded), entities, found.select("eid"), kept)
 
 
 @query("select event_type as model, count(*) as calls, sum(user_id)::bigint as input_tokens, sum(event_id)::bigint as output_tokens from events group by event_type")
@@ -875,10 +906,10 @@ def token_usage(spark: SparkSession, d: str) -> DataFrame:
     return reports.usage(calls)
 
 
-@query("select event_id, row_number() over (partition by user_id order by event_id) as place from events qualify place <= 400")
+@query("select event_id, row_number() over (partition by event_type order by event_id) as place from events qualify place <= 400")
 def mention_cap(spark: SparkSession, d: str) -> DataFrame:
     """The first mentions of each document, up to the cap."""
-    rows = table(spark, d, "events").select(F.col("user_id").alias("dsid"), F.col("event_id").alias("start"), F.col("event_id").alias("end"), F.lit("s").alias("surface"), "event_id")
+    rows = table(spark, d, "events").select(F.col("event_type").alias("dsid"), F.col("event_id").alias("start"), F.col("event_id").alias("end"), F.lit("s").alias("surface"), "event_id")
     kept = resolve.capped(rows)
     w = Window.partitionBy("dsid").orderBy("start")
     return kept.select("event_id", F.row_number().over(w).cast("long").alias("place"))
@@ -899,3 +930,186 @@ def precision_by_method(spark: SparkSession, d: str) -> DataFrame:
     """How often each method is with its cluster's main person."""
     rows = table(spark, d, "part").select(F.col("p_type").alias("method"), F.concat(F.substring("p_brand", 1, 7), (F.col("p_size") % 2).cast("string")).alias("system"), F.col("p_brand").alias("gold"))
     return ev.precision_by_method(rows).select("method", "n", F.col("right").cast("long").alias("right"))
+
+
+# ---- runs, validation, written tables, reports ------------------------------------------------------------------
+
+@query("select run_id, count(*) as n from (select o_orderstatus as run_id from orders) where run_id = (select max(o_orderstatus) from orders) group by run_id")
+def latest_run_only(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the latest run, of a table stored by run."""
+    path = f"{shared_dir(spark)}/attestor/{uuid.uuid4().hex}/orders"
+    table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("run_id")).write.partitionBy("run_id").parquet(path)
+    return tables.of_run(spark.read.parquet(path)).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query(f"select claim_id, 'timestamp' as field, 'null' as problem from {duck('v_claim')} where timestamp is null union all select claim_id, 'names', 'nested' from {duck('v_claim')}")
+def unstorable_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Properties that a store of scalars refuses."""
+    return tables.unstorable(view(spark, d, "v_claim").withColumn("names", F.array("subject")), "claim_id")
+
+
+@query(f"with {_TOKENS} select (select count(*) from tf) as postings, (select count(distinct term) from tf) as terms, (select count(distinct id) from tf) as documents, true as has_files")
+def index_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """What a written index holds."""
+    path = f"{shared_dir(spark)}/attestor/{uuid.uuid4().hex}/index"
+    lexical.write_index(lexical.postings(view(spark, d, "v_doc")), path)
+    return lexical.index_statistics(spark, path).select("postings", "terms", "documents", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("has_files"))
+
+
+@query("select l_partkey as dsid, l_returnflag as handle, count(distinct l_suppkey) as entities from lineitem group by all having count(distinct l_suppkey) > 1")
+def inconsistent_handles(spark: SparkSession, d: str) -> DataFrame:
+    """Handles that stand for several entities in one document."""
+    return ev.inconsistent_handles(table(spark, d, "lineitem").select(F.col("l_partkey").alias("dsid"), F.col("l_returnflag").alias("handle"), F.col("l_suppkey").alias("entity")))
+
+
+@query("select doc_id, length(text) as chars from documents order by length(text) desc nulls last, doc_id limit 50")
+def longest_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that extraction takes first."""
+    return corpus.longest_first(table(spark, d, "documents"), "text", "doc_id", 50).select("doc_id", F.length("text").cast("long").alias("chars"))
+
+
+@query(f"""with {_DECISIONS}, spoken as (select who, relation, value, list_sort(list(distinct dsid)) as ds, list_sort(list(distinct source_type)) as ss from told group by all),
+rows_ as (select v.who, v.relation, v.place, v.display || '|' || array_to_string(t.ds, ',') || '|' || array_to_string(t.ss, ',') || '|' || v.claims || '|' || (d.decided and d.value = v.value) as said, d.decided, d.basis, d.mutable
+  from versions v join spoken t using (who, relation, value) join decisions d using (who, relation))
+select who, relation, any_value(mutable) as mutable, any_value(decided) as decided, any_value(basis) as basis, any_value(basis) = 'recency' as supersession, string_agg(said, '/' order by place) as versions from rows_ group by who, relation""")
+def conflict_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Conflicts as reports hand them on, the nested versions spelled out."""
+    rows = cf.contract(view(spark, d, "v_claim"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    said = F.transform("versions", lambda v: F.concat_ws("|", v.value, joined(v.documents), joined(v.sources), v.claims.cast("string"), v.best_supported.cast("string")))
+    return rows.select("who", "relation", "mutable", "decided", "basis", "supersession", F.array_join(said, "/").alias("versions"))
+
+
+# ---- the answer path --------------------------------------------------------------------------------------------
+
+#: Documents that exist for answering are those in English; a claim says a document's first 40 characters, every third wrongly.
+_ASK = f"{_BM25}, tops as (select qid, id, rank from ranked where rank <= 24), found as (select qid, id, place as rank from (select qid, id, row_number() over (partition by qid order by rank) as place from tops join documents on doc_id = id and lang = 'en') where place <= 8)"
+_SAID = "said as (select doc_id * 10 as claim_id, doc_id as dsid, case when doc_id % 3 = 0 then concat('not ', substr(text, 1, 40)) else substr(text, 1, 40) end as quote from documents)"
+_FOUND_EVIDENCE = "evidence as (select qid, claim_id, dsid, 'e' || (row_number() over (partition by qid order by rank, claim_id) - 1) as evidence_id from found join said on dsid = id join documents on doc_id = id where quote <> '' and contains(text, quote))"
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    _, index, stats, asked = _index(spark, d)
+    docs = table(spark, d, "documents")
+    claims = docs.select((F.col("doc_id") * 10).alias("claim_id"), F.col("doc_id").alias("dsid"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("not "), F.substring("text", 1, 40))).otherwise(F.substring("text", 1, 40)).alias("quote"))
+    found = an.retrieve(index, stats, asked, docs.where("lang = 'en'").select(F.col("doc_id").alias("id")))
+    return stored(found.select("qid", "id", "rank")), claims, docs.select(F.col("doc_id").alias("dsid"), F.col("text").alias("body"))
+
+
+@query(f"{_ASK} select qid, id, rank from found")
+def retrieved_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The first eight documents that exist, of each question's hits."""
+    return _asked(spark, d)[0].select("qid", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"{_ASK}, {_SAID}, {_FOUND_EVIDENCE} select qid, claim_id, dsid, evidence_id from evidence")
+def verified_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of those documents whose quote still stands there."""
+    found, claims, bodies = _asked(spark, d)
+    return an.evidence(found, claims, bodies).select("qid", "claim_id", "dsid", "evidence_id")
+
+
+@query(f"""{_ASK}, {_SAID}, {_FOUND_EVIDENCE}, n as (select qid, count(*) as e from evidence group by qid), f as (select qid, count(*) as r from found group by qid)
+select asked.qid, unnest(['retrieve', 'evidence', 'cite', 'reject', 'dispute']) as operation, unnest([coalesce(r, 0), coalesce(e, 0), least(coalesce(e, 0), 3), case when e is null then 0 else 1 end, 0]) as results
+from asked left join n on n.qid = asked.qid left join f on f.qid = asked.qid""")
+def answer_trace(spark: SparkSession, d: str) -> DataFrame:
+    """What each step of an answer came to; the synthesiser also cites a piece that there is not."""
+    found, claims, bodies = _asked(spark, d)
+    rows = stored(an.evidence(found, claims.withColumns({"subject": F.lit("s"), "predicate": F.lit("p"), "object": F.lit("o")}), bodies))
+    said = an.first_evidence(rows).withColumn("used", F.array_append("used", F.lit("e999")))
+    none = claims.limit(0).select(F.col("claim_id").alias("src"), F.col("claim_id").alias("dst"), F.lit("p").alias("predicate"), F.lit(False).alias("decided"))
+    judged = an.judge(view(spark, d, "v_question").select("qid"), rows, said, none, claims.withColumn("object", F.lit("o")))
+    return an.trace(found, rows, said, judged)
+
+
+@query(f"""{_ASK}, refs as (select * from {duck('v_reference')}), pairs as (select a.dsid as anchor, b.dsid, min(a.ticket) as ticket from refs a join refs b on a.ticket = b.ticket and a.dsid <> b.dsid where a.dsid in (select id from found) group by all),
+near as (select anchor, dsid from pairs qualify row_number() over (partition by anchor order by ticket, dsid) <= 6),
+more as (select f.qid, n.dsid as id, min(f.rank) as r from found f join near n on n.anchor = f.id where (f.qid, n.dsid) not in (select qid, id from found) group by all)
+select qid, id, rank from found union all select m.qid, m.id, l.last + row_number() over (partition by m.qid order by r, m.id) from more m join (select qid, max(rank) as last from found group by qid) l on l.qid = m.qid""")
+def related_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieved documents and, after them, those that share a ticket with one."""
+    found = _asked(spark, d)[0]
+    return an.with_related(found, view(spark, d, "v_reference")).select("qid", "id", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- functions and sinks over whole tables ----------------------------------------------------------------------
+
+@query("select o_orderkey, case when o_orderkey % 5 = 4 then null else epoch(date_trunc('day', o_orderdate))::bigint end as at from (select o_orderkey, o_orderdate::timestamp as o_orderdate from orders)")
+def to_epoch(spark: SparkSession, d: str) -> DataFrame:
+    """Dates in several shapes, and in one that none reads."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    k = F.col("o_orderkey") % 5
+    said = F.when(k == 0, day).when(k == 1, F.concat(day, F.lit(" 00:00"))).when(k == 2, F.concat(day, F.lit(" 00:00:00"))).when(k == 3, F.concat(day, F.lit("T00:00:00"))).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
+    return table(spark, d, "orders").select("o_orderkey", parsing.to_epoch(said).alias("at"))
+
+
+_HANDLES = "select distinct handle from (select concat(event_type, case event_id % 4 when 0 then '-bot' when 1 then '.ci' when 2 then 'er' else '_alerts2' end) as handle from events)"
+
+
+@query(f"select handle, handle like '%bot' or len(list_intersect(regexp_split_to_array(handle, '[^a-z]+'), [{tx.quoted(tx.BOT_TOKENS)}])) > 0 as bot from ({_HANDLES})")
+def bot_handles(spark: SparkSession, d: str) -> DataFrame:
+    """Handles that automated accounts have."""
+    rows = spark.sql(_HANDLES.replace("from events", "from {events}"), events=table(spark, d, "events"))
+    return rows.select("handle", tx.looks_like_bot(F.col("handle")).alias("bot"))
+
+
+@query("select doc_id, lower(trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'))) as name from documents where text is not null and not contains(text, 'ß')")
+def normalised_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names with runs of blanks and of any case."""
+    rows = table(spark, d, "documents").where("text is not null and not contains(text, 'ß')")
+    return rows.select("doc_id", tx.normalise_name(F.substring("text", 1, 60)).alias("name"))
+
+
+_STATED = "select p_partkey, concat('It is ', p_name, ' of ', p_brand) as answer, case p_partkey % 3 when 0 then upper(p_name) when 1 then concat(p_brand, ' zebra ', p_name, ' x') else p_type end as value from part"
+
+
+@query(f"""select p_partkey, contains(lower(answer), lower(value)) or (len(t) >= 2 and len(list_filter(t, lambda x: contains(lower(answer), x))) >= 0.75 * len(t)) as stated
+from (select *, list_distinct(list_filter(regexp_split_to_array(lower(value), '[^a-z0-9]+'), lambda x: length(x) > 2)) as t from ({_STATED}))""")
+def stated_values(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an answer says a value."""
+    rows = spark.sql(_STATED.replace("from part", "from {part}"), part=table(spark, d, "part"))
+    return rows.select("p_partkey", tx.states(F.col("answer"), F.col("value")).alias("stated"))
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def json_report(spark: SparkSession, d: str) -> DataFrame:
+    """A report written as JSON, read again."""
+    path = f"{shared_dir(spark)}/attestor/{uuid.uuid4().hex}/report"
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    reports.write_json(nation, path)
+    return spark.read.schema(nation.schema).json(path)
+
+
+@query("select doc_id, lang, n_chars from documents")
+def repartition_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """The documents rewritten in key order with small row groups: the same rows, none missing."""
+    path = f"{shared_dir(spark)}/attestor/{uuid.uuid4().hex}/documents"
+    docs = table(spark, d, "documents")
+    corpus.repartitioned(docs, path, "doc_id")
+    return corpus.check_complete(corpus.read_documents(spark, path, ["doc_id", "lang", "n_chars", "doc_id"]), docs.count())
+
+
+@query("select s_suppkey as id, case when s_suppkey % 2 = 0 then 'second' else 'first' end as told from supplier where s_suppkey % 5 <> 0")
+def versioned_read(spark: SparkSession, d: str) -> DataFrame:
+    """A table after two batches, one of which came twice, as of the version before a third."""
+    store = tables.Versions(spark, f"{shared_dir(spark)}/attestor/{uuid.uuid4().hex}/store")
+    s = table(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("id"), F.lit("first").alias("told"))
+    store.commit("a", entity=s)
+    for _ in range(2):
+        at = store.commit("b", entity=tables.merge(store.read("entity"), s.where("id % 2 = 0").withColumn("told", F.lit("second")), "id", ["told"]))
+    store.commit("c", entity=s.limit(0))
+    return store.read("entity", at)
+
+
+@query(f"with {_TIERS} select key, count(distinct surface) as surfaces from tiers where key is not null group by key having count(distinct surface) >= 2")
+def entity_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """People under several surfaces."""
+    return resolve.surfaces_of(_tiers(spark, d)).select("key", F.size("surfaces").cast("long").alias("surfaces"))
+
+
+@query(f"""with e as (select s_suppkey as id, concat('k', s_suppkey) as key, concat('m', s_suppkey % 7, '@x.com') as email from supplier), g as (select id from e where id % 6 = 0)
+select a.key, a.email, b.key as owner from e a join e b on a.email = b.email where a.id in (select id from g) and b.id not in (select id from g)""")
+def stranded_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of entities that were merged away, and who has them now."""
+    e = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("k"), F.col("s_suppkey").cast("string")).alias("key"), F.array(F.concat(F.lit("m"), (F.col("s_suppkey") % 7).cast("string"), F.lit("@x.com"))).alias("emails"))
+    return resolve.stranded(e, e.where("id % 6 = 0").select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst")))

@@ -95,11 +95,18 @@ def repartitioned(df: DataFrame, path: str, key: str, block_bytes: int = ROW_GRO
     df.repartitionByRange(key).sortWithinPartitions(key).write.option("parquet.block.size", block_bytes).parquet(path)
 
 
-def quota_sample(df: DataFrame, group: str, quota: int, order: Sequence[str | Column], least_chars: int = 0, text: str | None = None) -> DataFrame:
-    """At most `quota` rows of each group, by the order given."""
+def quota_sample(df: DataFrame, group: str, quota: int, order: Sequence[str | Column], least_chars: int = 0, text: str | None = None, truncate: int | None = None) -> DataFrame:
+    """At most `quota` rows of each group, by the order given; `truncate` keeps so many characters of the text, as a sample
+    that goes to a model is bounded."""
     rows = df if text is None else df.where(F.length(text) >= least_chars)
     w = Window.partitionBy(group).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= quota).drop("_n")
+    rows = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= quota).drop("_n")
+    return rows if truncate is None else rows.withColumn(text, F.substring(text, 1, truncate))
+
+
+def longest_first(df: DataFrame, text: str, key: str, limit: int) -> DataFrame:
+    """The longest documents, which extraction takes first."""
+    return df.orderBy(F.length(text).desc_nulls_last(), key).limit(limit)
 
 
 def bodies(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:

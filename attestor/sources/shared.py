@@ -31,6 +31,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table in as many parts as there are cores, as a file of one row group is one task otherwise; the limit is what a
+    scan takes for one task at least. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (4 << 20) else df
+
+
 def counted(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A stored table with a broadcast hint if its counted rows are within the bound."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

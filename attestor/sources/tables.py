@@ -38,6 +38,34 @@ def merge(table: DataFrame, rows: DataFrame, key: str, properties: Sequence[str]
     return joined.select(*(F.col(c) if c == key else value(c) for c in table.columns))
 
 
+class RowValueError(ValueError):
+    """A property that a store of scalars cannot hold."""
+
+
+def unstorable(rows: DataFrame, key: str) -> DataFrame:
+    """key, field, problem: properties that are null or nested, which a property of a vertex or an edge must not be."""
+    nested = {f.name for f in rows.schema.fields if f.dataType.typeName() in ("array", "map", "struct")}
+    problem = lambda c: F.lit("nested") if c in nested else F.when(F.col(c).isNull(), "null")
+    told = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), problem(c).cast("string").alias("problem")) for c in rows.columns if c != key)))
+    return rows.select(key, told.alias("x")).where("x.problem is not null").select(key, "x.field", "x.problem")
+
+
+def require_scalars(rows: DataFrame, key: str) -> DataFrame:
+    """The rows, if every property can be stored."""
+    if (bad := unstorable(rows, key).first()) is not None:
+        raise RowValueError(f"{key} {bad[0]}: property {bad.field!r} is {bad.problem}")
+    return rows
+
+
+def of_run(table: DataFrame, run_id: str | None = None) -> DataFrame:
+    """The rows of one run, or of the latest: reads never mix runs. run_id is the partition column of a stored table, so
+    only that run's files are read."""
+    if run_id is not None:
+        return table.where(F.col("run_id") == run_id)
+    latest = table.agg(F.max("run_id").alias("run_id"))  # one row
+    return table.join(F.broadcast(latest), "run_id", "left_semi")
+
+
 def with_endpoints(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges both of whose ends exist."""
     a, b = sources.select(F.col("id").alias("src")), targets.select(F.col("id").alias("dst"))

@@ -91,3 +91,17 @@ def test_null_handles_and_emails(spark):
     docs = spark.createDataFrame([(1, "slack", "c", "ann: hi"), (2, "gmail", "t", "To: a@b.co")], "doc_id long, source_type string, title string, body string")
     rows = parsing.mentions_of(parsing.parse_documents(docs)).select("dsid", "channel", "email", "handle").orderBy("dsid").collect()
     assert [tuple(r) for r in rows] == [(1, "c", None, "ann"), (2, None, "a@b.co", None)]
+
+
+@pytest.mark.parametrize("said, want", [
+    ("Tue, 3 Jun 2025 09:12:00 +0200", 1748934720), ("3 Jun 2025 09:12:00 +0000", 1748941920), ("2025-06-03T09:12:00+00:00", 1748941920), ("2025-06-03T09:12:00", 1748941920),
+    ("2025-06-03 09:12:00", 1748941920), (" 2025-06-03 09:12 ", 1748941920), ("2025-06-03", 1748908800), ("3 June", None), ("", None), (None, None), ("Tue, Jun 3, 2025 at 9:12 AM", None),
+])
+def test_dates(spark, said, want):
+    df = spark.createDataFrame([(said,)], "d string")
+    assert df.select(parsing.to_epoch(F.col("d"))).first()[0] == want
+
+
+def test_the_shape_of_mail_clients(spark):
+    df = spark.createDataFrame([("Tue, Jun 3, 2025 at 9:12 AM",)], "d string")
+    assert df.select(parsing.to_epoch(F.col("d"), mail_shape=True)).first()[0] == 1748941920
