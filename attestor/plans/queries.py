@@ -984,7 +984,7 @@ def conflict_contract(spark: SparkSession, d: str) -> DataFrame:
 
 #: Documents that exist for answering are those in English; a claim says a document's first 40 characters, every third wrongly.
 _ASK = f"{_BM25}, tops as (select qid, id, rank from ranked where rank <= 24), found as (select qid, id, place as rank from (select qid, id, row_number() over (partition by qid order by rank) as place from tops join documents on doc_id = id and lang = 'en') where place <= 8)"
-_SAID = "said as (select doc_id * 10 as claim_id, doc_id as dsid, case when doc_id % 3 = 0 then concat('not ', substr(text, 1, 40)) else substr(text, 1, 40) end as quote from documents)"
+_QUOTES = "said as (select doc_id * 10 as claim_id, doc_id as dsid, case when doc_id % 3 = 0 then concat('not ', substr(text, 1, 40)) else substr(text, 1, 40) end as quote from documents)"
 _FOUND_EVIDENCE = "evidence as (select qid, claim_id, dsid, 'e' || (row_number() over (partition by qid order by rank, claim_id) - 1) as evidence_id from found join said on dsid = id join documents on doc_id = id where quote <> '' and contains(text, quote))"
 
 
@@ -1002,14 +1002,14 @@ def retrieved_documents(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d)[0].select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"{_ASK}, {_SAID}, {_FOUND_EVIDENCE} select qid, claim_id, dsid, evidence_id from evidence")
+@query(f"{_ASK}, {_QUOTES}, {_FOUND_EVIDENCE} select qid, claim_id, dsid, evidence_id from evidence")
 def verified_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Claims of those documents whose quote still stands there."""
     found, claims, bodies = _asked(spark, d)
     return an.evidence(found, claims, bodies).select("qid", "claim_id", "dsid", "evidence_id")
 
 
-@query(f"""{_ASK}, {_SAID}, {_FOUND_EVIDENCE}, n as (select qid, count(*) as e from evidence group by qid), f as (select qid, count(*) as r from found group by qid)
+@query(f"""{_ASK}, {_QUOTES}, {_FOUND_EVIDENCE}, n as (select qid, count(*) as e from evidence group by qid), f as (select qid, count(*) as r from found group by qid)
 select asked.qid, unnest(['retrieve', 'evidence', 'cite', 'reject', 'dispute']) as operation, unnest([coalesce(r, 0), coalesce(e, 0), least(coalesce(e, 0), 3), case when e is null then 0 else 1 end, 0]) as results
 from asked left join n on n.qid = asked.qid left join f on f.qid = asked.qid""")
 def answer_trace(spark: SparkSession, d: str) -> DataFrame:
