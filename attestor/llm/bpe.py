@@ -34,7 +34,9 @@ from attestor.llm.common import fresh_path, store, table, tuned
 #: Words that the lexicon holds, and bytes of the longest.
 LEXICON_WORDS, LEXICON_BYTES = 400_000, 40
 #: Words whose results a worker keeps at once.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 150_000
+#: Words that a worker counts at once before it sends them on.
+COUNT_WORDS = 400_000
 
 
 # ---- text to words ----------------------------------------------------------------------------------------------
@@ -339,7 +341,7 @@ def word_counts(docs: DataFrame, source) -> DataFrame:
         for b in batches:
             for text in b.column(0).to_pylist():
                 seen.update(pieces(text))
-            if len(seen) > CACHE_WORDS:
+            if len(seen) > COUNT_WORDS:
                 yield from out()
         yield from out()
 

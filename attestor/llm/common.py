@@ -32,13 +32,23 @@ CHUNK_BYTES = 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def stated_bytes(df: DataFrame) -> int:
+    """The size that the plan's statistics state: of the files that a scan reads."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that would be fewer tasks than there are cores, by the least that a scan takes for one, is dealt out (a
+    file of one row group is one task)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and stated_bytes(df) < cores * (4 << 20) else df
 
 
 def tuned(spark: SparkSession) -> SparkSession:
     """The session, with Arrow batches of a bounded size for the Python operators."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 
@@ -121,8 +131,7 @@ def in_shards(docs: DataFrame) -> DataFrame:
     """docs in tasks of SHARD_BYTES or more, by the size that the scan states, if that still keeps all cores busy: what
     each task writes is then a file worth reading. No row moves."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.coalesce(max(2 * cores, min(size // SHARD_BYTES, 1 << 20)))
+    return docs.coalesce(max(2 * cores, min(stated_bytes(docs) // SHARD_BYTES, 1 << 20)))
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
