@@ -92,6 +92,7 @@ class Merger:
         self.tokens = [""] * self.size
         for t, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = t
+        self.decimal = list(map(str, range(self.size)))
         chars = _byte_chars()
         self.inner, self.final = [vocab[c] for c in chars], [vocab[c + end] for c in chars]
         self.pairs = {vocab[a] * self.size + vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
@@ -272,11 +273,27 @@ def pieces(text: str | None) -> list[str]:
     return re.split(f"[{_classes()[2]}]+", text) if not text.isprintable() and _SEPARATORS.search(text) else text.split()
 
 
+_mergers: dict[bytes, Merger] = {}
+
+
+def merger_of(source: bytes) -> Merger:
+    """One merger a worker and vocabulary, which counting and encoding share."""
+    key = hashlib.sha256(source).digest()
+    if key not in _mergers:
+        _mergers.clear()
+        _mergers[key] = Merger(source)
+    return _mergers[key]
+
+
 class Encoder:
     """A worker's encoder: transducer first, exact merging for the rest; results are kept by piece, up to a bound."""
 
     def __init__(self, source: bytes, lexicon: Transducer | None):
-        self.merger, self.lexicon = Merger(source), lexicon
+        self.merger, self.lexicon = merger_of(source), lexicon
+        self.forget()
+
+    def forget(self) -> None:
+        """Lets go of all results; the vocabulary stays."""
         self.known: dict[str, str] = {}  # a piece's ids in decimal, joined by spaces
         self.decoded: dict[str, str] = {}  # its tokens, joined by spaces
 
@@ -288,7 +305,7 @@ class Encoder:
             if len(words) != 1 or words[0] != p:
                 split[p] = words
         words = list({w for ws in split.values() for w in ws if w not in known}.union(p for p in new if p not in split))
-        special, tokens = self.merger.special, self.merger.tokens
+        special, tokens, decimal = self.merger.special, self.merger.tokens, self.merger.decimal
         if self.lexicon:
             rows = self.lexicon.rows([b"" if w in special else w.encode() for w in words])
             at = np.where(rows < 0, 0, rows)
@@ -298,16 +315,17 @@ class Encoder:
             rows = [-1] * len(words)
         for i, w in enumerate(words):
             told = self.merger.ids(w) if rows[i] < 0 else ids[begin[i] : end[i]].tolist()
-            known[w] = str(told[0]) if len(told) == 1 else " ".join(map(str, told))
-            decoded[w] = " ".join([tokens[t] for t in told])
+            if len(told) == 1:
+                known[w], decoded[w] = decimal[told[0]], tokens[told[0]]
+            else:
+                known[w], decoded[w] = " ".join([decimal[t] for t in told]), " ".join([tokens[t] for t in told])
         for p, ws in split.items():
             known[p] = " ".join([known[w] for w in ws])
             decoded[p] = " ".join([decoded[w] for w in ws])
 
     def batch(self, texts: list[str | None]) -> list[list[str]]:
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.decoded.clear()
+            self.forget()
         out = [[p for p in pieces(t) if p] for t in texts]
         self.learn([p for p in set().union(*out) if p not in self.known])
         return out
@@ -328,7 +346,7 @@ def _encoder(source, lexicon: str | None) -> Encoder:
 def word_counts(docs: DataFrame, source) -> DataFrame:
     """word, n over the whole corpus; a task sends each of its words once for each so many rows."""
     def count(batches):
-        merger, seen = Merger(source.value), Counter()
+        merger, seen = merger_of(source.value), Counter()
 
         def out():
             words = Counter()
@@ -384,9 +402,11 @@ def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON_WORDS,
     def ids(batches):
         enc = _encoder(source, lexicon)
         for b in batches:
-            known, rows = enc.known, enc.batch(b.column("text").to_pylist())
+            rows = enc.batch(b.column("text").to_pylist())
+            known = enc.known
             lists = [[int(i) for i in " ".join([known[w] for w in ws]).split()] for ws in rows]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        enc.forget()  # workers outlive the stage
 
     def hashed(batches):
         enc = _encoder(source, lexicon)
@@ -400,6 +420,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON_WORDS,
                 a.append(hashlib.sha256(joined.encode()).hexdigest())
                 d.append(hashlib.sha256(" ".join(map(decoded, ws)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.forget()  # workers outlive the stage
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     if digests:
