@@ -33,8 +33,8 @@ from attestor.llm.common import fresh_path, store, table, tuned
 
 #: Words that the lexicon holds, and bytes of the longest.
 LEXICON_WORDS, LEXICON_BYTES = 400_000, 40
-#: Words whose results a worker keeps at once.
-CACHE_WORDS = 150_000
+#: Words whose results a worker keeps at once, about 300 bytes each; a caller short of memory names fewer. It changes no result.
+CACHE_WORDS = 500_000
 #: Words that a worker counts at once before it sends them on.
 COUNT_WORDS = 400_000
 
@@ -289,7 +289,7 @@ class Encoder:
     """A worker's encoder: transducer first, exact merging for the rest; results are kept by piece, up to a bound."""
 
     def __init__(self, source: bytes, lexicon: Transducer | None):
-        self.merger, self.lexicon = merger_of(source), lexicon
+        self.merger, self.lexicon, self.room = merger_of(source), lexicon, CACHE_WORDS
         self.forget()
 
     def forget(self) -> None:
@@ -324,7 +324,7 @@ class Encoder:
             decoded[p] = " ".join([decoded[w] for w in ws])
 
     def batch(self, texts: list[str | None]) -> list[list[str]]:
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.room:
             self.forget()
         out = [[p for p in pieces(t) if p] for t in texts]
         self.learn([p for p in set().union(*out) if p not in self.known])
@@ -334,12 +334,14 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(source, lexicon: str | None) -> Encoder:
+def _encoder(source, lexicon: str | None, room: int | None = None) -> Encoder:
     """One encoder a worker, vocabulary and lexicon."""
     key = (hashlib.sha256(source.value).digest(), lexicon)
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(source.value, Transducer.load(SparkFiles.get(lexicon)) if lexicon else None)
+    if room is not None:
+        _encoders[key].room = room
     return _encoders[key]
 
 
@@ -390,7 +392,7 @@ def compile_lexicon(spark: SparkSession, counts: DataFrame, source: bytes, size:
 _sent: set[tuple[str, str]] = set()
 
 
-def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON_WORDS, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON_WORDS, digests: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """docs (doc_id, text) to doc_id, ids array<int>; with digests, to the contract's columns instead."""
     spark = tuned(docs.sparkSession)
     with open(vocabulary, "rb") as f:
@@ -400,16 +402,15 @@ def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON_WORDS,
     lexicon = compile_lexicon(spark, word_counts(docs, source), raw, lexicon_words)
 
     def ids(batches):
-        enc = _encoder(source, lexicon)
+        enc = _encoder(source, lexicon, cache_words)
         for b in batches:
             rows = enc.batch(b.column("text").to_pylist())
             known = enc.known
             lists = [[int(i) for i in " ".join([known[w] for w in ws]).split()] for ws in rows]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "ids"])
-        enc.forget()  # workers outlive the stage
 
     def hashed(batches):
-        enc = _encoder(source, lexicon)
+        enc = _encoder(source, lexicon, cache_words)
         for b in batches:
             rows = enc.batch(b.column("text").to_pylist())
             known, decoded = enc.known.__getitem__, enc.decoded.__getitem__
@@ -420,7 +421,6 @@ def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON_WORDS,
                 a.append(hashlib.sha256(joined.encode()).hexdigest())
                 d.append(hashlib.sha256(" ".join(map(decoded, ws)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        enc.forget()  # workers outlive the stage
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     if digests:
