@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from attestor.llm import bpe, decontaminate, near_dup, pii, quality
 from attestor.llm.common import BROADCAST_IDS, maybe_broadcast, save, scratch, table
 
+#: Words that a worker's encoder keeps here, where executors also hold what the stages before have left in memory.
+CACHE_WORDS = 150_000
+
 
 def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """The rows of docs whose key is not in dropped, a stored table of one column. While a count shows that the list may be
@@ -63,7 +66,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the ids of what is left, hashed, and the hash of what they decode to."""
-    return bpe.encode(docs, bpe.vocabulary_path(), digests=True)
+    return bpe.encode(docs, bpe.vocabulary_path(), digests=True, cache_words=CACHE_WORDS)
 
 
 STAGES = [
