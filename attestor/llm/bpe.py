@@ -81,6 +81,10 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(256 + sum(x not in plain for x in range(b))) for b in range(256)]
 
 
+#: More than any merge's number (its rank and the new id in one integer, so that the least is the first to apply).
+_NONE = 1 << 62
+
+
 class Merger:
     """Byte-pair merging by a tokenizer file: lowest rank first, leftmost first."""
 
@@ -95,7 +99,7 @@ class Merger:
         self.decimal = list(map(str, range(self.size)))
         chars = _byte_chars()
         self.inner, self.final = [vocab[c] for c in chars], [vocab[c + end] for c in chars]
-        self.pairs = {vocab[a] * self.size + vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
+        self.pairs = {vocab[a] * self.size + vocab[b]: rank * self.size + vocab[a + b] for rank, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def words(self, text: str) -> list[str]:
@@ -120,21 +124,17 @@ class Merger:
         return self._long(ids) if len(ids) > 64 else self._short(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        pairs, n = self.pairs, self.size
-        found = [pairs.get(a * n + b) for a, b in zip(ids, ids[1:])]
-        while True:
-            best = None
-            for i, x in enumerate(found):
-                if x is not None and (best is None or x < best):
-                    best, at = x, i
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
+        get, n = self.pairs.get, self.size
+        found = [get(a * n + b, _NONE) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != _NONE:
+            at = found.index(best)
+            ids[at : at + 2] = [best % n]
             del found[at]
             if at:
-                found[at - 1] = pairs.get(ids[at - 1] * n + ids[at])
+                found[at - 1] = get(ids[at - 1] * n + ids[at], _NONE)
             if at < len(found):
-                found[at] = pairs.get(ids[at] * n + ids[at + 1])
+                found[at] = get(ids[at] * n + ids[at + 1], _NONE)
+        return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list, for runs of thousands of characters."""
@@ -143,17 +143,17 @@ class Merger:
 
         def push(i: int) -> None:
             j = after[i]
-            if j < n and (x := self.pairs.get(ids[i] * self.size + ids[j])):
-                heapq.heappush(heap, (x[0], i, x[1], ids[i], ids[j]))
+            if j < n and (x := self.pairs.get(ids[i] * self.size + ids[j])) is not None:
+                heapq.heappush(heap, (x, i, ids[i], ids[j]))
 
         for i in range(n - 1):
             push(i)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            x, i, a, b = heapq.heappop(heap)
             j = after[i] if alive[i] else n
             if j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], alive[j], after[i] = new, False, after[j]
+            ids[i], alive[j], after[i] = x % self.size, False, after[j]
             if after[i] < n:
                 before[after[i]] = i
                 push(i)
@@ -310,11 +310,14 @@ class Encoder:
             rows = self.lexicon.rows([b"" if w in special else w.encode() for w in words])
             at = np.where(rows < 0, 0, rows)
             begin, end = self.lexicon.begin[at].tolist(), self.lexicon.begin[at + 1].tolist()
-            ids, rows = self.lexicon.ids, rows.tolist()
+            ids, first, rows = self.lexicon.ids, self.lexicon.ids[self.lexicon.begin[at]].tolist(), rows.tolist()
         else:
             rows = [-1] * len(words)
         for i, w in enumerate(words):
-            told = self.merger.ids(w) if rows[i] < 0 else ids[begin[i] : end[i]].tolist()
+            if rows[i] < 0:
+                told = self.merger.ids(w)
+            else:
+                told = [first[i]] if end[i] - begin[i] == 1 else ids[begin[i] : end[i]].tolist()
             if len(told) == 1:
                 known[w], decoded[w] = decimal[told[0]], tokens[told[0]]
             else:
