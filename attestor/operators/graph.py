@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.scoring import CO_OCCURRENCE_WEIGHT, CONFIDENCE, PARTICIPATION_WEIGHT, graph_confidence
 from attestor.functions.text import SHORT_FORM_MIN, casefold, is_short_form, name_tokens
+from attestor.sources.shared import stored
 
 RELATED, DISPUTES = 6, 6
 
@@ -30,10 +31,17 @@ def participation(participated_in: DataFrame) -> DataFrame:
 
 
 def related_by_ticket(anchors: DataFrame, references: DataFrame, limit: int = RELATED) -> DataFrame:
-    """anchor, ticket, dsid: other documents that name a ticket of the anchor, the first few by ticket and id. The
-    anchors (dsid) restrict one side before the join; each anchor's rows are ranked by themselves."""
-    mine = references.join(anchors.select("dsid").distinct(), "dsid", "left_semi").select(F.col("dsid").alias("anchor"), "ticket")
-    pairs = mine.join(references, "ticket").where("dsid <> anchor")
+    """anchor, ticket, dsid: other documents that name a ticket of the anchor, the first few by ticket and id. A document
+    among an anchor's first few is among the first few of that ticket, itself left out: whoever stands before it there stands before
+    it here. So a ticket hands on its first limit + 1, and an anchor's tickets end with the first that can fill all places."""
+    references = stored(references.select("dsid", "ticket").where("dsid is not null and ticket is not null").distinct())
+    firsts = references.withColumn("_n", F.row_number().over(Window.partitionBy("ticket").orderBy("dsid"))).where(F.col("_n") <= limit + 1)
+    firsts = stored(firsts.groupBy("ticket").agg(F.collect_list("dsid").alias("first")))  # limit + 1 at most
+    full = firsts.select("ticket", (F.size("first") > limit).alias("_full"))
+    mine = references.join(anchors.select("dsid").distinct(), "dsid", "left_semi").join(full, "ticket")
+    last = F.min(F.when(F.col("_full"), F.col("ticket"))).over(Window.partitionBy("dsid"))
+    mine = mine.withColumn("_last", last).where("_last is null or ticket <= _last").select(F.col("dsid").alias("anchor"), "ticket")
+    pairs = mine.join(firsts, "ticket").select("anchor", "ticket", F.explode("first").alias("dsid")).where("dsid <> anchor")
     first = pairs.groupBy("anchor", "dsid").agg(F.min("ticket").alias("ticket"))
     w = Window.partitionBy("anchor").orderBy("ticket", "dsid")
     return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
