@@ -9,6 +9,8 @@ from attestor.functions.scoring import CONFIDENCE
 from attestor.functions.text import email_domain, email_local_part, name_tokens, normalise_address, organisation_root, ROOT_PREFIX_MIN
 
 MENTION_CAP, CANDIDATES_KEPT = 400, 8
+#: Rows of one address that meet those of another block.
+PAIR_BLOCK = 1024
 
 
 def people(mentions: DataFrame) -> DataFrame:
@@ -132,7 +134,21 @@ def repointed(resolves_to: DataFrame, merged_into: DataFrame) -> DataFrame:
 
 
 def stranded(entities: DataFrame, merged_into: DataFrame) -> DataFrame:
-    """key, email, owner: addresses of an entity that was merged away whose own entity is still alive elsewhere."""
-    gone = entities.join(merged_into.select(F.col("src").alias("id")), "id", "left_semi").select("key", F.explode("emails").alias("email"))
-    alive = entities.join(merged_into.select(F.col("src").alias("id")), "id", "left_anti").select(F.col("key").alias("owner"), F.explode("emails").alias("email"))
-    return gone.join(alive, "email").select("key", "email", "owner")
+    """key, email, owner: addresses of an entity that was merged away whose own entity is still alive elsewhere. All pairs are asked for,
+    so an address that many have is dealt out in blocks of both sides, and no task has to write more than one block's pairs."""
+    over = merged_into.select(F.col("src").alias("id"))
+    gone = entities.join(over, "id", "left_semi").select("key", F.explode("emails").alias("email"))
+    alive = entities.join(over, "id", "left_anti").select(F.col("key").alias("owner"), F.explode("emails").alias("email"))
+
+    def blocks(side: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+        count = side.groupBy("email").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias(f"n_{name}"))
+        return side.join(count, "email").withColumn(name, F.pmod(F.xxhash64(key), F.col(f"n_{name}")).cast("int")).drop(f"n_{name}"), count
+
+    (gone, n_gone), (alive, n_alive) = blocks(gone, "key", "a"), blocks(alive, "owner", "b")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    gone = gone.join(n_alive, "email").select("key", "email", "a", every("n_b").alias("b"))
+    alive = alive.join(n_gone, "email").select("owner", "email", "b", every("n_a").alias("a"))
+    # partitions by hash, as many as Spark is told to have and not fewer by their bytes: few bytes make many pairs here
+    n = int(gone.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gone, alive = gone.repartition(n, "email", "a", "b"), alive.repartition(n, "email", "a", "b")
+    return gone.hint("merge").join(alive, ["email", "a", "b"]).select("key", "email", "owner")
