@@ -126,11 +126,19 @@ def sql_same_organisation(a: str, b: str) -> str:
     return f"({a} <> '' and {b} <> '' and ({a} = {b} or (least(length({a}), length({b})) >= {ROOT_PREFIX_MIN} and (starts_with({a}, {b}) or starts_with({b}, {a})))))"
 
 
+def short_form_pattern(token: Column) -> Column:
+    return F.array_join(F.filter(F.split(casefold(token), ""), lambda x: x != ""), ".*")
+
+
+def short_form_parts(name: Column) -> Column:
+    parts = name_tokens(name)
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(casefold(name)))
+
+
 def is_short_form(token: Column, name: Column) -> Column:
     """Whether the token's letters occur in order inside one token of the name."""
-    pattern = F.array_join(F.filter(F.split(casefold(token), ""), lambda x: x != ""), ".*")
-    parts = name_tokens(name)
-    return F.exists(F.when(F.size(parts) > 0, parts).otherwise(F.array(casefold(name))), lambda p: F.rlike(p, pattern))
+    pattern = short_form_pattern(token)
+    return F.exists(short_form_parts(name), lambda p: F.rlike(p, pattern))
 
 
 def sql_is_short_form(token: str, name: str) -> str:

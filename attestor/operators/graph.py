@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.scoring import CO_OCCURRENCE_WEIGHT, CONFIDENCE, PARTICIPATION_WEIGHT, graph_confidence
-from attestor.functions.text import SHORT_FORM_MIN, casefold, is_short_form, name_tokens
+from attestor.functions.text import SHORT_FORM_MIN, casefold, name_tokens, short_form_parts, short_form_pattern
 from attestor.sources.shared import stored
 
 RELATED, DISPUTES = 6, 6
@@ -88,13 +88,24 @@ def graph_tier(scored: DataFrame, names: DataFrame) -> DataFrame:
 
 def propose(mentions: DataFrame, co: DataFrame, participated_in: DataFrame, entities: DataFrame) -> DataFrame:
     """mentions (mention_id, dsid, channel, token) to the entity near them whose name the token shortens, if there is
-    only one: same initial, letters in order, and not already a word of the name. entities: entity, name."""
-    near = mentions.join(co.select("dsid", "entity"), "dsid").select("mention_id", "token", "entity")
-    near = near.unionByName(mentions.join(participated_in.select("channel", "entity"), "channel").select("mention_id", "token", "entity"))
-    rows = near.where(F.length("token") >= SHORT_FORM_MIN).distinct().join(entities, "entity")
+    only one: same initial, letters in order, and not already a word of the name. entities: entity, name. A document's or channel's
+    token is weighed once for all mentions that have it, and hands on its least and greatest fit: a sole one is both."""
+    known = entities.groupBy("entity", "name").agg(F.count("*").alias("rows"))
+    known = known.withColumns({"initial": F.substring(casefold(F.col("name")), 1, 1), "parts": short_form_parts(F.col("name")), "own": name_tokens(F.col("name"))})
     folded = casefold(F.col("token"))
-    fits = F.startswith(casefold(F.col("name")), F.substring(folded, 1, 1)) & is_short_form(F.col("token"), F.col("name")) & ~F.array_contains(name_tokens(F.col("name")), folded)
-    sole = rows.where(fits).groupBy("mention_id").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).where("n = 1")
+    asked = mentions.where(F.length("token") >= SHORT_FORM_MIN).select("mention_id", "dsid", "channel", "token")
+    fits = F.exists("parts", lambda p: F.rlike(p, F.col("pattern"))) & ~F.array_contains("own", F.col("folded"))
+
+    def near(place: str, members: DataFrame) -> DataFrame:
+        named = members.select(place, "entity").distinct().join(known, "entity")
+        tokens = asked.select(place, "token").distinct().withColumns({"folded": folded, "initial": F.substring(folded, 1, 1), "pattern": short_form_pattern(F.col("token"))})
+        met = tokens.join(named, [place, "initial"]).where(fits)
+        fit = F.struct("token", "entity", "name")
+        ends = met.groupBy(place, "token").agg(F.min(fit).alias("low"), F.max(fit).alias("high"), F.max("rows").alias("rows"))
+        return asked.select("mention_id", place, "token").join(ends, [place, "token"]).select("mention_id", "low", "high", "rows")
+
+    found = near("dsid", co).unionByName(near("channel", participated_in)).groupBy("mention_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("rows").alias("rows"))
+    sole = found.where("low = high and rows = 1").select("mention_id", F.col("low.entity").alias("entity"))
     return sole.select("mention_id", "entity", F.lit("graph_proposed").alias("method"), F.lit(CONFIDENCE["graph_proposed"]).alias("confidence"))
 
 
