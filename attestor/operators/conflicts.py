@@ -13,6 +13,7 @@ from attestor.functions.ids import edge_id
 from attestor.functions.scoring import DECISIVE_MARGIN, EPSILON, IMMUTABLE, MIN_DATED_VERSIONS, MUTABLE, directness, source_authority, weighted
 from attestor.functions.text import casefold, normalise_object
 from attestor.operators.ontology import align, relations
+from attestor.sources.shared import stored
 
 #: claims: claim_id, dsid, source_type, subject, predicate, object, confidence, quote, timestamp (null if not dated).
 
@@ -131,8 +132,9 @@ def detect(claims: DataFrame, identity: DataFrame | None = None, canonical: Data
 def contract(claims: DataFrame, identity: DataFrame | None = None, canonical: DataFrame | None = None, ordering: DataFrame | None = None) -> DataFrame:
     """One nested row a conflict, as reports hand it on: who, relation, subject, mutable, decided, basis, supersession, margin
     and versions (value, documents, sources, claims, trust, best_supported), those with most versions first."""
-    rows = facts(claims, identity).where("value <> ''")
-    found, decided = detect(claims, identity, canonical, ordering)
+    rows = stored(facts(claims, identity).where("value <> ''"))  # read twice
+    found = stored(versions(rows, recency(claims) if ordering is None else ordering, canonical))
+    decided = decisions(found)
     told = rows.groupBy("who", "relation", "value").agg(F.array_sort(F.collect_set("dsid")).alias("documents"), F.array_sort(F.collect_set("source_type")).alias("sources"))
     trust = F.struct("authority", "corroboration", "directness", "recency", F.col("score").alias("total"))
     judged = found.drop("documents").join(told, ["who", "relation", "value"]).join(decided.select("who", "relation", "best_value"), ["who", "relation"])
@@ -154,8 +156,8 @@ def version_pairs(found: DataFrame) -> DataFrame:
 def edges(claims: DataFrame, identity: DataFrame | None = None, canonical: DataFrame | None = None, ordering: DataFrame | None = None) -> DataFrame:
     """One edge for each two claims of one fact with different values, from the lower id to the higher.
     What is asked for is the pairs themselves, so their number is the output's size."""
-    rows = facts(claims, identity).where("value <> ''")
-    _, decided = detect(claims, identity, canonical, ordering)
+    rows = stored(facts(claims, identity).where("value <> ''"))  # read three times
+    decided = decisions(versions(rows, recency(claims) if ordering is None else ordering, canonical))
     left = rows.select("who", "relation", F.col("claim_id").alias("src"), F.col("value").alias("a"), F.col("subject").alias("subject"))
     right = rows.select("who", "relation", F.col("claim_id").alias("dst"), F.col("value").alias("b"))
     pairs = left.join(right, ["who", "relation"]).where("src < dst and a <> b").select("who", "relation", "src", "dst")
@@ -174,10 +176,11 @@ def touched(claims: DataFrame, documents: DataFrame, identity: DataFrame | None
 def reconcile(claims: DataFrame, documents: DataFrame, persisted: DataFrame, identity: DataFrame | None = None, canonical: DataFrame | None = None) -> DataFrame:
     """The edges after new documents: those of touched facts anew, the others as they were. Recency ranks are over all
     claims, as a new document can move them; so a fact is touched too if its claims' decision could move with them."""
-    rows = facts(claims, identity)
+    rows = stored(facts(claims, identity).select("claim_id", "dsid", "who", "relation", "timestamp", "mutable"))  # read three times
     keys = rows.join(documents.select("dsid").distinct(), "dsid", "left_semi").select("who", "relation").distinct()
     moved = rows.where("timestamp is not null and mutable").select("who", "relation").distinct()
     again = rows.join(keys.unionByName(moved).distinct(), ["who", "relation"], "left_semi").select("claim_id").distinct()
+    again = stored(again)
     # whole facts are judged anew, with ranks over all claims; the others keep their edges
     fresh = edges(claims.join(again, "claim_id", "left_semi"), identity, canonical, recency(claims))
     return persisted.join(again.withColumnRenamed("claim_id", "src"), "src", "left_anti").select(*persisted.columns).unionByName(fresh.select(*persisted.columns))

@@ -54,6 +54,7 @@ def shared_tickets(references: DataFrame) -> DataFrame:
 
 def contested(used: DataFrame, conflicts: DataFrame, claims: DataFrame) -> DataFrame:
     """claim_id, other, predicate, decided: rivals of the used claims (claim_id) in either direction, with what they say."""
+    conflicts = stored(conflicts.select("src", "dst", "predicate", "decided"))  # edges are made once and read in both directions
     both = conflicts.select(F.col("src").alias("claim_id"), F.col("dst").alias("other"), "predicate", "decided").unionByName(
         conflicts.select(F.col("dst").alias("claim_id"), F.col("src").alias("other"), "predicate", "decided")
     )
