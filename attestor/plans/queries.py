@@ -415,7 +415,7 @@ _CO = f"co as (select entity, dsid, count(*) as n from {duck('v_mention')} group
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    m = view(spark, d, "v_mention")
+    m = stored(view(spark, d, "v_mention"))  # read several times
     co = graph.co_occurrence(m.select("mention_id", "entity"), m.select("mention_id", "dsid"))
     return m, co, graph.participation(m.select("entity", "channel", "dsid").distinct())
 
@@ -891,7 +891,7 @@ def resolution_report(spark: SparkSession, d: str) -> DataFrame:
 union all select c, 0 from (values ('resolution_explained'), ('nothing_pending'), ('entity_is_edge_target'), ('one_identity_per_organisation')) v(c)""")
 def gate_violations(spark: SparkSession, d: str) -> DataFrame:
     """Rules that the store must keep, over edges of which some were lost and some are of no conflict."""
-    recorded = _recorded(spark, d)
+    recorded = stored(_recorded(spark, d))
     persons = resolve.people(_mentions(spark, d))
     merged = resolve.merged(persons, resolve.same_person(persons))
     entities = merged.select(F.col("key").alias("entity"), "name", "emails")
