@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.scoring import CO_OCCURRENCE_WEIGHT, CONFIDENCE, PARTICIPATION_WEIGHT, graph_confidence
 from attestor.functions.text import SHORT_FORM_MIN, casefold, name_tokens, short_form_parts, short_form_pattern
-from attestor.sources.shared import stored
+from attestor.sources.shared import BROADCAST_ROWS, counted, parted, stored
 
 RELATED, DISPUTES = 6, 6
 
@@ -125,11 +125,27 @@ def subgraph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, budget: int = 4) -> DataFrame:
     """start, goal, hops: the fewest edges (src, dst; either way) from each start to each goal within the budget. One
-    join a step; a node that was reached with fewer steps is not visited again."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops"))
+    join a step; a node that was reached with fewer steps is not visited again, and the last steps go only where a goal is near
+    enough. What is reached meets the edges as they are read, so these may repeat; they are read in each step and should be stored."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+    def across(front: DataFrame, rows: int) -> DataFrame:
+        if rows <= BROADCAST_ROWS:
+            return both.join(F.broadcast(front), both["src"] == front["node"])
+        n = both.count()
+        return parted(both, n, "src").join(parted(front, n, "node"), F.col("src") == F.col("node"))
+
+    near = [stored(goals.select(F.col("id").alias("node")).distinct())]  # by the steps that are left
+    while len(near) < (budget + 1) // 2 and (n := near[-1].count()) <= BROADCAST_ROWS:
+        near.append(stored(near[-1].unionByName(across(near[-1], n).select(F.col("dst").alias("node"))).distinct()))
+    seen = front = stored(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops")))
     for step in range(1, budget + 1):
-        reached = front.join(both, front["node"] == both["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(step))
+        if not (n := front.count()):
+            break
+        reached = across(front.select("start", "node"), n).select("start", F.col("dst").alias("node"))
+        if (left := budget - step) < len(near):
+            reached = reached.join(counted(near[left]), "node", "left_semi")
+        front = reached.distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        front = stored(front.select("start", "node", F.lit(step).alias("hops")))
         seen = seen.unionByName(front)
     return seen.join(goals.select(F.col("id").alias("node")), "node").select("start", F.col("node").alias("goal"), "hops")

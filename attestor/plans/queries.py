@@ -531,7 +531,7 @@ three as (select distinct a.entity, c.channel, 3 as hops from m a join m b on a.
 select entity, channel, min(hops) as hops from (select * from one union all select * from three) where channel <= 50 group by entity, channel""")
 def bounded_paths(spark: SparkSession, d: str) -> DataFrame:
     """Fewest steps between some entities and some channels, at most four."""
-    m = view(spark, d, "v_mention").select("entity", "channel").distinct()
+    m = stored(view(spark, d, "v_mention").select("entity", "channel"))  # read in each step
     edges = m.select(F.concat(F.lit("e"), F.col("entity").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("channel").cast("string")).alias("dst"))
     starts = m.where("entity <= 3").select(F.concat(F.lit("e"), F.col("entity").cast("string")).alias("id")).distinct()
     goals = m.where("channel <= 50").select(F.concat(F.lit("c"), F.col("channel").cast("string")).alias("id")).distinct()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only if a count has shown that it has at most so many rows.
 BROADCAST_ROWS = 200_000
+#: About so many rows are a part of a large table, so that what a task holds does not grow with the table.
+PART_ROWS = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,13 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * (4 << 20) else df
 
 
+def parted(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df of so many rows, dealt out by keys into as many parts as they need; as it is where one for each core is enough. Groupings and
+    joins on these keys, or more than these, then stay inside the parts."""
+    parts = -(-rows // PART_ROWS)
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def counted(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A stored table with a broadcast hint if its counted rows are within the bound."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

@@ -1,8 +1,16 @@
 """What queries move and hold does not grow with the square of a group; results against plain versions."""
 
+import os
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from attestor.operators import graph, lexical, neardup, resolve
+from attestor.plans.queries import ORACLE_SQL, QUERIES
+from attestor.plans.views import view
+from attestor.sources import shared
+from tests import oracle
 
 
 def moved(spark, action):
@@ -74,3 +82,40 @@ def test_pairs_of_one_address_are_dealt_out(spark):
     out = resolve.stranded(e, e.where("id % 6 = 0").select(F.col("id").alias("src")))
     parts = out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.countDistinct("key", "owner").alias("d")).collect()
     assert sum(r.n for r in parts) == sum(r.d for r in parts) == 1000 * 5000 and len(parts) > 1
+
+
+def test_far_edges_of_a_path_stay_where_they_are(spark):
+    far = [(f"x{i}", f"y{i % 997}") for i in range(20_000)]
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "b"), ("c", "d"), ("d", "e"), ("a", "e"), ("e", "f"), *far], "src string, dst string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    n, got = moved(spark, lambda: graph.shortest_paths(edges, ids("a", "z"), ids("a", "d", "f", "q")).collect())
+    assert sorted(map(tuple, got)) == [("a", "a", 0), ("a", "d", 2), ("a", "f", 2)]
+    assert n < 5_000  # all edges, both ways, before
+
+
+@pytest.mark.parametrize("broadcast, budget", [(200_000, 5), (3, 4), (0, 4)])
+def test_paths_of_a_random_graph(spark, monkeypatch, broadcast, budget):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(shared, "PART_ROWS", 20)
+    r = random.Random(5)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(70)] + [(None, 1), (2, None), (7, 7)]
+    df, ids = spark.createDataFrame(edges, "src long, dst long"), lambda x: spark.createDataFrame([(i,) for i in x], "id long")
+    want = set()
+    for start in range(8):
+        hops = {start: 0}
+        for step in range(1, budget + 1):
+            for a, b in edges + [(b, a) for a, b in edges]:
+                if a is not None and b is not None and hops.get(a) == step - 1 and b not in hops:
+                    hops[b] = step
+        want |= {(start, g, hops[g]) for g in range(5, 30) if g in hops}
+    got = [tuple(x) for x in graph.shortest_paths(df, ids(range(8)), ids(range(5, 30)), budget).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="needs the test tables")
+def test_mentions_of_a_large_table_have_parts_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PART_ROWS", 300)
+    assert view(spark, oracle.DATA, "v_mention").rdd.getNumPartitions() >= 20  # no more than cores before
+    for name in ("bounded_paths", "cooccurrence"):
+        oracle.agree(spark, QUERIES[name], ORACLE_SQL[name])
