@@ -13,7 +13,7 @@ from attestor.functions.ids import edge_id
 from attestor.functions.scoring import DECISIVE_MARGIN, EPSILON, IMMUTABLE, MIN_DATED_VERSIONS, MUTABLE, directness, source_authority, weighted
 from attestor.functions.text import casefold, normalise_object
 from attestor.operators.ontology import align, relations
-from attestor.sources.shared import stored
+from attestor.sources.shared import counted, parted, stored
 
 #: claims: claim_id, dsid, source_type, subject, predicate, object, confidence, quote, timestamp (null if not dated).
 
@@ -22,9 +22,10 @@ def facts(claims: DataFrame, identity: DataFrame | None = None) -> DataFrame:
     """Claims that can be contested, with relation, who, value and the relation's properties.
     identity: dsid, surface (case-folded), entity; the greatest entity wins where a surface has several."""
     spark = claims.sparkSession
-    # predicates that hold a catalogue word; spellings grow with the claims, so Spark decides by size how to join them
+    # predicates that hold a catalogue word; spellings grow with the claims, so a count decides how to join them: few spellings have
+    # many claims each, which a join by predicate would gather in as few tasks
     known = align(claims.select("predicate")).join(F.broadcast(relations(spark)), "relation").where("single").select("predicate", "relation", "mutable", "authority")
-    rows = claims.join(known, "predicate").withColumn("surface", casefold(F.trim("subject")))
+    rows = claims.join(counted(stored(known)), "predicate").withColumn("surface", casefold(F.trim("subject")))
     rows = rows.where((F.col("surface") != "") & F.col("subject").isNotNull())
     who = F.concat(F.lit("name:"), F.col("surface"))
     if identity is not None:
@@ -48,17 +49,40 @@ def recency(claims: DataFrame) -> DataFrame:
     return local.join(days, "_day").select("dsid", position.cast("double").alias("position"))
 
 
-def versions(rows: DataFrame, ordering: DataFrame | None = None, canonical: DataFrame | None = None) -> DataFrame:
-    """rows: facts(). One row for each version of each contested fact, with its trust and its place by trust.
-    ordering: recency(); canonical: id, representative of near-duplicate documents."""
-    rows = rows.where("value <> ''")
-    rows = rows.join(ordering, "dsid", "left") if ordering is not None else rows.withColumn("position", F.lit(None).cast("double"))
+def support(rows: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
+    """rows: facts() with values, stored. One row for each version of each contested fact: who, relation, value, documents, n_versions,
+    corroboration. Documents and quotes are told apart each by its own key, so that a task holds a part of them by their number,
+    however few facts and values there are."""
+    n = rows.count()
     if canonical is not None:
         rows = rows.join(canonical.select(F.col("id").alias("dsid"), "representative"), "dsid", "left")
     else:
         rows = rows.withColumn("representative", F.lit(None).cast(rows.schema["dsid"].dataType))
     rows = rows.withColumn("independent", F.coalesce("representative", "dsid")).withColumn("told", casefold(F.trim("quote")))
-    by = ["who", "relation", "value"]
+    fact, by = ["who", "relation"], ["who", "relation", "value"]
+
+    def different(*c: str) -> DataFrame:
+        return parted(rows.select(*c), n, *c).distinct()
+
+    told = different(*by, "independent").unionByName(different(*by, "told").where("told <> ''"), allowMissingColumns=True)
+    grouped = told.groupBy(*by).agg(F.count("independent").alias("documents"), F.count("told").alias("quotes"))
+    # documents of the whole fact, over claims and not over versions, as one document may assert several
+    totals = different(*fact, "dsid").groupBy(*fact).agg(F.count("dsid").alias("total"))
+    out = grouped.join(totals, fact).withColumn("n_versions", F.count("*").over(Window.partitionBy(*fact))).where("n_versions >= 2")
+    independent = F.when((F.col("quotes") > 0) & (F.col("quotes") < F.col("documents")), F.col("quotes")).otherwise(F.col("documents"))
+    return out.select(*by, "documents", "n_versions", F.least(F.lit(1.0), independent / F.greatest("total", F.lit(2))).alias("corroboration"))
+
+
+def versions(rows: DataFrame, ordering: DataFrame | None = None, canonical: DataFrame | None = None) -> DataFrame:
+    """rows: facts(), stored. One row for each version of each contested fact, with its trust and its place by trust.
+    ordering: recency(); canonical: id, representative of near-duplicate documents."""
+    rows = rows.where("value <> ''")
+    by, supported = ["who", "relation", "value"], support(rows, canonical)
+    if ordering is not None:
+        n = rows.count()
+        rows = parted(rows, n, "dsid").join(parted(ordering, n, "dsid"), "dsid", "left")
+    else:
+        rows = rows.withColumn("position", F.lit(None).cast("double"))
     first = F.min(F.struct("claim_id", "object", "subject"))
     grouped = rows.groupBy(*by).agg(
         F.first("mutable").alias("mutable"),
@@ -66,21 +90,11 @@ def versions(rows: DataFrame, ordering: DataFrame | None = None, canonical: Data
         F.max(source_authority(F.col("authority"), F.col("source_type"))).alias("authority"),
         F.max(directness(F.col("quote"), F.col("source_type"))).alias("directness"),
         F.max("position").alias("position"),
-        F.countDistinct("independent").alias("documents"),
-        F.countDistinct(F.when(F.col("told") != "", F.col("told"))).alias("quotes"),
         F.max(F.array_contains("authority", F.col("source_type"))).alias("of_record"),
         F.count("*").alias("claims"),
         F.min(F.when(F.array_contains("authority", F.col("source_type")), F.struct("claim_id", "source_type"))).alias("record"),
     )
-    # documents of the whole fact, over claims and not over versions, as one document may assert several
-    totals = rows.groupBy("who", "relation").agg(
-        F.countDistinct("dsid").alias("total"),
-        F.countDistinct("value").alias("n_versions"),
-        F.countDistinct(F.when(F.col("position").isNotNull(), F.col("value"))).alias("dated"),
-    )
-    out = grouped.join(totals.where("n_versions >= 2"), ["who", "relation"])
-    independent = F.when((F.col("quotes") > 0) & (F.col("quotes") < F.col("documents")), F.col("quotes")).otherwise(F.col("documents"))
-    out = out.withColumn("corroboration", F.least(F.lit(1.0), independent / F.greatest("total", F.lit(2))))
+    out = grouped.join(supported, by).withColumn("dated", F.count("position").over(Window.partitionBy("who", "relation")))
     out = out.withColumn("recency", F.when(F.col("mutable") & (F.col("dated") >= MIN_DATED_VERSIONS) & F.col("position").isNotNull(), F.col("position")).otherwise(0.5))
     out = out.withColumn("score", weighted(F.col("authority"), F.col("corroboration"), F.col("directness"), F.col("recency"), F.col("mutable")))
     place = Window.partitionBy("who", "relation").orderBy(F.desc("score"), F.col("first.claim_id"))
@@ -125,7 +139,8 @@ def decisions(found: DataFrame) -> DataFrame:
 
 def detect(claims: DataFrame, identity: DataFrame | None = None, canonical: DataFrame | None = None, ordering: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The versions and the decision of every contested fact. ordering: recency() of more claims than these."""
-    found = versions(facts(claims, identity), recency(claims) if ordering is None else ordering, canonical)
+    rows = stored(facts(claims, identity).where("value <> ''"))  # read several times
+    found = versions(rows, recency(claims) if ordering is None else ordering, canonical)
     return found, decisions(found)
 
 

@@ -361,7 +361,8 @@ decisions as (select *, single or margin >= 0.15 - 1e-9 as decided, case when si
 @query(f"with {_VERSIONS} select who, relation, value, {scoring.sql_ten_thousandths('corroboration')} as corroboration_e4, documents from versions")
 def corroboration(spark: SparkSession, d: str) -> DataFrame:
     """Independent documents behind each version."""
-    found = cf.versions(cf.facts(view(spark, d, "v_claim")), cf.recency(view(spark, d, "v_claim")))
+    rows = cf.facts(view(spark, d, "v_claim")).where("value <> ''").select("who", "relation", "value", "dsid", "quote")
+    found = cf.support(stored(rows))
     return found.select("who", "relation", "value", scoring.ten_thousandths(F.col("corroboration")).alias("corroboration_e4"), "documents")
 
 

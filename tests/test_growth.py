@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.operators import graph, lexical, neardup, resolve
+from attestor.operators import conflicts, graph, lexical, neardup, resolve
 from attestor.plans.queries import ORACLE_SQL, QUERIES
 from attestor.plans.views import view
 from attestor.sources import shared
@@ -119,3 +119,32 @@ def test_mentions_of_a_large_table_have_parts_by_its_rows(spark, monkeypatch):
     assert view(spark, oracle.DATA, "v_mention").rdd.getNumPartitions() >= 20  # no more than cores before
     for name in ("bounded_paths", "cooccurrence"):
         oracle.agree(spark, QUERIES[name], ORACLE_SQL[name])
+
+
+def test_claims_of_few_predicates_stay_where_they_are(spark):
+    claims = spark.range(8000).selectExpr("id dsid", "concat('s', id % 50) subject", "if(id % 3 = 0, 'status', 'has status') predicate", "'o' object").repartition(4)
+    claims = spark.createDataFrame(claims.rdd, claims.schema)
+    n, got = moved(spark, lambda: conflicts.facts(claims).agg(F.count("*"), F.min("relation"), F.max("who")).first())
+    assert tuple(got) == (8000, "has_status", "name:s9")
+    assert n < 1000  # all claims, by their two predicates, before
+
+
+@pytest.mark.parametrize("folded", [False, True])
+def test_support_of_versions_in_many_parts(spark, monkeypatch, folded):
+    monkeypatch.setattr(shared, "PART_ROWS", 40)
+    r = random.Random(3)
+    quotes = [None, "", " ", "It is", "it IS ", "no", "yes", "ẞ", "ss"]
+    data = [(f"w{r.randrange(9)}", r.choice("pq"), r.choice("abc"), r.choice([None, *range(25)]), r.choice(quotes)) for _ in range(400)] + [("alone", "p", "a", 1, "x")]
+    same = {d: d // 2 for d in range(0, 20)} if folded else {}
+    rows = spark.createDataFrame(data, "who string, relation string, value string, dsid int, quote string")
+    canonical = spark.createDataFrame(list(same.items()), "id int, representative int") if folded else None
+    want = set()
+    for w, p, v in {x[:3] for x in data}:
+        fact, mine = [x for x in data if x[:2] == (w, p)], [x for x in data if x[:3] == (w, p, v)]
+        documents = len({same.get(x[3], x[3]) for x in mine} - {None})
+        told = len({x[4].strip(" ").lower().replace("ß", "ss") for x in mine if x[4] is not None} - {""})
+        if (n := len({x[2] for x in fact})) > 1:
+            share = min(1.0, (told if 0 < told < documents else documents) / max(2, len({x[3] for x in fact} - {None})))
+            want.add((w, p, v, documents, n, round(share, 9)))
+    got = [(*x[:5], round(x.corroboration, 9)) for x in conflicts.support(rows, canonical).collect()]
+    assert len(got) == len(want) and set(got) == want
